@@ -19,9 +19,16 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path(TOKENIZER)).drop("text")
 
 
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
+        "op10_minhash_neardup": op10_minhash_neardup,
     }
 
 
