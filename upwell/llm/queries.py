@@ -7,11 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from upwell.llm._common import table
+from upwell.llm._common import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+#: 64 shards over a prime number of slots, about a hundred for each.
+SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(64)], 6449
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.sharding import place
+
+    return place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS, SLOTS)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.token_counts import count_tokens
+
+    scratch = Scratch(spark)  # the cache begins empty, so that each run counts for itself
+    docs = table(spark, sf_dir, "documents")
+    return count_tokens(docs, public_tokenizers.path(TOKENIZER), scratch.path("token_cache"), 512, scratch)
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from upwell.llm.bpe import encode_documents
 
@@ -19,6 +43,18 @@ def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path(TOKENIZER)).drop("text")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.secret_scan import report, scan
+
+    return report(scan(spark, table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.pii import scan_pii
+
+    return scan_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from upwell.llm.minhash import near_duplicates
 
@@ -27,7 +63,12 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sharding": op2_sharding,
+        "op3_decontamination": op3_decontamination,
+        "op5_token_counts": op5_token_counts,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_pii": op9_pii,
         "op10_minhash_neardup": op10_minhash_neardup,
     }
 
