@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from upwell.llm._common import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 #: 64 shards over a prime number of slots, about a hundred for each.
@@ -28,6 +29,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.toxicity import fit, held_out, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs.withColumn("held_out", held_out()), model).drop("text")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from upwell.llm.token_counts import count_tokens
 
@@ -36,6 +45,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path(TOKENIZER), scratch.path("token_cache"), 512, scratch)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.langid import fit, held_out, identify, load_pieces
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, load_pieces(public_tokenizers.path(PIECES)))
+    return identify(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+
+
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from upwell.llm.bpe import encode_documents
 
@@ -65,7 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": op2_sharding,
         "op3_decontamination": op3_decontamination,
+        "op4_toxicity": op4_toxicity,
         "op5_token_counts": op5_token_counts,
+        "op6_language_id": op6_language_id,
         "op7_bpe_roundtrip": op7_bpe_roundtrip,
         "op8_secret_scan": op8_secret_scan,
         "op9_pii": op9_pii,
