@@ -13,6 +13,12 @@ TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 #: 64 shards over a prime number of slots, about a hundred for each.
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(64)], 6449
 
@@ -80,6 +86,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_neardup": op1_embedding_neardup,
         "op2_sharding": op2_sharding,
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,

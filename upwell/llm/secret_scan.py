@@ -32,8 +32,8 @@ def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCUMENTS, n_random:
     """``sample string, label int``: 1 random, 0 ordinary.
 
     Random strings are encodings of digests of a counter. Ordinary ones are letter runs
-    of ``n_docs`` documents (those with the lowest hash of doc_id) and identifiers made
-    of neighbours among them in the usual styles.
+    of about ``n_docs`` documents, taken by the hash of doc_id, and identifiers made of
+    neighbours among them in the usual styles.
     """
     digest = lambda salt: F.unhex(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256))
     size = (16 + F.col("id") % 25).cast("int")
@@ -45,7 +45,10 @@ def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCUMENTS, n_random:
         ).alias("sample"),
         F.lit(1).alias("label"),
     )
-    some = docs.filter("text is not null").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n_docs)
+    unit = 1 << 40
+    total = max(1, docs.count())
+    share = min(unit, unit * n_docs // total)
+    some = docs.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < share))
     runs = some.select(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?![A-Za-z0-9+/_=-])"), F.lit(0)).alias("w"))
     pairs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))),
