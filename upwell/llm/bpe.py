@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -197,14 +198,17 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, all_ids = [], []
             for text in batch.column("text"):
                 ids = encode_text(tokenizer_path, text.as_py() or "")
                 back = decode_text(tokenizer_path, ids)
                 n = ids.count(",") + 1 if ids else 0
-                row = [n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
-                rows.append([*row, list(map(int, ids.split(","))) if ids else []] if keep_ids else row)
-            cols = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(added)]
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+                if keep_ids:
+                    all_ids.append(np.fromstring(ids, np.int32, sep=","))
+            cols = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(added[:3])]
+            if keep_ids:
+                cols.append(pa.array(all_ids, added[3][1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *(n for n, _ in added)])
 
     return base.mapInArrow(run, schema)

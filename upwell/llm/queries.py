@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from upwell.llm._common import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -96,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_pii": op9_pii,
         "op10_minhash_neardup": op10_minhash_neardup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
