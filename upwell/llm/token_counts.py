@@ -119,7 +119,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
             n = [count(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("text_digest"), pa.array(n, pa.int64())], ["text_digest", "n_tokens"])
 
-    counted = fresh.mapInArrow(run, "text_digest binary, n_tokens long")
+    # rows that repeat both id and text have one mark, so the cache still takes one of them
+    counted = fresh.mapInArrow(run, "text_digest binary, n_tokens long").groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = counted.select("text_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
     rows.write.mode("append").parquet(cache_path)
     counts = scratch.save(stored().groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
