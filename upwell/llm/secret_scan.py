@@ -24,7 +24,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Natural log of the odds that a candidate is an ordinary string.
 PRIOR_LOG_ODDS = math.log(1000.0)
 #: Bound of the labelled sample: documents for ordinary words, and random strings.
-SAMPLE_DOCUMENTS, SAMPLE_RANDOM = 512, 4096
+SAMPLE_DOCUMENTS, SAMPLE_RANDOM = 256, 4096
 KINDS = ["assign", "access", "hex", "random"]
 
 
@@ -72,8 +72,9 @@ def fit_models(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     chars = F.split("sample", "")
     n = F.size(chars)
     pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i)))
-    grouped = samples.filter(F.length("sample") > 1).select("label", F.explode(pairs).alias("pair")).filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
-    counts = {(r["label"], r["pair"]): r["n"] for r in grouped.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
+    grouped = samples.filter(F.length("sample") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
+    known = grouped.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
+    counts = {(r["label"], r["pair"]): r["n"] for r in known.collect()}
     table = [0.0] * (128 * 128)
     k = len(ALPHABET)
     for first in ALPHABET:
