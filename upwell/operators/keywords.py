@@ -36,6 +36,8 @@ def keyword_join(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     """
     # lengths beyond a snippet's can't match, so there are few
     lengths = [r["n"] for r in keywords.select(F.length("keyword").alias("n")).filter(F.col("n").between(1, SNIPPET_CHARS)).distinct().orderBy("n").collect()]
+    if not lengths:
+        return posts.filter(F.lit(False)).withColumn("matched_keyword", F.lit(None).cast("string"))
     n = F.length("text_snippet")
     cuts = F.array_distinct(
         F.flatten(
