@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import ship_package
+from upwell.llm._common import Scratch, ship_package
 
 #: Bounds of the training sample: rows of each class (expected number).
 TRAIN_TOXIC, TRAIN_OTHER = 2000, 4000
@@ -78,42 +78,41 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """Fits the classifier, with both classes at the same weight; with one class only, it answers that."""
-    y = np.array(toxic, dtype=float)
-    weight = np.zeros(1 << BITS)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(-4.0 if not len(y) or y[0] == 0 else 4.0, weight)
-    docs = [present(t).astype(np.int64) for t in texts]
-    in_toxic = np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if t]), minlength=1 << BITS)
-    in_other = np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if not t]), minlength=1 << BITS)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    p, q = (in_toxic + SMOOTHING) / (n1 + 2 * SMOOTHING), (in_other + SMOOTHING) / (n0 + 2 * SMOOTHING)
-    ratio = np.log(p / q)
-    error = np.sqrt((1 - p) / (n1 * p) + (1 - q) / (n0 * q))
-    chosen = np.flatnonzero((in_toxic + in_other >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_Z * error))
-    at = np.full(1 << BITS, -1)
-    at[chosen] = np.arange(len(chosen))
-    cols = [at[d][at[d] >= 0] for d in docs]
-    row = np.repeat(np.arange(len(docs)), [len(c) for c in cols])
-    col = np.concatenate(cols) if cols else np.empty(0, int)
-    scale = ratio[chosen]
-    w = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    # accelerated gradient steps on the scaled presence features
-    theta, bias = np.zeros(len(chosen)), 0.0
+def _constant(toxic: bool) -> ToxicityModel:
+    return ToxicityModel(4.0 if toxic else -4.0, np.zeros(1 << BITS))
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each class that hold a slot, one row per slot seen in the partition."""
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            counts[toxic, present(text.as_py())] += 1
+    slots = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(counts[1, slots], pa.int64()), pa.array(counts[0, slots], pa.int64())], ["slot", "in_toxic", "in_other"])
+
+
+def fit_weights(y: np.ndarray, cols: list[np.ndarray], ratio: np.ndarray) -> tuple[float, np.ndarray]:
+    """Bias and weight of each feature by ridge logistic regression, both classes at the same weight.
+
+    ``cols`` has the features of each text; they enter as their ``ratio``.
+    """
+    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+    col = np.concatenate(cols).astype(np.int64)
+    w = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+    theta, bias = np.zeros(len(ratio)), 0.0
     push, push_b = theta.copy(), bias
-    norm = np.bincount(row, scale[col] ** 2, len(y))
+    norm = np.bincount(row, ratio[col] ** 2, len(y))
     rate = 4.0 / (np.percentile(norm, 99) + 1 + 4 * RIDGE)
-    for k in range(STEPS):
-        z = push_b + np.bincount(row, (push * scale)[col], len(y))
+    for k in range(STEPS):  # accelerated gradient steps
+        z = push_b + np.bincount(row, (push * ratio)[col], len(y))
         g = w * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        grad = np.bincount(col, g[row], len(chosen)) * scale + RIDGE * push
+        grad = np.bincount(col, g[row], len(ratio)) * ratio + RIDGE * push
         nxt, nxt_b = push - rate * grad, push_b - rate * g.sum()
         m = k / (k + 3)
         push, push_b = nxt + m * (nxt - theta), nxt_b + m * (nxt_b - bias)
         theta, bias = nxt, nxt_b
-    weight[chosen] = theta * scale
-    return ToxicityModel(bias, weight)
+    return bias, theta * ratio
 
 
 def held_out(modulus: int = 5, remainder: int = 0):
@@ -128,15 +127,41 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_other:
     are fewer: a bounded sample to fit on. Labels other than 0 and 1 don't count; of several
     for a document the highest does.
     """
+    ship_package(docs.sparkSession)
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     unit = 1 << 30
     share = F.when(F.col("toxic") == 1, min(unit, unit * n_toxic // max(1, total.get(1, 0)))).otherwise(min(unit, unit * n_other // max(1, total.get(0, 0))))
     # at most twice the wanted rows, so the broadcast is bounded
     sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < share).limit(2 * (n_toxic + n_other))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "sample")
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return _constant(1 in n)
+    counted = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count_slots, "slot long, in_toxic long, in_other long")
+    p = (F.col("in_toxic") + SMOOTHING) / (n[1] + 2 * SMOOTHING)
+    q = (F.col("in_other") + SMOOTHING) / (n[0] + 2 * SMOOTHING)
+    error = F.sqrt((1 - p) / (n[1] * p) + (1 - q) / (n[0] * q))
+    total = counted.groupBy("slot").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_other").alias("in_other"))
+    telling = (F.col("in_toxic") + F.col("in_other") >= LEAST_TEXTS) & (F.abs(F.log(p / q)) >= LEAST_Z * error)
+    chosen = total.filter(telling).select("slot", F.log(p / q).alias("ratio")).orderBy("slot").toArrow()
+    slots, ratio = chosen.column("slot").to_numpy(), chosen.column("ratio").to_numpy()
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.full(1 << BITS, -1, np.int32)
+        at[slots] = np.arange(len(slots))
+        for batch in batches:
+            cols = [at[present(t.as_py())] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([c[c >= 0] for c in cols], pa.list_(pa.int32()))], ["doc_id", "toxic", "cols"])
+
+    texts = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(held, "doc_id long, toxic int, cols array<int>")
+    got = texts.orderBy("doc_id", "cols").toArrow().combine_chunks()
+    y = got.column("toxic").to_numpy().astype(float)
+    bias, w = fit_weights(y, [c.values.to_numpy() for c in got.column("cols")], ratio)
+    weight = np.zeros(1 << BITS)
+    weight[slots] = w
+    return ToxicityModel(bias, weight)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
