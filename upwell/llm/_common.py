@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,20 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext._upwell_shipped = True
 
 
+_held: dict[tuple[str, str], object] = {}
+
+
+def worker_cache(owner: str, key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one object, of the operator that runs now.
+
+    A worker serves stage after stage, so what earlier operators kept is let go.
+    """
+    if (owner, key) not in _held:
+        _held.clear()
+        _held[owner, key] = make()
+    return _held[owner, key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import ship_package
+from upwell.llm._common import ship_package, worker_cache
 
 #: Bounds of the training sample: documents for each language (expected), and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
@@ -28,7 +29,10 @@ MAX_LANGUAGES = 512
 EM_ROUNDS, SMOOTHING = 3, 0.05
 #: Letter runs beyond this are scored in parts, so that sums stay in range.
 MAX_RUN = 200
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
+#: Words whose lattices are built at once.
+WORDS_AT_ONCE = 4_000
+_PACK = 1 << 20
 #: Keeps sums near 1: each character's probability is scaled by this.
 CHAR_SCALE = 14.0
 FLOOR = 1e-7
@@ -61,7 +65,8 @@ class Lattice:
         for i, p in enumerate(pieces):
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.single = {p for p in pieces if len(p) == 1}
+        self.single = np.zeros(0x110000, bool)
+        self.single[[ord(p) for p in pieces if len(p) == 1] + [10]] = True
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Source node, target node and piece of every edge, in order of the offset in the word;
@@ -70,16 +75,15 @@ class Lattice:
         characters of all words, each with its start mark, plus one before each word.
         """
         joined = "\n" + "\n".join("▁" + w for w in words) + "\n"
-        found = [(e, p) for e, p in self.automaton.iter(joined)]
-        unknown = len(self.pieces)
-        found += [(e, unknown) for e, c in enumerate(joined) if c not in self.single and c != "\n"]
-        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        target, piece = pairs[:, 0], pairs[:, 1]
+        found = np.fromiter((e * _PACK + p for e, p in self.automaton.iter(joined)), np.int64)
+        alone = np.flatnonzero(~self.single[np.frombuffer(joined.encode("utf-32-le"), np.uint32)])
+        found = np.sort(np.concatenate([found, alone * _PACK + len(self.pieces)]))
+        target, piece = found // _PACK, found % _PACK
         lengths = np.array([len(w) + 2 for w in words])
         ends = np.cumsum(lengths)  # the separator after each word
         start = np.repeat(ends - lengths, lengths)
-        offset = target - start[target - 1]
-        order = np.lexsort((target, offset))
+        offset = (target - start[target - 1]).astype(np.int16)
+        order = np.argsort(offset, kind="stable")  # targets already rise
         target, piece, offset = target[order], piece[order], offset[order]
         bounds = np.searchsorted(offset, np.arange(1, lengths.max() + 1))
         return target - self.size[piece], target, piece, bounds, ends - 1
@@ -129,8 +133,8 @@ class LanguageModel:
         """Log-likelihood of each word by language."""
         out = []
         lattice = self.lattice
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
             sums = np.log(lattice.forward(part, self._scaled))
             out.append(sums - np.array([len(w) + 1 for w in part])[:, None] * np.log(CHAR_SCALE))
         return np.concatenate(out) if out else np.empty((0, len(self.languages)))
@@ -149,8 +153,8 @@ def train(texts: list[tuple[str, str]], pieces: list[str], rounds: int = EM_ROUN
         for _ in range(rounds if words else 0):
             expected = np.zeros(len(pieces) + 1)
             scaled = (np.maximum(prob, FLOOR) * CHAR_SCALE**lattice.size)[:, None]
-            for at in range(0, len(words), 20_000):
-                part, w = words[at : at + 20_000], weight[at : at + 20_000]
+            for at in range(0, len(words), WORDS_AT_ONCE):
+                part, w = words[at : at + WORDS_AT_ONCE], weight[at : at + WORDS_AT_ONCE]
                 alpha, beta, source, target, piece, last = lattice.forward(part, scaled, keep=True)
                 total = alpha[last, 0]
                 owner = np.searchsorted(last, target)
@@ -193,17 +197,30 @@ class _Scorer:
         self.memo: dict[str, int] = {}
         self.table = np.empty((0, len(model.languages)))
 
+    def word_rows(self, words: list[str]) -> np.ndarray:
+        """Scores of words, one row each; the memo takes new words until it is full."""
+        at = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return self.table[at]
+        new = {w: i for i, w in enumerate(dict.fromkeys(words[i] for i in missing), len(self.table))}
+        at[missing] = [new[words[i]] for i in missing]
+        table = np.concatenate([self.table, self.model.word_scores(list(new))])
+        if len(table) <= MEMO_ENTRIES:
+            self.memo.update(new)
+            self.table = table
+        return table[at]
+
     def totals(self, texts: list[str | None]) -> list[np.ndarray | None]:
         lists = [words_of(t) for t in texts]
-        new = list(set().union(*lists) - self.memo.keys())
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo, new = {}, list(set().union(*lists))
-            self.table = np.empty((0, len(self.model.languages)))
-        if new:
-            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.model.word_scores(new)])
-        at = self.memo.__getitem__
-        return [self.table[np.fromiter(map(at, ws), np.int64, len(ws))].sum(axis=0) if ws else None for ws in lists]
+        some = [i for i, ws in enumerate(lists) if ws]
+        out: list[np.ndarray | None] = [None] * len(lists)
+        if some:
+            scores = self.word_rows(list(chain.from_iterable(lists)))
+            starts = np.cumsum([0] + [len(lists[i]) for i in some[:-1]])
+            for i, total in zip(some, np.add.reduceat(scores, starts, axis=0), strict=True):
+                out[i] = total
+        return out
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
@@ -217,15 +234,11 @@ class _Scorer:
         return out
 
 
-_scorers: dict[str, _Scorer] = {}
 _GROUP = 256
 
 
 def _scorer(key: str, model: LanguageModel) -> _Scorer:
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = _Scorer(model)
-    return _scorers[key]
+    return worker_cache("langid", key, lambda: _Scorer(model))
 
 
 def _judges(docs: DataFrame, model: LanguageModel):
