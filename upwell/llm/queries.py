@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from upwell.llm import sql
 from upwell.llm._common import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -102,4 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries train a model or run an encoder; tests hold them against plain versions."""
+    return {
+        "op1_embedding_neardup": sql.embedding_links(0.93),
+        "op2_sharding": sql.placement(SHARDS, SLOTS),
+        "op10_minhash_neardup": sql.near_duplicates(80),
+    }
