@@ -5,7 +5,8 @@ All numbers and texts below are fixed values: results depend on them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,11 @@ class PushConfig:
     def value(self, name: str) -> str:
         return getattr(self, name) or PUSH_DEFAULTS[name]
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str], prefix: str = "PUSH_") -> PushConfig:
+        """Settings from variables such as ``PUSH_SOUND``; unset and empty ones are defaults."""
+        return cls(**{f.name: env.get(prefix + f.name.upper(), "") for f in fields(cls)})
+
 
 PUSH_DEFAULTS = {"sound": "siren", "priority": "2", "school_priority": "0", "retry": "60", "expire": "3600"}
 

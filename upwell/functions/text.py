@@ -85,3 +85,8 @@ def thousands(x: Column) -> Column:
 def percent(x: Column) -> Column:
     """A share in whole percent, halves to even."""
     return F.rint(x * F.lit(100.0)).cast("bigint")
+
+
+def quote_query(s: Column) -> Column:
+    """A search query percent-encoded for a URL, blanks as %20."""
+    return F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))

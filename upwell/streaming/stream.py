@@ -31,6 +31,14 @@ def start_cycles(spark: SparkSession, stream: DataFrame, root: str, keywords: li
     return stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def first_sightings(stream: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
+    """The first sighting of each post, with state kept no longer than the rules can use it.
+
+    Not a substitute for the last-wins ``dedupe`` within a batch, which keeps later values.
+    """
+    return stream.withWatermark("posted_at", f"{int(t.sustained_max_hours)} hours").dropDuplicatesWithinWatermark(["post_id"])
+
+
 def start_upserts(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Keeps the stored posts up to date with a stream of rows of their schema."""
 
