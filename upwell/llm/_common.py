@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -9,11 +11,14 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[2]
 
+#: Bytes of an Arrow batch between the JVM and Python.
+ARROW_BYTES = 4 << 20
 #: Rows of the broadcast bitmap of ``maybe_in`` at most (64 bits each, about 3 MB).
 BITMAP_WORDS = 1 << 16
 
@@ -63,7 +68,13 @@ class Scratch:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable on executors whose PYTHONPATH lacks it."""
+    """Makes this package importable on executors whose PYTHONPATH lacks it.
+
+    Also bounds the Arrow batches of the session, whose buffers lie outside the heap.
+    """
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(batch).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(batch, str(ARROW_BYTES))
     on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(ROOT) in on_path or getattr(spark.sparkContext, "_upwell_shipped", False):
         return
@@ -75,6 +86,15 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext._upwell_shipped = True
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 _held: dict[tuple[str, str], object] = {}
 
 
@@ -84,7 +104,9 @@ def worker_cache(owner: str, key: str, make: Callable[[], object]) -> object:
     A worker serves stage after stage, so what earlier operators kept is let go.
     """
     if (owner, key) not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            give_back()
         _held[owner, key] = make()
     return _held[owner, key]
 

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 from tokenizers import pre_tokenizers
 
-from upwell.llm._common import ship_package
+from upwell.llm._common import give_back, ship_package, worker_cache
 
 #: Entries of a worker's pre-token memo; beyond it results are computed, not stored.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 MEMO_BYTES = 64
+#: Entries of its memo of pairs of tokens.
+PAIR_ENTRIES = 100_000
 
 #: The pre-token pattern of this public vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,6 +40,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _pair(left: int, right: int) -> int:
+    return left << 32 | right
+
+
 class PrefixBpe:
     """Encoder and decoder over one tokenizer file of kind byte-level BPE."""
 
@@ -50,12 +56,12 @@ class PrefixBpe:
         self.token_bytes = {i: raw(t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
-        self.pair_rank: dict[tuple[int, int], int] = {}
+        self.pair_rank: dict[int, int] = {}  # by _pair of two ids
         self.made_from: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             pair = vocab[left], vocab[right]
-            self.pair_rank[pair] = rank
+            self.pair_rank[_pair(*pair)] = rank
             self.made_from.setdefault(vocab[left + right], (rank, *pair))
         self.suffixes = ahocorasick.Automaton()
         for token, i in vocab.items():
@@ -67,7 +73,7 @@ class PrefixBpe:
         self.later = re.compile("[\u0558-\U0010ffff]").search
         self.library_split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes of two tokens ends with just these two.
@@ -76,13 +82,13 @@ class PrefixBpe:
         undone first. A merge across the boundary would have come first if its rank
         is below that of the undone step; at equal rank the leftmost merge wins.
         """
-        known = self._fits.get((left, right))
+        key, none = _pair(left, right), (-1, -1, -1)
+        known = self._fits.get(key)
         if known is not None:
             return known
-        key, none = (left, right), (-1, -1, -1)
         before, inclusive, ok = len(self.pair_rank), False, True
         while True:
-            rank = self.pair_rank.get((left, right))
+            rank = self.pair_rank.get(_pair(left, right))
             if rank is not None and (rank < before or inclusive and rank == before):
                 ok = False
                 break
@@ -93,7 +99,7 @@ class PrefixBpe:
                 before, inclusive, left = l[0], False, l[2]
             else:
                 before, inclusive, right = r[0], True, r[1]
-        if len(self._fits) < 2 * MEMO_ENTRIES:
+        if len(self._fits) < PAIR_ENTRIES:
             self._fits[key] = ok
         return ok
 
@@ -154,15 +160,15 @@ class _Memo(dict):
         return ids
 
 
-_loaded: dict[str, tuple[PrefixBpe, _Memo, dict[str, bytes]]] = {}
-
-
 def worker_bpe(path: str) -> tuple[PrefixBpe, _Memo, dict[str, bytes]]:
     """The encoder of this Python worker with its memo and its table for decoding."""
-    if path not in _loaded:
+
+    def make() -> tuple[PrefixBpe, _Memo, dict[str, bytes]]:
         bpe = PrefixBpe(path)
-        _loaded[path] = bpe, _Memo(bpe), {str(i): b for i, b in bpe.token_bytes.items()}
-    return _loaded[path]
+        give_back()  # what parsing the file took
+        return bpe, _Memo(bpe), {str(i): b for i, b in bpe.token_bytes.items()}
+
+    return worker_cache("bpe", path, make)
 
 
 def encode_text(path: str, text: str) -> str:
@@ -210,5 +216,6 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = Fals
             if keep_ids:
                 cols.append(pa.array(all_ids, added[3][1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *(n for n, _ in added)])
+        give_back()
 
     return base.mapInArrow(run, schema)

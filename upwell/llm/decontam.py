@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import ship_package
+from upwell.llm._common import ship_package, worker_cache
 
 #: One edit in so many characters of an item is allowed.
 CHARS_PER_ERROR = 20
@@ -127,15 +127,8 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield [(r["item_id"], normalise(r["text"])) for r in part.distinct().collect()]
 
 
-_matchers: dict[tuple, Matcher] = {}
-
-
 def _matcher(items: list[tuple[int, str]], chars_per_error: int) -> Matcher:
-    key = (chars_per_error, hash(tuple(items)))
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(items, chars_per_error)
-    return _matchers[key]
+    return worker_cache("decontam", f"{chars_per_error}-{hash(tuple(items))}", lambda: Matcher(items, chars_per_error))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import ship_package, worker_cache
+from upwell.llm._common import give_back, ship_package, worker_cache
 
 #: Bounds of the training sample: documents for each language (expected), and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
@@ -29,9 +29,9 @@ MAX_LANGUAGES = 512
 EM_ROUNDS, SMOOTHING = 3, 0.05
 #: Letter runs beyond this are scored in parts, so that sums stay in range.
 MAX_RUN = 200
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 150_000
 #: Words whose lattices are built at once.
-WORDS_AT_ONCE = 4_000
+WORDS_AT_ONCE = 2_000
 _PACK = 1 << 20
 #: Keeps sums near 1: each character's probability is scaled by this.
 CHAR_SCALE = 14.0
@@ -234,7 +234,7 @@ class _Scorer:
         return out
 
 
-_GROUP = 256
+_GROUP = 128
 
 
 def _scorer(key: str, model: LanguageModel) -> _Scorer:
@@ -273,6 +273,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             got = judge(batch.column("text"))
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "lang_pred", "score"])
+        give_back()
 
     return base.mapInArrow(run, base.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema)
 
@@ -284,5 +285,6 @@ def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in judge(batch.column("text"))], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

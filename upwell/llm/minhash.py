@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import Scratch, components, drop_ids, keep_ids, ship_package
+from upwell.llm._common import Scratch, components, drop_ids, give_back, keep_ids, ship_package, worker_cache
 
 BANDS, ROWS = 40, 5
 #: A block of the loose comparison holds about so many documents and shingles at most.
@@ -93,7 +93,7 @@ _FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 def _features(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        perm = OnePermutation(bands, rows)
+        perm = worker_cache("minhash", f"{bands}-{rows}", lambda: OnePermutation(bands, rows))
         for batch in batches:
             sizes, digests, keys = [], [], []
             for text in batch.column("text"):
@@ -105,6 +105,7 @@ def _features(width: int, bands: int, rows: int) -> Callable[[Iterator[pa.Record
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "set_key", "bands"],
             )
+        give_back()
 
     return run
 
@@ -114,6 +115,7 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), width).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        give_back()
 
     return run
 

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import Scratch, drop_ids, ship_package
+from upwell.llm._common import Scratch, drop_ids, ship_package, worker_cache
 
 CACHE_SCHEMA = "text_digest binary, tokenizer_digest string, n_tokens long"
 #: Entries of a worker's memo of pre-token counts, and the longest pre-token in it.
@@ -72,13 +72,8 @@ class _PieceCounts:
         return len(self.model.encode(text))
 
 
-_counters: dict[str, _BpeCounts | _PieceCounts] = {}
-
-
 def counter(path: str) -> _BpeCounts | _PieceCounts:
-    if path not in _counters:
-        _counters[path] = _PieceCounts(path) if path.endswith(".model") else _BpeCounts(path)
-    return _counters[path]
+    return worker_cache("token_counts", path, lambda: _PieceCounts(path) if path.endswith(".model") else _BpeCounts(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 512, scratch: Scratch | None = None) -> DataFrame:
