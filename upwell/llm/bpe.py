@@ -19,15 +19,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
-from tokenizers import pre_tokenizers
 
 from upwell.llm._common import give_back, ship_package, worker_cache
 
-#: Entries of a worker's pre-token memo; beyond it results are computed, not stored.
-MEMO_ENTRIES = 150_000
+#: Entries of a worker's memos of pre-tokens and of pairs of tokens, some 300 bytes each
+#: together; beyond them results are computed, not stored.
+MEMO_ENTRIES = 100_000
 MEMO_BYTES = 64
-#: Entries of its memo of pairs of tokens.
-PAIR_ENTRIES = 100_000
 
 #: The pre-token pattern of this public vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,7 +45,8 @@ def _pair(left: int, right: int) -> int:
 class PrefixBpe:
     """Encoder and decoder over one tokenizer file of kind byte-level BPE."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
+        self.memo_entries = memo_entries
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -71,7 +70,7 @@ class PrefixBpe:
         self.suffixes.make_automaton()
         self.words = regex.compile(PATTERN).findall
         self.later = re.compile("[\u0558-\U0010ffff]").search
-        self.library_split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.library_split = None
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
         self._fits: dict[int, bool] = {}
 
@@ -83,9 +82,6 @@ class PrefixBpe:
         is below that of the undone step; at equal rank the leftmost merge wins.
         """
         key, none = _pair(left, right), (-1, -1, -1)
-        known = self._fits.get(key)
-        if known is not None:
-            return known
         before, inclusive, ok = len(self.pair_rank), False, True
         while True:
             rank = self.pair_rank.get(_pair(left, right))
@@ -99,25 +95,36 @@ class PrefixBpe:
                 before, inclusive, left = l[0], False, l[2]
             else:
                 before, inclusive, right = r[0], True, r[1]
-        if len(self._fits) < PAIR_ENTRIES:
+        if len(self._fits) < self.memo_entries:
             self._fits[key] = ok
         return ok
 
-    def encode_bytes(self, piece: bytes) -> list[int]:
+    def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token."""
-        last = [(-1, 0)] * (len(piece) + 1)
-        for end, (token, size) in self.suffixes.iter(piece.decode("latin-1")):
-            if last[end + 1][1]:
+        piece = word if word.isascii() else word.encode().decode("latin-1")
+        token_at, size_at = [-1] * (len(piece) + 1), [0] * (len(piece) + 1)
+        known = self._fits.get
+        for end, (token, size) in self.suffixes.iter(piece):
+            end += 1
+            if size_at[end]:
                 continue  # the last token of a prefix is unique
-            start = end + 1 - size
-            if start == 0 or last[start][1] and self.fits(last[start][0], token):
-                last[end + 1] = (token, size)
+            start = end - size
+            if start:
+                before = token_at[start]
+                if before < 0:
+                    continue
+                ok = known(before << 32 | token)
+                if ok is None:
+                    ok = self.fits(before, token)
+                if not ok:
+                    continue
+            token_at[end], size_at[end] = token, size
         ids, at = [], len(piece)
         while at:
-            token, size = last[at]
-            ids.append(token)
-            at -= size
-        return ids[::-1]
+            ids.append(token_at[at])
+            at -= size_at[at]
+        ids.reverse()
+        return ids
 
     def pre_tokens(self, part: str) -> list[str]:
         """Pre-tokens of a text without special strings.
@@ -126,6 +133,10 @@ class PrefixBpe:
         on, so there the library's own splitter decides.
         """
         if self.later(part):
+            if self.library_split is None:
+                from tokenizers import pre_tokenizers  # few workers need it
+
+                self.library_split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
             return [part[a:b] for _, (a, b) in self.library_split(part)]
         return self.words(part)
 
@@ -139,7 +150,7 @@ class PrefixBpe:
         ids: list[int] = []
         for special, words in self.pieces(text):
             for w in words:
-                ids += [self.special[w]] if special else self.encode_bytes(w.encode())
+                ids += [self.special[w]] if special else self.encode_word(w)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -154,42 +165,43 @@ class _Memo(dict):
         self.bpe = bpe
 
     def __missing__(self, word: str) -> str:
-        ids = ",".join(map(str, self.bpe.encode_bytes(word.encode())))
-        if len(self) < MEMO_ENTRIES and len(word) <= MEMO_BYTES:
+        ids = ",".join(map(str, self.bpe.encode_word(word)))
+        if len(self) < self.bpe.memo_entries and len(word) <= MEMO_BYTES:
             self[word] = ids
         return ids
 
 
-def worker_bpe(path: str) -> tuple[PrefixBpe, _Memo, dict[str, bytes]]:
+def worker_bpe(path: str, memo_entries: int = MEMO_ENTRIES) -> tuple[PrefixBpe, _Memo, dict[str, bytes]]:
     """The encoder of this Python worker with its memo and its table for decoding."""
 
     def make() -> tuple[PrefixBpe, _Memo, dict[str, bytes]]:
-        bpe = PrefixBpe(path)
+        bpe = PrefixBpe(path, memo_entries)
         give_back()  # what parsing the file took
         return bpe, _Memo(bpe), {str(i): b for i, b in bpe.token_bytes.items()}
 
-    return worker_cache("bpe", path, make)
+    return worker_cache("bpe", f"{memo_entries}:{path}", make)
 
 
-def encode_text(path: str, text: str) -> str:
+def encode_text(path: str, text: str, memo_entries: int = MEMO_ENTRIES) -> str:
     """Decimal ids of a text joined by commas."""
-    bpe, memo, _ = worker_bpe(path)
+    bpe, memo, _ = worker_bpe(path, memo_entries)
     out = []
     for special, words in bpe.pieces(text):
         out.append(str(bpe.special[words[0]]) if special else ",".join(map(memo.__getitem__, words)))
     return ",".join(out)
 
 
-def decode_text(path: str, ids: str) -> str:
-    table = worker_bpe(path)[2]
+def decode_text(path: str, ids: str, memo_entries: int = MEMO_ENTRIES) -> str:
+    table = worker_bpe(path, memo_entries)[2]
     return b"".join(map(table.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """Encodes and decodes each whole text; adds to every row of ``docs``
 
     ``n_tokens`` long, ``ids_sha256`` and ``decoded_sha256`` strings, and with
-    ``keep_ids`` also ``ids`` (array of int). A null text counts as empty: no
+    ``keep_ids`` also ``ids`` (array of int). ``memo_entries`` bounds a worker's memory, results
+    don't depend on it. A null text counts as empty: no
     tokens and the digests of nothing. Columns of ``docs`` of these names are replaced.
     Rows are neither dropped nor merged, so repeated rows give repeated results.
     """
@@ -206,8 +218,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = Fals
         for batch in batches:
             rows, all_ids = [], []
             for text in batch.column("text"):
-                ids = encode_text(tokenizer_path, text.as_py() or "")
-                back = decode_text(tokenizer_path, ids)
+                ids = encode_text(tokenizer_path, text.as_py() or "", memo_entries)
+                back = decode_text(tokenizer_path, ids, memo_entries)
                 n = ids.count(",") + 1 if ids else 0
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
                 if keep_ids:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain, repeat
 
 import ahocorasick
@@ -24,12 +24,13 @@ from upwell.llm._common import give_back, ship_package, worker_cache
 
 #: Bounds of the training sample: documents for each language (expected), and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
-#: Languages with fewer training documents than this are learned too; more languages than this are refused.
+#: More languages than this are refused.
 MAX_LANGUAGES = 512
 EM_ROUNDS, SMOOTHING = 3, 0.05
 #: Letter runs beyond this are scored in parts, so that sums stay in range.
 MAX_RUN = 200
-MEMO_ENTRIES = 150_000
+#: Entries of a worker's memo of word scores, some 200 bytes each; results don't depend on it.
+MEMO_ENTRIES = 100_000
 #: Words whose lattices are built at once.
 WORDS_AT_ONCE = 2_000
 _PACK = 1 << 20
@@ -192,8 +193,8 @@ def fit(docs: DataFrame, pieces: list[str], train_docs: int = TRAIN_DOCS, train_
 class _Scorer:
     """Scores texts with a memo of word scores."""
 
-    def __init__(self, model: LanguageModel):
-        self.model = model
+    def __init__(self, model: LanguageModel, memo_entries: int = MEMO_ENTRIES):
+        self.model, self.memo_entries = model, memo_entries
         self.memo: dict[str, int] = {}
         self.table = np.empty((0, len(model.languages)))
 
@@ -206,7 +207,7 @@ class _Scorer:
         new = {w: i for i, w in enumerate(dict.fromkeys(words[i] for i in missing), len(self.table))}
         at[missing] = [new[words[i]] for i in missing]
         table = np.concatenate([self.table, self.model.word_scores(list(new))])
-        if len(table) <= MEMO_ENTRIES:
+        if len(table) <= self.memo_entries:
             self.memo.update(new)
             self.table = table
         return table[at]
@@ -237,11 +238,12 @@ class _Scorer:
 _GROUP = 128
 
 
-def _scorer(key: str, model: LanguageModel) -> _Scorer:
-    return worker_cache("langid", key, lambda: _Scorer(model))
+def _scorer(key: str, model: LanguageModel, memo_entries: int) -> _Scorer:
+    # a copy, as the broadcast value outlives the stage and must not hold the lattice
+    return worker_cache("langid", f"{memo_entries}:{key}", lambda: _Scorer(replace(model), memo_entries))
 
 
-def _judges(docs: DataFrame, model: LanguageModel):
+def _judges(docs: DataFrame, model: LanguageModel, memo_entries: int):
     """A function from a text column to judgements, to run on executors."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -249,7 +251,7 @@ def _judges(docs: DataFrame, model: LanguageModel):
     key = f"{spark.sparkContext.applicationId}-{hash(model.log_prob.tobytes())}"
 
     def judge(column: pa.Array) -> list[tuple[str, float]]:
-        scorer, got = _scorer(key, shared.value), []
+        scorer, got = _scorer(key, shared.value, memo_entries), []
         for at in range(0, len(column), _GROUP):
             got += scorer.judge(column[at : at + _GROUP].to_pylist())
         return got
@@ -257,7 +259,7 @@ def _judges(docs: DataFrame, model: LanguageModel):
     return judge
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to every row of ``docs`` by its whole ``text``.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 if the text is null or has
@@ -266,7 +268,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     repeated rows give the same.
     """
     base = docs.drop("lang_pred", "score")
-    judge = _judges(docs, model)
+    judge = _judges(docs, model, memo_entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,9 +280,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return base.mapInArrow(run, base.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema)
 
 
-def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """The rows of ``docs`` with a language other than ``und`` and a score of ``least`` or more."""
-    judge = _judges(docs, model)
+    judge = _judges(docs, model, memo_entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -58,14 +58,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, load_pieces(public_tokenizers.path(PIECES)))
-    return identify(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+    return identify(docs.select("doc_id", "text", held_out().alias("held_out")), model, memo_entries=300_000).drop("text")
 
 
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from upwell.llm.bpe import encode_documents
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_documents(docs, public_tokenizers.path(TOKENIZER)).drop("text")
+    return encode_documents(docs, public_tokenizers.path(TOKENIZER), memo_entries=400_000).drop("text")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
