@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upwell.config import SNIPPET_CHARS, UNFILTERED_MARK
+from upwell.config import UNFILTERED_MARK
 from upwell.sources.keywords import keyword_array
 
 
@@ -31,24 +31,16 @@ def whitelist(posts: DataFrame, keywords: list[str]) -> DataFrame:
 def keyword_join(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     """``whitelist`` for lists too long for a constant: ``keywords(pos, keyword)`` as a relation.
 
-    Each text is cut to its distinct substrings of the lengths that occur among the keywords
-    and joined by equality, so no text meets every keyword.
+    Texts and keywords meet by equality of an anchor, a run of characters as long as the
+    shortest keyword: each keyword's first ones, and every distinct such run of a text.
     """
-    # lengths beyond a snippet's can't match, so there are few
-    lengths = [r["n"] for r in keywords.select(F.length("keyword").alias("n")).filter(F.col("n").between(1, SNIPPET_CHARS)).distinct().orderBy("n").collect()]
-    if not lengths:
+    shortest = keywords.filter("keyword <> ''").agg(F.min(F.length("keyword")).alias("n")).first()["n"]
+    if shortest is None:
         return posts.filter(F.lit(False)).withColumn("matched_keyword", F.lit(None).cast("string"))
     n = F.length("text_snippet")
-    cuts = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.array(*map(F.lit, lengths)),
-                lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("text_snippet"), i, k))).otherwise(
-                    F.expr("cast(array() as array<string>)")
-                ),
-            )
-        )
-    )
-    hits = posts.select("ingest_seq", F.explode(cuts).alias("keyword")).join(keywords, "keyword")
+    runs = F.transform(F.sequence(F.lit(1), n - shortest + 1), lambda i: F.substring(F.col("text_snippet"), i, F.lit(shortest)))
+    anchored = keywords.withColumn("anchor", F.substring("keyword", 1, shortest))
+    cut = posts.filter(n >= shortest).select("ingest_seq", "text_snippet", F.explode(F.array_distinct(runs)).alias("anchor"))
+    hits = cut.join(anchored, "anchor").filter(F.contains("text_snippet", F.col("keyword")))
     best = hits.groupBy("ingest_seq").agg(F.min_by("keyword", "pos").alias("matched_keyword"))
     return posts.join(best, "ingest_seq")
