@@ -282,6 +282,26 @@ def test_language_rows(spark, odd, empty):
     assert langid.identify(empty, model).collect() == []
 
 
+def test_long_runs_outside_the_vocabulary(spark):
+    pieces = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, pieces)
+    runs = ["\u0e01" * 60, "q" * 200, "\u4e00" * 200, "\u0e01" * 200]
+    assert np.isfinite(model.word_scores(runs)).all()
+    # both ways of summing agree where both are in range
+    some = ["the", "straße", "q" * 20, "\u0e01" * 40]
+    plain = np.log(model.lattice.forward(some, model._scaled)) - np.array([[len(w) + 1] for w in some]) * np.log(langid.CHAR_SCALE)
+    assert np.allclose(model.lattice.log_forward(some, model.log_prob), plain)
+    english = docs.filter("lang = 'en' and n_chars > 500").orderBy("doc_id").first()["text"]
+    made = spark.createDataFrame([(i, f"{english} {run} {english}") for i, run in enumerate(runs)], "doc_id long, text string")
+    got = langid.identify(made, model).collect()
+    assert [r["lang_pred"] for r in got] == ["en"] * len(runs) and all(0.99 < r["score"] <= 1 for r in got)
+    assert langid.accepted(made, model).count() == len(runs)
+    # such runs in the training texts leave the model finite
+    taught = langid.train([("en", "the cat sat " + "\u0e01" * 200), ("de", "der hund " + "q" * 200)], pieces)
+    assert np.isfinite(taught.log_prob).all()
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs, langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))

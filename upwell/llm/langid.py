@@ -27,7 +27,7 @@ TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
 #: More languages than this are refused.
 MAX_LANGUAGES = 512
 EM_ROUNDS, SMOOTHING = 3, 0.05
-#: Letter runs beyond this are scored in parts, so that sums stay in range.
+#: Letter runs beyond this are scored in parts, so that lattices stay small.
 MAX_RUN = 200
 #: Entries of a worker's memo of word scores, some 200 bytes each; results don't depend on it.
 MEMO_ENTRIES = 100_000
@@ -37,6 +37,9 @@ _PACK = 1 << 20
 #: Keeps sums near 1: each character's probability is scaled by this.
 CHAR_SCALE = 14.0
 FLOOR = 1e-7
+#: Sums over words of so many letters stay in range: (FLOOR * CHAR_SCALE) ** 51 is above 1e-300.
+#: Longer words are summed as logs.
+PLAIN_LETTERS = 50
 
 _RUNS = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{MAX_RUN - 1}}}")
 
@@ -112,6 +115,25 @@ class Lattice:
                 np.add.at(beta, source[a:b], beta[target[a:b]] * prob[piece[a:b]])
         return alpha, beta, source, target, piece, last
 
+    def log_forward(self, words: list[str], log_prob: np.ndarray, keep: bool = False):
+        """As ``forward``, in logs throughout: for words whose sums would leave the range."""
+        source, target, piece, bounds, last = self.edges(words)
+        alpha = np.full((int(last[-1]) + 2, log_prob.shape[1]), -np.inf)
+        alpha[np.concatenate([[0], last[:-1] + 1])] = 0.0
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if a < b:
+                t = target[a:b]
+                cut = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                alpha[t[cut]] = np.logaddexp.reduceat(alpha[source[a:b]] + log_prob[piece[a:b]], cut, axis=0)
+        if not keep:
+            return alpha[last]
+        beta = np.full_like(alpha, -np.inf)
+        beta[last] = 0.0
+        for a, b in zip(bounds[:-1][::-1], bounds[1:][::-1], strict=True):
+            if a < b:
+                np.logaddexp.at(beta, source[a:b], beta[target[a:b]] + log_prob[piece[a:b]])
+        return alpha, beta, source, target, piece, last
+
 
 @dataclass
 class LanguageModel:
@@ -132,13 +154,24 @@ class LanguageModel:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word by language."""
-        out = []
+        out = np.empty((len(words), len(self.languages)))
         lattice = self.lattice
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            part = words[at : at + WORDS_AT_ONCE]
-            sums = np.log(lattice.forward(part, self._scaled))
-            out.append(sums - np.array([len(w) + 1 for w in part])[:, None] * np.log(CHAR_SCALE))
-        return np.concatenate(out) if out else np.empty((0, len(self.languages)))
+        for at, long in _parts(words):
+            part = [words[i] for i in at]
+            if long:
+                out[at] = lattice.log_forward(part, self.log_prob)
+            else:
+                out[at] = np.log(lattice.forward(part, self._scaled)) - np.array([len(w) + 1 for w in part])[:, None] * np.log(CHAR_SCALE)
+        return out
+
+
+def _parts(words: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+    """Positions of words whose lattices are built at once, and whether they are long ones."""
+    long = np.fromiter((len(w) > PLAIN_LETTERS for w in words), bool, len(words))
+    for kind in (False, True):
+        at = np.flatnonzero(long == kind)
+        for i in range(0, len(at), WORDS_AT_ONCE):
+            yield at[i : i + WORDS_AT_ONCE], kind
 
 
 def train(texts: list[tuple[str, str]], pieces: list[str], rounds: int = EM_ROUNDS) -> LanguageModel:
@@ -154,12 +187,17 @@ def train(texts: list[tuple[str, str]], pieces: list[str], rounds: int = EM_ROUN
         for _ in range(rounds if words else 0):
             expected = np.zeros(len(pieces) + 1)
             scaled = (np.maximum(prob, FLOOR) * CHAR_SCALE**lattice.size)[:, None]
-            for at in range(0, len(words), WORDS_AT_ONCE):
-                part, w = words[at : at + WORDS_AT_ONCE], weight[at : at + WORDS_AT_ONCE]
-                alpha, beta, source, target, piece, last = lattice.forward(part, scaled, keep=True)
-                total = alpha[last, 0]
-                owner = np.searchsorted(last, target)
-                share = alpha[source, 0] * scaled[piece, 0] * beta[target, 0] / total[owner] * w[owner]
+            log_prob = np.log(np.maximum(prob, FLOOR))[:, None]
+            for at, long in _parts(words):
+                part, w = [words[i] for i in at], weight[at]
+                if long:
+                    alpha, beta, source, target, piece, last = lattice.log_forward(part, log_prob, keep=True)
+                    owner = np.searchsorted(last, target)
+                    share = np.exp(alpha[source, 0] + log_prob[piece, 0] + beta[target, 0] - alpha[last, 0][owner]) * w[owner]
+                else:
+                    alpha, beta, source, target, piece, last = lattice.forward(part, scaled, keep=True)
+                    owner = np.searchsorted(last, target)
+                    share = alpha[source, 0] * scaled[piece, 0] * beta[target, 0] / alpha[last, 0][owner] * w[owner]
                 expected += np.bincount(piece, share, len(pieces) + 1)
             prob = (expected + SMOOTHING) / (expected + SMOOTHING).sum()
         columns.append(np.log(np.maximum(prob, FLOOR)))
