@@ -234,6 +234,15 @@ def test_leaks_against_brute_force(spark, odd, empty):
     assert decontam.find_leaks(odd, bench.limit(0)).collect() == [] == decontam.find_leaks(empty, bench).collect()
 
 
+def test_short_items_match_whole_words(spark):
+    items = [(1, "Paris"), (2, "What is 2 + 2?"), (3, "東京の首都"), (4, "the capital of  France"), (5, ""), (6, "  ")]
+    docs = [(0, "paris"), (1, "x comparison parisian paris2"), (2, "(Paris), PARIS"), (3, "so what IS 2 +\n2? yes"), (4, "これは東京の首都です"), (5, "the capital of France."), (6, "the capitol of France"), (7, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    made = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in decontam.find_leaks(made, bench).collect()) == [(0, 1, 0), (2, 1, 0), (3, 2, 0), (4, 3, 0), (5, 4, 0)]
+    assert sorted(r["doc_id"] for r in decontam.without_leaks(made, bench).collect()) == [1, 6, 7]
+
+
 def test_item_blocks_cover_all(spark):
     bench = spark.createDataFrame([(i, f"item number {i} " + "x" * 40) for i in range(50)], "item_id long, text string")
     blocks = list(decontam.item_blocks(bench, block_bytes=500))

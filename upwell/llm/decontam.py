@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from upwell.llm._common import ship_package, worker_cache
 
 #: One edit in so many characters of an item is allowed.
 CHARS_PER_ERROR = 20
-#: Items of fewer characters are too short to tell a leak from chance; they match nothing.
+#: Items of fewer characters allow no edit and match whole words only.
 MIN_CHARS = 24
 #: Bytes of benchmark text that go to each worker at once; more items make more passes.
 BLOCK_BYTES = 8 << 20
@@ -30,12 +31,21 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+#: Two characters of one word; scripts without spaces have no such pairs.
+_JOINED = regex.compile(r"[[\w]--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]]{2}", regex.V1)
+
+
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` cuts no word at its ends."""
+    return not any(_JOINED.fullmatch(text, i - 1, i + 1) for i in (start, end) if 0 < i < len(text))
+
+
 class Item:
     """One benchmark text with its match masks."""
 
     def __init__(self, item_id: int, text: str, chars_per_error: int = CHARS_PER_ERROR):
         self.item_id, self.text, self.n = item_id, text, len(text)
-        self.budget = self.n // chars_per_error
+        self.budget = self.n // chars_per_error if self.n >= MIN_CHARS else 0
         self.top = 1 << (self.n - 1)
         self.ones = (1 << self.n) - 1
         self.masks: dict[str, int] = defaultdict(int)
@@ -78,7 +88,7 @@ class Matcher:
     """All items of one block."""
 
     def __init__(self, items: list[tuple[int, str]], chars_per_error: int = CHARS_PER_ERROR):
-        self.items = [Item(i, t, chars_per_error) for i, t in items if len(t) >= MIN_CHARS]
+        self.items = [Item(i, t, chars_per_error) for i, t in items if t]
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, item in enumerate(self.items):
             for piece, offset in item.pieces():
@@ -95,10 +105,14 @@ class Matcher:
             return []
         text = normalise(text)
         spots: dict[int, set[int]] = defaultdict(set)
+        exact: set[int] = set()
         for end, (size, places) in self.automaton.iter(text):
             for k, offset in places:
-                spots[k].add(end + 1 - size - offset)  # where the item would begin
-        found = []
+                if self.items[k].n >= MIN_CHARS:
+                    spots[k].add(end + 1 - size - offset)  # where the item would begin
+                elif k not in exact and whole_words(text, end + 1 - size, end + 1):
+                    exact.add(k)
+        found = [(self.items[k].item_id, 0) for k in exact]
         for k, starts in spots.items():
             item, best, until = self.items[k], self.items[k].budget + 1, -1
             ordered = sorted(starts)
@@ -135,8 +149,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHA
     """``doc_id, item_id, edits`` for every document and item within the item's budget.
 
     Both texts are lower-cased and their white space made single spaces. An item of n
-    characters allows n // ``chars_per_error`` edits. Null and empty documents, null items
-    and items under ``MIN_CHARS`` characters match nothing. Repeated document rows repeat
+    characters allows n // ``chars_per_error`` edits; under ``MIN_CHARS`` characters it
+    allows none and must not begin or end within a word. Null and empty documents and
+    items match nothing. Repeated document rows repeat
     their pairs; items that share an item_id each give a row. A null doc_id stays null.
     """
     spark = docs.sparkSession
