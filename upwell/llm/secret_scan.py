@@ -112,7 +112,8 @@ def find_secrets(docs: DataFrame, model: list[float], prior_log_odds: float = PR
 
     ``ord`` is the position in ``KINDS``; positions count code points, the end is
     exclusive. Base kinds are leftmost and non-overlapping by kind; random spans are added
-    only where no base span is. A null text counts as empty: no spans. Every row is
+    only where no base span is: of one that base spans cover in part, the stretches they
+    leave stay if they are likelier random than ordinary. A null text counts as empty: no spans. Every row is
     judged alone, so repeated rows give the same, and other columns pass through.
     """
     # a cast of a constant is folded once, a higher-order function would run per candidate
@@ -125,12 +126,30 @@ def find_secrets(docs: DataFrame, model: list[float], prior_log_odds: float = PR
         _spans(text, HEX.replace("+", "{16,}"), 2, lambda m: F.lit(True)),
     )
     extra = _spans(text, CANDIDATE, 3, lambda m: _ratio(m, table) > prior_log_odds)
-    free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    meets = lambda x: lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
+    span = lambda a, b: F.struct(a.alias("start"), F.lit(3).alias("ord"), b.alias("end"))
+
+    def left_over(x: Column) -> Column:
+        def step(acc: Column, b: Column) -> Column:
+            out = F.when(b["start"] > acc["pos"], F.array_append(acc["out"], span(acc["pos"], b["start"]))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["pos"], b["end"]).alias("pos"), out.alias("out"))
+
+        def likely(y: Column) -> Column:
+            # with the character before and after, if they are of the candidate
+            a, b = F.greatest(y["start"] - 1, x["start"]), F.least(y["end"] + 1, x["end"])
+            return _ratio(F.substring(text, a + 1, b - a), table) > 0
+
+        none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int>>)")
+        start = F.struct(x["start"].alias("pos"), none.alias("out"))
+        finish = lambda acc: F.when(acc["pos"] < x["end"], F.array_append(acc["out"], span(acc["pos"], x["end"]))).otherwise(acc["out"])
+        return F.filter(F.aggregate(F.array_sort(F.filter("_base", meets(x))), start, step, finish), likely)
+
+    free = F.flatten(F.transform("_extra", lambda x: F.when(F.exists("_base", meets(x)), left_over(x)).otherwise(F.array(x))))
     return (
         docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
         .withColumn("_base", base)
         .withColumn("_extra", extra)
-        .withColumn("found", F.array_sort(F.concat("_base", F.filter("_extra", free))))
+        .withColumn("found", F.array_sort(F.concat("_base", free)))
         .drop("_text", "_base", "_extra")
     )
 
