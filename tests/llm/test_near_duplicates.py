@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from upwell.llm import embed_dedup, minhash
-from upwell.llm._common import Scratch, components, drop_ids, keep_ids, maybe_in
+from upwell.llm._common import Scratch, _marked, components, drop_ids, keep_ids, require_integer
 
 
 class Sets:
@@ -178,5 +178,23 @@ def test_id_filters(spark):
     keep, gone = keep_ids(df, "k", ids), drop_ids(df, "k", ids)
     assert sorted(r["k"] for r in keep.collect()) == sorted([*range(0, 500, 7), 7])
     assert gone.count() == df.count() - keep.count() and gone.filter("k is null").count() == 1
-    assert maybe_in(df, "k", ids).filter("_maybe").count() < 120
+    marked, maybe = _marked(df, "k", ids)
+    assert marked.filter(maybe).count() < 120
     assert keep.columns == gone.columns == df.columns
+    odd = df.selectExpr("k", "k as id", "v as _slot", "v as _word", "v as _held", "v as _maybe", "v as `a.b`")
+    for f in (keep_ids, drop_ids):
+        out = f(odd, "k", ids)
+        assert out.columns == odd.columns and all(r["_slot"] == r["_held"] == r["_maybe"] == r["a.b"] for r in out.collect())
+    with pytest.raises(ValueError):
+        require_integer(df, "v")
+
+
+def test_scratch_tables_are_freed(spark):
+    scratch = Scratch(spark)
+    first = scratch.save(spark.range(3), "a")
+    mark = scratch.mark()
+    second, third = scratch.save(spark.range(4), "b"), scratch.save(spark.range(5), "c")
+    scratch.clear(mark, keep=(third,))
+    assert first.count() == 3 and third.count() == 5 and len(scratch._tables) == 2
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(second.scratch_path)

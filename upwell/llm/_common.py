@@ -14,13 +14,16 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 ROOT = Path(__file__).resolve().parents[2]
 
 #: Bytes of an Arrow batch between the JVM and Python.
 ARROW_BYTES = 4 << 20
-#: Rows of the broadcast bitmap of ``maybe_in`` at most (64 bits each, about 3 MB).
-BITMAP_WORDS = 1 << 16
+#: Rows of the broadcast bitmap of ids at least and at most (64 bits each; about 12 MB at most).
+BITMAP_WORDS = (1 << 10, 1 << 18)
+#: Bits of the bitmap for each id, as long as it is below its greatest size.
+BITS_PER_ID = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     base = tempfile.mkdtemp(prefix="upwell-shared-")
     spark.sparkContext.setCheckpointDir(base)
@@ -50,6 +53,7 @@ class Scratch:
         self._fs.mkdirs(self._path(self.root))
         self._fs.deleteOnExit(self._path(self.root))
         self._n = 0
+        self._tables: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -60,11 +64,26 @@ class Scratch:
         df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved.scratch_path = path
+        self._tables.append(path)
         return saved
 
-    def drop(self, df: DataFrame) -> None:
-        """Frees a table that no later step reads."""
-        self._fs.delete(self._path(df.scratch_path), True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Frees tables that no later step reads."""
+        for df in tables:
+            self._fs.delete(self._path(df.scratch_path), True)
+            self._tables.remove(df.scratch_path)
+
+    def mark(self) -> int:
+        """To free with ``clear`` what is saved from now on."""
+        return len(self._tables)
+
+    def clear(self, mark: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Frees the tables saved since ``mark`` but those of ``keep``, which later steps read."""
+        kept = {df.scratch_path for df in keep}
+        for path in self._tables[mark:]:
+            if path not in kept:
+                self._fs.delete(self._path(path), True)
+        self._tables[mark:] = [p for p in self._tables[mark:] if p in kept]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -115,47 +134,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Adds ``_maybe``: false means that ``key`` is surely not among ``ids`` (one column).
+def fresh_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list:
+    """The columns in order, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
 
-    The filter is a bitmap of fixed size, so its broadcast cannot grow with the data;
-    when it fills up it stops saving work but stays right. Null keys are never in.
+def require_integer(df: DataFrame, column: str) -> DataFrame:
+    """``df`` if the column has an integer type (or no type at all), else ``ValueError``."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise ValueError(f"{column} must be an integer column, not {kind.simpleString()}")
+    return df
+
+
+def _marked(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a boolean column, and its name: false means that ``key`` is surely not among ``ids``.
+
+    The filter is a bitmap sized by the number of ids up to a fixed bound, so its broadcast
+    cannot outgrow it; when it fills up it stops saving work but stays right. Null keys are
+    never in. ``ids`` is read twice, so it should be a saved table.
     """
-    bits = BITMAP_WORDS * 64
+    least, most = BITMAP_WORDS
+    wanted = ids.count() * BITS_PER_ID // 64
+    bits = 64 * min(most, max(least, 1 << max(0, wanted - 1).bit_length()))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     one = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(s, F.lit(64)).cast("int"))
+    at, word, held, maybe = (fresh_name(n, df) for n in ("_slot", "_word", "_held", "_maybe"))
     bitmap = (
-        ids.toDF("_id")
-        .filter("_id is not null")
-        .select(slot(F.col("_id")).alias("_s"))
-        .select(F.floor(F.col("_s") / 64).cast("int").alias("_w"), one(F.col("_s")).alias("_b"))
-        .groupBy("_w")
-        .agg(F.bit_or("_b").alias("_b"))
-    )
-    keyed = df.withColumn("_s", slot(F.col(key))).withColumn("_w", F.floor(F.col("_s") / 64).cast("int"))
-    hit = (F.col("_b").bitwiseAND(one(F.col("_s"))) != 0) & F.col(key).isNotNull()
-    return (
-        keyed.join(F.broadcast(bitmap), "_w", "left")
-        .withColumn("_maybe", F.coalesce(hit, F.lit(False)))
-        .drop("_s", "_w", "_b")
+        ids.toDF("id")
+        .filter("id is not null")
+        .select(slot(F.col("id")).alias(at))
+        .select(F.floor(F.col(at) / 64).cast("int").alias(word), one(F.col(at)).alias("bit"))
+        .groupBy(word)
+        .agg(F.bit_or("bit").alias(held))
     )
+    keyed = df.withColumn(at, slot(F.col(key))).withColumn(word, F.floor(F.col(at) / 64).cast("int"))
+    hit = (F.col(held).bitwiseAND(one(F.col(at))) != 0) & F.col(key).isNotNull()
+    joined = keyed.join(F.broadcast(bitmap), word, "left").withColumn(maybe, F.coalesce(hit, F.lit(False)))
+    return joined.select(*columns_of(df), maybe), maybe
 
 
 def keep_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Rows whose key is among ``ids``; only rows that pass the bitmap are shuffled."""
-    ids = ids.toDF("_id").distinct()
-    maybe = maybe_in(df, key, ids).filter("_maybe").drop("_maybe")
-    return maybe.join(ids.hint("shuffle_hash"), F.col(key) == F.col("_id"), "left_semi")
+    """Rows whose key is among ``ids`` (one column); only rows that pass the bitmap are shuffled."""
+    marked, maybe = _marked(df, key, ids)
+    return marked.filter(maybe).drop(maybe).join(ids.toDF(key).distinct().hint("shuffle_hash"), key, "left_semi").select(*columns_of(df))
 
 
 def drop_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows whose key is not among ``ids`` (null keys stay); most rows are not shuffled."""
-    ids = ids.toDF("_id").distinct()
-    marked = maybe_in(df, key, ids)
-    sure = marked.filter("not _maybe").drop("_maybe")
-    maybe = marked.filter("_maybe").drop("_maybe")
-    left = maybe.join(ids.hint("shuffle_hash"), F.col(key) == F.col("_id"), "left_anti")
-    return sure.unionByName(left)
+    marked, maybe = _marked(df, key, ids)
+    sure = marked.filter(~F.col(maybe)).drop(maybe)
+    left = marked.filter(maybe).drop(maybe).join(ids.toDF(key).distinct().hint("shuffle_hash"), key, "left_anti")
+    return sure.unionByName(left.select(*columns_of(df)))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -179,8 +217,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = hung.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         nxt = scratch.save(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = state(nxt)
-        for t in (e, low, large, low2):
-            scratch.drop(t)
+        scratch.drop(e, low, large, low2)
         e = nxt
         if after == before:
             break
