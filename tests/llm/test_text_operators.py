@@ -97,6 +97,21 @@ def test_token_counts_take_stored_values(spark):
     assert got[1] == 77 and got[2] != 88
 
 
+def test_rows_whose_filter_hashes_collide(spark, monkeypatch):
+    """A full bitmap and equal slots cost time but no document."""
+    from upwell.llm import _common
+
+    monkeypatch.setattr(_common, "BITMAP_WORDS", (1, 1))
+    rows = [(d, f"text {t}") for d in range(40) for t in (d % 7, d)] + [(None, "text 3"), (None, "only here"), (5, "text 5"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    library = Tokenizer.from_file(BPE)
+    for k in range(2):
+        cache = Scratch(spark).path(f"cache{k}")
+        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(docs, BPE, cache).collect())
+        assert got == sorted((str(d), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+        assert spark.read.parquet(cache).count() == len({t or "" for _, t in rows})
+
+
 def test_piece_model_counts():
     import sentencepiece
 

@@ -83,7 +83,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     tokens), so equal content has equal counts. ``cache_path`` is a Parquet folder of
     ``CACHE_SCHEMA`` that all executors reach; it need not exist. Counts of this
     tokenizer file's digest are read from it, and those of new texts are appended.
-    Rows with null or repeated doc_ids get their own results; other columns are ignored.
+    Rows with null or repeated doc_ids get their own results, doc_id keeps its type, and
+    other columns are ignored.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -95,18 +96,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     stored = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer_digest") == version)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    base = docs.select("doc_id", text.alias("text"))
     digest = F.unhex(F.sha2(F.col("text"), 256))
-    # a row's own mark tells copies of one text apart even where doc_ids are null
-    row_key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.col("text_digest"))
-    keys = scratch.save(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("text_digest")).withColumn("row_key", row_key), "keys")
+    keys = scratch.save(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("text_digest")), "keys")
     known = stored().select("text_digest").distinct()
-    misses = keys.join(known, "text_digest", "left_anti").groupBy("text_digest").agg(F.min("row_key").alias("chosen"))
-    misses = scratch.save(misses, "misses")
-    # most texts are the only copy of a miss, so what is skipped is the small side
-    skip = keys.join(misses, "text_digest", "left").filter("chosen is null or chosen <> row_key").select("row_key")
-    keyed = base.withColumn("text_digest", digest).withColumn("row_key", row_key)
-    fresh = drop_ids(keyed, "row_key", scratch.save(skip.distinct(), "skip")).select("text_digest", "text")
+    missing = keys.join(known, "text_digest", "left_anti")
+    # one copy of each missing text: the least doc_id, null if only rows without one hold it
+    chosen = scratch.save(missing.groupBy("text_digest").agg(F.min("doc_id").alias("chosen")), "chosen")
+    # most texts are the only copy of a miss, so what is skipped is the small side; a row is
+    # known by its doc_id and digest, so rows that repeat both are all encoded, and agree
+    row = F.struct(F.col("doc_id"), F.col("text_digest")).alias("row")
+    others = keys.join(chosen.withColumn("miss", F.lit(True)), "text_digest", "left").filter("miss is null or not (chosen <=> doc_id)")
+    skip = scratch.save(others.select(row).distinct(), "skip")
+    keyed = base.withColumn("text_digest", digest).withColumn("row", row)
+    fresh = drop_ids(keyed, "row", skip).select("text_digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,9 +117,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
             n = [count(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("text_digest"), pa.array(n, pa.int64())], ["text_digest", "n_tokens"])
 
-    # rows that repeat both id and text have one mark, so the cache still takes one of them
     counted = fresh.mapInArrow(run, "text_digest binary, n_tokens long").groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = counted.select("text_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
     rows.write.mode("append").parquet(cache_path)
     counts = scratch.save(stored().groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
-    return keys.join(counts, "text_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    scratch.drop(chosen, skip)
+    # every text has its count by now; one that lacks it must not vanish quietly
+    whole = F.coalesce("n_tokens", F.raise_error(F.lit("a text has no token count")).cast("long"))
+    out = keys.join(counts, "text_digest", "left").select("doc_id", "n_bytes", whole.alias("n_tokens"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
