@@ -77,6 +77,30 @@ def test_loose_members_of_large_stars(spark, monkeypatch):
     assert got == brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize("spread", [6, 12, 30])
+def test_links_within_a_block(spread):
+    rng = np.random.default_rng(spread)
+    base = rng.integers(0, 1 << 62, 60)
+    sets = []
+    for _ in range(300):
+        part = base.copy()
+        part[rng.integers(0, 60, rng.integers(0, spread))] = rng.integers(0, 1 << 62)
+        sets.append(np.unique(np.concatenate([part[: rng.integers(40, 61)], rng.integers(0, 1 << 62, rng.integers(0, spread))])))
+    comp, loose = rng.integers(0, 80, 300), rng.random(300) < 0.6
+    groups = Sets(range(80))
+    for u in range(300):
+        for v in range(300):
+            n = len(np.intersect1d(sets[u], sets[v]))
+            if u != v and loose[u] and comp[u] != comp[v] and 100 * n >= 80 * (len(sets[u]) + len(sets[v]) - n):
+                groups.join(int(comp[u]), int(comp[v]))
+    got = minhash.block_links(comp, loose, np.concatenate(sets), np.array([len(x) for x in sets]), 80)
+    mine = Sets(range(80))
+    for a, b in got:
+        assert mine.root(a) != mine.root(b)  # a forest
+        mine.join(a, b)
+    assert [mine.root(c) for c in range(80)] == [groups.root(c) for c in range(80)]
+
+
 def test_near_duplicate_edges(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
     rows = [

@@ -8,8 +8,8 @@
    members, never all pairs. Edges are confirmed on the full sets.
 4. A star can miss a link between two members of which one is not linked with the
    centre. So members that ended outside their centre's component ("loose") are
-   compared with the others of that star in blocks of bounded size; a task emits only
-   links that join two components.
+   compared with the others of that star in blocks of bounded size, where documents that
+   share no rare shingle are passed over; a task emits only links that join two components.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import Scratch, components, drop_ids, give_back, keep_ids, ship_package, worker_cache
+from upwell.llm._common import Scratch, components, drop_ids, give_back, keep_ids, require_integer, ship_package, worker_cache
 
 BANDS, ROWS = 40, 5
 #: A block of the loose comparison holds about so many documents and shingles at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 4096, 400_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)]
@@ -120,40 +120,59 @@ def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    size = high - low
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - size), size)
+
+
+def block_links(comp: np.ndarray, loose: np.ndarray, flat: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that a link joins, for links with a loose document; a forest of them.
+
+    Sets that reach ``percent`` share a shingle among the rarest of each, as many as they
+    may lack and one more, so only documents that meet there are compared in full.
+    """
+    labels, at = np.unique(comp, return_inverse=True)
+    if len(labels) < 2:
+        return []
+    values, code = np.unique(flat, return_inverse=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(np.bincount(code), kind="stable")] = np.arange(len(values))  # rare ones first
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    code = rank[code][np.lexsort((rank[code], doc))]
+    starts = np.cumsum(sizes) - sizes
+    lead = sizes + percent * sizes // -100 + 1
+    leading = np.flatnonzero(np.arange(len(code)) - starts[doc] < lead[doc])
+    order = leading[np.argsort(code[leading], kind="stable")]
+    holders, first = doc[order], np.searchsorted(code[order], np.arange(len(values) + 1))
+    root, seen = np.arange(len(labels)), np.zeros(len(values), np.int32)
+    out: list[tuple[int, int]] = []
+    for u in np.flatnonzero(loose):
+        own = code[starts[u] : starts[u] + sizes[u]]
+        met = np.unique(holders[_ranges(first[own[: lead[u]]], first[own[: lead[u]] + 1])])
+        fits = 100 * np.minimum(sizes[met], sizes[u]) >= percent * np.maximum(sizes[met], sizes[u])
+        met = met[fits & (root[at[met]] != root[at[u]])]
+        if not len(met):
+            continue
+        seen[own] = 1
+        both = np.add.reduceat(seen[code[_ranges(starts[met], starts[met] + sizes[met])]], np.cumsum(sizes[met]) - sizes[met])
+        seen[own] = 0
+        for v in met[100 * both >= percent * (sizes[u] + sizes[met] - both)]:
+            a, b = sorted((root[at[u]], root[at[v]]))
+            if a != b:
+                root[root == b] = a
+                out.append((int(comp[u]), int(comp[v])))
+    return out
+
+
 def _compare_block(percent: int) -> Callable[[pa.Table], pa.Table]:
     """Links between components among the documents of one pair of blocks."""
 
     def run(block: pa.Table) -> pa.Table:
-        ids = block.column("doc_id").to_numpy()
-        comp = block.column("component").to_numpy()
-        loose = block.column("loose").to_numpy(zero_copy_only=False)
         lists = block.column("shingles").combine_chunks()
-        flat = lists.flatten().to_numpy()
-        sizes = np.diff(lists.offsets.to_numpy())
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        parent = {c: c for c in comp.tolist()}
-
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        out: list[tuple[int, int]] = []
-        if len(parent) > 1:
-            values, code = np.unique(flat, return_inverse=True)
-            seen = np.zeros(len(values), np.int32)
-            for u in np.flatnonzero(loose):
-                own = code[starts[u] : starts[u] + sizes[u]]
-                seen[own] = 1
-                both = np.add.reduceat(seen[code], starts)
-                seen[own] = 0
-                linked = 100 * both >= percent * (sizes[u] + sizes - both)
-                for v in np.flatnonzero(linked & (comp != comp[u])):
-                    a, b = root(int(comp[u])), root(int(comp[v]))
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        out.append((int(comp[u]), int(comp[v])))
+        sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        out = block_links(block.column("component").to_numpy(), block.column("loose").to_numpy(zero_copy_only=False), lists.flatten().to_numpy(), sizes, percent)
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
@@ -168,9 +187,10 @@ def _loose_links(edges: DataFrame, comp: DataFrame, sets: DataFrame, sizes: Data
         .withColumn("component", F.coalesce("component", "doc_id"))
         .join(sizes, "doc_id")
     )
-    placed = scratch.save(placed, "placed")
+    first = placed = scratch.save(placed, "placed")
     homes = placed.filter("centre = doc_id").select("centre", F.col("component").alias("home"), F.col("n_shingles").alias("own"))
     placed = scratch.save(placed.join(homes, "centre").withColumn("loose", F.col("component") != F.col("home")), "placed")
+    scratch.drop(first)
     blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(s / BLOCK_SHINGLES))
     stars = placed.groupBy("centre").agg(
         blocks(F.count_if("loose"), F.sum(F.when(F.col("loose"), F.col("n_shingles")).otherwise(0))).cast("int").alias("n_loose"),
@@ -198,15 +218,17 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     """Per row of ``docs(doc_id, text)``: ``doc_id, n_shingles, component_id, kept``.
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| over their sets of
-    ``width``-word shingles; ``component_id`` is the smallest doc_id reachable by links,
+    ``width``-word shingles, each known by 64 bits of a hash: two of a pair of documents with
+    s shingles are taken for one with odds of about s * s / 2**64. ``component_id`` is the smallest doc_id reachable by links,
     ``kept`` is doc_id = component_id. Null, empty and blank texts have an empty set, link
     with nothing and are kept. Rows of a null doc_id link with nothing: component_id null,
     kept true. Rows that repeat a doc_id count as one document, linked by any of its
-    texts. Other columns are ignored.
+    texts. ``doc_id`` must be an integer column; other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark = require_integer(docs, "doc_id").sparkSession
     ship_package(spark)
     scratch = scratch or Scratch(spark)
+    mark = scratch.mark()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = scratch.save(texts.mapInArrow(_features(width, bands, rows), _FEATURES), "features")
     real = feats.filter("doc_id is not null and set_key is not null")
@@ -221,10 +243,12 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     ranked = scratch.save(members.select("bucket", "doc_id").join(degree, "doc_id"), "ranked")
     centres = ranked.groupBy("bucket").agg((-F.max(F.struct("degree", (-F.col("doc_id")).alias("neg")))["neg"]).alias("centre"))
     centres = scratch.save(centres, "centres")
+    scratch.drop(shared, members, degree)
     edges = ranked.join(centres, "bucket").filter("doc_id <> centre").select("centre", F.col("doc_id").alias("doc")).distinct()
     edges = scratch.save(edges, "stars")
+    scratch.drop(ranked, centres)
 
-    wanted = edges.select("doc").union(edges.select("centre").distinct()).distinct()
+    wanted = scratch.save(edges.select("doc").union(edges.select("centre").distinct()).distinct(), "wanted")
     sets = scratch.save(keep_ids(texts, "doc_id", wanted).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
     left = edges.join(sets.toDF("doc", "mine"), "doc")
     both = left.join(sets.toDF("centre", "theirs"), "centre")
@@ -245,6 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     )
     final = scratch.save(final.dropDuplicates(["node"]), "final")
     of_class = scratch.save(classes.join(final, classes["rep"] == final["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "of_class")
+    scratch.clear(mark, keep=(feats, of_class))
     got = feats.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return got.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -255,6 +280,8 @@ def kept_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 
     Rows that repeat a kept doc_id all stay; columns are those of ``docs``.
     """
-    gone = near_duplicates(docs, width, percent).filter("not kept").select("doc_id")
     scratch = Scratch(docs.sparkSession)
-    return drop_ids(docs, "doc_id", scratch.save(gone.distinct(), "gone"))
+    gone = near_duplicates(docs, width, percent, scratch=scratch).filter("not kept").select("doc_id")
+    gone = scratch.save(gone.distinct(), "gone")
+    scratch.clear(keep=(gone,))
+    return drop_ids(docs, "doc_id", gone)
