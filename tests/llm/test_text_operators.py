@@ -397,6 +397,70 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.word_scores(words), [[plain(w, k) for k in range(2)] for w in words])
 
 
+def test_windows_of_long_words(monkeypatch):
+    pieces = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = langid.train([("en", "the cat sat on the mat and the rat"), ("de", "der hund und die katze und der rat")], pieces)
+    rng = random.Random(7)
+    words = ["".join(rng.choice("theandkatzeq\u0e01ß") for _ in range(n)) for n in (54, 300, 10_000)]
+    at_once = model.lattice.log_forward(words, model.log_prob)
+    monkeypatch.setattr(langid, "WINDOW", 53)
+    for w, want in zip(words, at_once, strict=True):
+        assert np.allclose(model.lattice.long_forward(w, model.log_prob), want)
+    assert np.allclose(model.word_scores(words), at_once)
+    # expected counts: the letters that pieces cover add up to the word, in windows or not
+    for w in words[:2]:
+        counts = model.lattice.long_counts(w, model.log_prob[:, 0])
+        assert np.isclose(counts @ model.lattice.size, len(w) + 1)
+    in_windows = langid.train_language({words[0]: 2, words[1]: 3}, model.lattice)
+    monkeypatch.setattr(langid, "WINDOW", 4096)
+    assert np.allclose(langid.train_language({words[0]: 2, words[1]: 3}, model.lattice), in_windows)
+
+
+def test_training_against_plain_expectations():
+    pieces = ["▁", "▁a", "a", "ab", "b", "bb", "▁ab"]
+    counts = {"ab": 3, "abb": 2, "bax": 1}
+
+    def splits(s: str):
+        if not s:
+            yield []
+        for n in range(1, len(s) + 1):
+            if s[:n] in pieces or (n == 1 and s[0] not in pieces):
+                for rest in splits(s[n:]):
+                    yield [pieces.index(s[:n]) if s[:n] in pieces else len(pieces), *rest]
+
+    prob = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+    for _ in range(langid.EM_ROUNDS):
+        expected = np.zeros(len(prob))
+        for word, n in counts.items():
+            ways = [(np.prod(np.maximum(prob, langid.FLOOR)[way]), way) for way in splits("▁" + word)]
+            for p, way in ways:
+                np.add.at(expected, way, n * p / sum(q for q, _ in ways))
+        prob = (expected + langid.SMOOTHING) / (expected + langid.SMOOTHING).sum()
+    assert np.allclose(np.exp(langid.train_language(counts, langid.Lattice(pieces))), prob)
+
+
+def test_parts_of_long_texts(monkeypatch):
+    monkeypatch.setattr(langid, "PART_CHARS", 11)
+    for text in ["", None, "a", "Ab cd  ef\u0301gh " * 20, "x" * 100, "12 34 " * 9, "a1\u0301b " * 30]:
+        assert [w for part in langid.word_parts(text) for w in part] == langid.words_of(text)
+
+
+def test_whole_training_texts_and_many_languages(spark):
+    pieces = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    # each of 600 languages has words of its own, after 30,000 characters that all share
+    own = {f"l{k:03d}, \"{k}\"": ["".join(rng.choice("aeioustrnlmpk") for _ in range(7)) for _ in range(5)] for k in range(600)}
+    rows = [(8 * k + j, "zz " * (10_000 if j == 0 else 1) + " ".join(words * 20), lang) for k, (lang, words) in enumerate(own.items()) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, pieces)
+    assert len(model.languages) > 550
+    asked = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate(own.values())], "doc_id long, text string")
+    names = list(own)
+    got = langid.identify(asked, model).collect()
+    learned = [r for r in got if names[r["doc_id"]] in model.languages]
+    assert sum(r["lang_pred"] == names[r["doc_id"]] for r in learned) >= 0.99 * len(learned)
+
+
 def test_language_rows(spark, odd, empty):
     pieces = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(3)
@@ -427,6 +491,7 @@ def test_long_runs_outside_the_vocabulary(spark):
     assert np.isfinite(model.word_scores(runs)).all()
     # both ways of summing agree where both are in range
     some = ["the", "straße", "q" * 20, "\u0e01" * 40]
+    assert np.isfinite(model.word_scores(["q" * 10_000])).all()
     plain = np.log(model.lattice.forward(some, model._scaled)) - np.array([[len(w) + 1] for w in some]) * np.log(langid.CHAR_SCALE)
     assert np.allclose(model.lattice.log_forward(some, model.log_prob), plain)
     english = docs.filter("lang = 'en' and n_chars > 500").orderBy("doc_id").first()["text"]
