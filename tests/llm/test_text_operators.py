@@ -371,10 +371,60 @@ def test_short_items_match_whole_words(spark):
     assert sorted(r["doc_id"] for r in decontam.without_leaks(made, bench).collect()) == [1, 6, 7]
 
 
-def test_item_blocks_cover_all(spark):
-    bench = spark.createDataFrame([(i, f"item number {i} " + "x" * 40) for i in range(50)], "item_id long, text string")
-    blocks = list(decontam.item_blocks(bench, block_bytes=500))
-    assert len(blocks) > 3 and sorted(i for b in blocks for i, _ in b) == list(range(50))
+def plain_edits(item: str, text: str) -> int:
+    """Least edit distance of an item to any part of a text, row by row."""
+    row = np.zeros(len(text) + 1, int)
+    for i, c in enumerate(item, 1):
+        cost = np.minimum(row[1:] + 1, row[:-1] + (np.array(list(text)) != c)) if text else np.empty(0, int)
+        new = np.concatenate([[i], cost])
+        steps = np.arange(len(new))
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
+
+
+def test_leaks_of_a_large_benchmark(spark, monkeypatch):
+    """One pass over the documents and one Python node whatever the benchmark's size."""
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 4)
+    monkeypatch.setattr(decontam, "FILTER_BITS", (1 << 6, 1 << 10))  # overfull: results stay exact
+    monkeypatch.setattr(decontam, "HASH_CHARS", 500)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(2, 8)))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 6, 12, 40])))) for i in range(150)]
+    items += [(i, x.upper() + " ") for i, x in items[:40]] + [(7, items[3][1])]
+    docs = []
+    for d in range(80):
+        text = " ".join(word() for _ in range(rng.randrange(30)))
+        for _ in range(rng.randrange(4)):
+            t = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(len(t))] = rng.choice("xyz ")
+            text += " " + "".join(t) + " " + word()
+        docs += [(d, text)] * (1 + d % 3 // 2)
+    norm = lambda s: re.sub(r"\s+", " ", s.lower()).strip()
+    want = []
+    for d, text in docs:
+        for i, x in {(i, norm(x)) for i, x in items}:
+            t = norm(text)
+            if len(x) < 24:
+                if any((m.start() == 0 or not re.fullmatch(r"\w\w", t[m.start() - 1 : m.start() + 1])) and not re.fullmatch(r"\w\w", t[m.start() + len(x) - 1 : m.start() + len(x) + 1]) for m in re.finditer(f"(?={re.escape(x)})", t)):
+                    want.append((d, i, 0))
+            elif (e := plain_edits(x, t)) <= len(x) // 20:
+                want.append((d, i, e))
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    made = spark.createDataFrame([(str(d), t, 1) for d, t in docs], "doc_id string, text string, text_key int")
+    got = [(int(r["doc_id"]), r["item_id"], r["edits"]) for r in decontam.find_leaks(made, bench).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 60
+    kept = decontam.without_leaks(made, bench)
+    assert kept.columns == made.columns
+    assert sorted(int(r["doc_id"]) for r in kept.collect()) == sorted(d for d, _ in docs if d not in {w[0] for w in want})
+
+
+def test_digest_filter_finds_every_digest(spark):
+    rows = spark.range(5000).selectExpr("xxhash64(id) as digest")
+    held = decontam._build_filter(rows)
+    digests = np.array([r["digest"] for r in rows.collect()]).view(np.uint64)
+    assert len(held.places(digests)) == 5000
+    assert len(held.places(np.random.default_rng(0).integers(0, 2**64, 100_000, dtype=np.uint64))) < 100
 
 
 def test_forward_sums_all_segmentations():

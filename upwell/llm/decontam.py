@@ -1,29 +1,45 @@
 """Benchmark decontamination by pigeonhole pieces and bit-parallel edit distance.
 
 With an error budget of k, an item is cut into k + 1 pieces; a passage within k edits
-of the item holds at least one piece unchanged. An automaton finds exact piece hits,
-and Myers' algorithm measures the best match of the item around each hit.
+of the item holds at least one piece unchanged.
+
+1. Pieces are known by a digest of their first characters (all of them, if short). One pass
+   over the documents hashes the runs at every position and lets those through that a
+   filter of the pieces' digests may hold.
+2. Digests of documents and pieces are joined. Only documents that meet an item there are
+   read again, each with the items it met, in parts of bounded size.
+3. Myers' algorithm measures the best match of an item around each exact piece hit.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import ship_package, worker_cache
+from upwell.llm._common import Scratch, drop_ids, fresh_name, keep_ids, require_integer, ship_package
 
 #: One edit in so many characters of an item is allowed.
 CHARS_PER_ERROR = 20
 #: Items of fewer characters allow no edit and match whole words only.
 MIN_CHARS = 24
-#: Bytes of benchmark text that go to each worker at once; more items make more passes.
-BLOCK_BYTES = 8 << 20
+#: Leading characters of a piece that its digest covers.
+ANCHOR = 12
+#: Bits of the filter of digests: for each digest, and at least and at most in all (32 MB).
+BITS_PER_DIGEST, FILTER_BITS = 256, (1 << 16, 1 << 28)
+#: Items that a document is held against at once.
+ITEMS_AT_ONCE = 256
+#: Characters of joined texts that are hashed at once.
+HASH_CHARS = 1 << 20
+
+_STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def normalise(text: str | None) -> str:
@@ -83,66 +99,188 @@ class Item:
             mv = ph & xv
         return best
 
-
-class Matcher:
-    """All items of one block."""
-
-    def __init__(self, items: list[tuple[int, str]], chars_per_error: int = CHARS_PER_ERROR):
-        self.items = [Item(i, t, chars_per_error) for i, t in items if t]
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, item in enumerate(self.items):
-            for piece, offset in item.pieces():
-                where[piece].append((k, offset))
-        self.automaton = ahocorasick.Automaton()
-        for piece, places in where.items():
-            self.automaton.add_word(piece, (len(piece), places))
-        if where:
-            self.automaton.make_automaton()
-
-    def search(self, text: str | None) -> list[tuple[int, int]]:
-        """``(item_id, edits)`` of every item within its budget somewhere in the text."""
-        if not self.items or not text:
-            return []
-        text = normalise(text)
-        spots: dict[int, set[int]] = defaultdict(set)
-        exact: set[int] = set()
-        for end, (size, places) in self.automaton.iter(text):
-            for k, offset in places:
-                if self.items[k].n >= MIN_CHARS:
-                    spots[k].add(end + 1 - size - offset)  # where the item would begin
-                elif k not in exact and whole_words(text, end + 1 - size, end + 1):
-                    exact.add(k)
-        found = [(self.items[k].item_id, 0) for k in exact]
-        for k, starts in spots.items():
-            item, best, until = self.items[k], self.items[k].budget + 1, -1
-            ordered = sorted(starts)
-            at = 0
-            while at < len(ordered) and best:
-                # hits whose windows overlap are measured together
-                begin = ordered[at]
-                until = begin
-                while at < len(ordered) and ordered[at] <= until + item.n:
-                    until = ordered[at]
-                    at += 1
-                window = text[max(0, begin - item.budget) : until + item.n + item.budget]
-                best = min(best, item.distance(window))
-            if best <= item.budget:
-                found.append((item.item_id, best))
-        return sorted(found)
-
-
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size; each is collected only when it is asked for."""
-    items = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-total // block_bytes)
-    for b in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield [(r["item_id"], normalise(r["text"])) for r in part.distinct().collect()]
-
-
-def _matcher(items: list[tuple[int, str]], chars_per_error: int) -> Matcher:
-    return worker_cache("decontam", f"{chars_per_error}-{hash(tuple(items))}", lambda: Matcher(items, chars_per_error))
+    def edits_in(self, text: str) -> int | None:
+        """The edits of its best match in a normalised text; None beyond the budget."""
+        hits = {start - offset for piece, offset in self.pieces() for start in _places(text, piece)}
+        if self.n < MIN_CHARS:
+            return 0 if any(whole_words(text, h, h + self.n) for h in hits) else None
+        best, ordered, at = self.budget + 1, sorted(hits), 0
+        while at < len(ordered) and best:
+            # hits whose windows overlap are measured together
+            begin = until = ordered[at]
+            while at < len(ordered) and ordered[at] <= until + self.n:
+                until = ordered[at]
+                at += 1
+            best = min(best, self.distance(text[max(0, begin - self.budget) : until + self.n + self.budget]))
+        return best if best <= self.budget else None
+
+
+def _places(text: str, piece: str) -> Iterator[int]:
+    at = text.find(piece)
+    while at >= 0:
+        yield at
+        at = text.find(piece, at + 1)
+
+
+def run_digests(text: str, lengths: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Digests of the runs of characters at every position, for each of the rising ``lengths``."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(lengths, default=0) + 1):
+        if len(codes) < n:
+            return
+        h = h[: len(codes) - n + 1] * _STEP + codes[n - 1 :]
+        if n in lengths:
+            x = (h ^ (h >> np.uint64(31))) * _SPREAD + np.uint64(n)
+            yield (x ^ (x >> np.uint64(32))) * _STEP
+
+
+class DigestFilter:
+    """Finds every digest of the pieces and few others; three bits for each in a table."""
+
+    SHIFTS = (0, 21, 42)
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def bit(digests: np.ndarray, shift: int, size: int) -> np.ndarray:
+        return (digests >> np.uint64(shift)) * _SPREAD >> np.uint64(20) & np.uint64(size - 1)
+
+    def places(self, digests: np.ndarray) -> np.ndarray:
+        """Where digests pass."""
+        at = None
+        for shift in self.SHIFTS:
+            bit = self.bit(digests if at is None else digests[at], shift, 64 * len(self.words))
+            held = np.flatnonzero((self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+            at = held if at is None else at[held]
+        return at
+
+
+def _item_key(item_id: int, text: str) -> bytes:
+    return xxhash.xxh3_128_digest(f"{item_id}:{text}".encode("utf-8", "surrogatepass"))
+
+
+def _pieces(chars_per_error: int):
+    """From benchmark rows to one row for each piece; the first of an item carries its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
+                text = normalise(t.as_py())
+                key = _item_key(i, text)
+                cut = list(Item(i, text, chars_per_error).pieces()) if text else []
+                sizes = tuple(sorted({min(len(piece), ANCHOR) for piece, _ in cut}))
+                digests = dict(zip(sizes, run_digests(text, sizes), strict=True))
+                for k, (piece, at) in enumerate(cut):
+                    n = min(len(piece), ANCHOR)
+                    rows.append((key, i, None if k else text, n, int(digests[n].view(np.int64)[at])))
+            kinds = [("item_key", pa.binary()), ("item_id", pa.int64()), ("text", pa.string()), ("length", pa.int32()), ("digest", pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
+
+    return run
+
+
+def _build_filter(pieces: DataFrame) -> DigestFilter:
+    """The filter of all digests; its words are set on the executors, and their number is bounded."""
+    digests = pieces.select("digest").distinct()
+    least, most = FILTER_BITS
+    size = min(most, max(least, 1 << (digests.count() * BITS_PER_DIGEST - 1).bit_length()))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = batch.column("digest").to_numpy().view(np.uint64)
+            bit = np.concatenate([DigestFilter.bit(one, shift, size) for shift in DigestFilter.SHIFTS])
+            yield pa.RecordBatch.from_arrays([pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64))], ["at", "word"])
+
+    got = digests.mapInArrow(words, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    table = np.zeros(size // 64, np.uint64)
+    table[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
+    return DigestFilter(table)
+
+
+def _hits(shared, lengths: tuple[int, ...]):
+    """``text_key, digest`` of the runs of each text that pass the filter."""
+
+    def flush(texts: list[str], keys: list[bytes]) -> pa.RecordBatch:
+        # no piece holds a line break, so a run across two texts meets none
+        joined = "\n".join(texts)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        pairs = [np.empty((0, 2), np.int64)]
+        for a in range(0, len(joined), HASH_CHARS):
+            for digests in run_digests(joined[a : a + HASH_CHARS + ANCHOR - 1], lengths):
+                at = shared.value.places(digests)
+                pairs.append(np.stack([np.searchsorted(ends, a + at, side="right"), digests[at].view(np.int64)], axis=1))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(found[:, 0])), pa.array(found[:, 1])], ["text_key", "digest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        keys: list[bytes] = []
+        held = 0
+        for batch in batches:
+            for key, t in zip(batch.column("text_key"), batch.column("text"), strict=True):
+                text = normalise(t.as_py())
+                texts.append(text)
+                keys.append(key.as_py())
+                held += len(text) + 1
+                if held >= HASH_CHARS:
+                    yield flush(texts, keys)
+                    texts, keys, held = [], [], 0
+        if texts:
+            yield flush(texts, keys)
+
+    return run
+
+
+def _verify(chars_per_error: int):
+    """``text_key, item_id, edits`` of the items that a text holds, from those it met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = lru_cache(ITEMS_AT_ONCE * 16)(lambda i, text: Item(i, text, chars_per_error))
+        for batch in batches:
+            rows = []
+            for key, t, items in zip(batch.column("text_key"), batch.column("text"), batch.column("items"), strict=True):
+                text = normalise(t.as_py())
+                for item in items.as_py():
+                    edits = make(item["item_id"], item["text"]).edits_in(text)
+                    if edits is not None:
+                        rows.append((key.as_py(), item["item_id"], edits))
+            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["text_key", "item_id", "edits"])
+
+    return run
+
+
+def _text_key():
+    return F.unhex(F.sha2(F.col("text").cast("string"), 256))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, chars_per_error: int, scratch: Scratch) -> DataFrame:
+    """``text_key, item_id, edits`` for every distinct text and item within its budget, saved."""
+    spark = require_integer(benchmark, "item_id").sparkSession
+    ship_package(spark)
+    given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    pieces = scratch.save(given.mapInArrow(_pieces(chars_per_error), "item_key binary, item_id long, text string, length int, digest long"), "pieces")
+    lengths = tuple(sorted(r["length"] for r in pieces.select("length").distinct().collect()))  # at most ANCHOR
+    result = "text_key binary, item_id long, edits long"
+    if not lengths:
+        return scratch.save(spark.createDataFrame([], result), "leaks")
+    shared = spark.sparkContext.broadcast(_build_filter(pieces))
+    texts = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    hits = texts.mapInArrow(_hits(shared, lengths), "text_key binary, digest long")
+    met = scratch.save(hits.join(pieces.select("digest", "item_key"), "digest").select("text_key", "item_key").distinct(), "met")
+    shared.destroy()
+    per_text = scratch.save(met.groupBy("text_key").agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).cast("long").alias("parts")), "per_text")
+    items = pieces.filter("text is not null").dropDuplicates(["item_key"]).select("item_key", F.struct("item_id", "text").alias("item"))
+    parts = met.join(items, "item_key").join(per_text, "text_key").withColumn("part", F.pmod(F.xxhash64("item_key"), F.col("parts")))
+    lists = parts.groupBy("text_key", "part").agg(F.collect_list("item").alias("items"))
+    once = keep_ids(texts, "text_key", per_text.select("text_key")).dropDuplicates(["text_key"])
+    found = once.join(lists, "text_key").select("text_key", "text", "items").mapInArrow(_verify(chars_per_error), result)
+    leaks = scratch.save(found, "leaks")
+    scratch.drop(pieces, met, per_text)
+    return leaks
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
@@ -151,40 +289,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHA
     Both texts are lower-cased and their white space made single spaces. An item of n
     characters allows n // ``chars_per_error`` edits; under ``MIN_CHARS`` characters it
     allows none and must not begin or end within a word. Null and empty documents and
-    items match nothing. Repeated document rows repeat
-    their pairs; items that share an item_id each give a row. A null doc_id stays null.
+    items match nothing. Repeated document rows repeat their pairs; different texts that
+    share an item_id each give a row, repeated items one. A null doc_id stays null, and
+    doc_id keeps its type; ``item_id`` must be an integer column. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = spark.createDataFrame([], "doc_id long, item_id long, edits long")
-    for items in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared.value, chars_per_error)
-            for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                rows = [(d, i, e) for d, t in zip(ids, batch.column("text"), strict=True) for i, e in matcher.search(t.as_py())]
-                cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "edits"])
-
-        out = out.unionByName(texts.mapInArrow(run, out.schema))
-    return out
+    leaks = _leaks(docs, benchmark, chars_per_error, Scratch(docs.sparkSession))
+    rows = docs.select("doc_id", _text_key().alias("text_key"))
+    return keep_ids(rows, "text_key", leaks.select("text_key")).join(leaks, "text_key").select("doc_id", "item_id", "edits")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
-    """The rows of ``docs`` in which no item is found; nothing is shuffled."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    out = docs
-    for items in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+    """The rows of ``docs`` in which no item is found; few others are shuffled.
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(shared.value, chars_per_error)
-            for batch in batches:
-                yield batch.filter(pa.array([not matcher.search(t.as_py()) for t in batch.column("text")], pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    Null and empty texts stay, repeated rows stay or go together, and the columns are those
+    of ``docs``.
+    """
+    leaks = _leaks(docs, benchmark, chars_per_error, Scratch(docs.sparkSession))
+    key = fresh_name("text_key", docs)
+    return drop_ids(docs.withColumn(key, _text_key()), key, leaks.select("text_key")).drop(key)
