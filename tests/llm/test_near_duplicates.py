@@ -174,6 +174,34 @@ def test_vectors_equal_brute_force(spark, tile):
             assert (r["n_links"], r["component_id"], r["kept"]) == (links[r["vec_id"]], groups.root(r["vec_id"]), groups.root(r["vec_id"]) == r["vec_id"])
     assert sum(links.values()) > 100
     assert embed_dedup.near_vectors(df.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        embed_dedup.near_vectors(df.withColumn("vec_id", df["vec_id"].cast("string")))
+
+
+def test_many_lengths_of_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(20 * d + k, [float(v) for v in np.abs(rng.normal(size=d)) + 0.1 * k], "x") for d in range(1, 25) for k in range(8)]
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), 0.9).collect()}
+    for i, v, _ in rows:
+        want = sum(j != i and len(v) == len(w) and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.9 for j, w, _ in rows)
+        assert got[i] == want
+
+
+def test_tiles_that_are_not_compared_hold_no_link():
+    rng = np.random.default_rng(3)
+    x = embed_dedup._unit(rng.normal(size=(600, 8)) * np.array([3, 2, 1, 0.5, 0.3, 0.2, 0.1, 0.1]))
+    reach, width = float(np.sqrt(2 - 2 * 0.95)), 1 / 6
+    cells, own, counts = np.unique(np.floor((x @ embed_dedup.principal_axes(x))[:, :3] / width).astype(int), axis=0, return_inverse=True, return_counts=True)
+    first, ways, partners = embed_dedup.pack_cells(cells, counts, 40, width, reach)
+    tiles = first + ways - 1
+    assert len(set(first.tolist())) > 5 and all(counts[first == f].sum() <= 40 * w for f, w in zip(first, ways, strict=True))
+    compared = 0
+    for a in range(600):
+        near = {int(f) for f, _ in partners[own[a]]}
+        assert int(first[own[a]]) in near
+        compared += sum(int(first[own[b]]) in near for b in range(600))
+        assert all(int(first[own[b]]) in near for b in np.flatnonzero(x @ x[a] >= 0.95))
+    assert compared < 600 * 600 * 0.8 and tiles.max() < 600
 
 
 def test_suffix_bounds_lose_no_pair():
