@@ -580,6 +580,54 @@ def test_toxicity_learns_and_holds_out(spark, odd, empty):
     assert model.score("stone " * 200_000 + "moronic") > model.score("stone " * 200_000)
 
 
+def plain_slots(text: str) -> set[int]:
+    kept = "".join(c if "a" <= c <= "z" or ord(c) >= 0xC0 else " " for c in f" {text.lower()} ")
+    codes = [ord(c) for c in re.sub(" +", " ", kept)]
+    out = set()
+    for n in toxicity.SIZES:
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for c in codes[i : i + n]:
+                h = (h * 0x01000193 + c) % 2**32
+            out.add((h ^ n) * 0x9E3779B1 % 2**32 >> 32 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_against_a_plain_version(spark):
+    rng = random.Random(16)
+    words = ["house", "Water", "straße", "gr33n", "apple", "stone", "moron", "idiotic"]
+    rows = [(i, " ".join(rng.choice(words[: 8 if i % 3 == 0 else 6]) for _ in range(12)), int(i % 3 == 0)) for i in range(150)] + [(150, "", 0), (151, "é", 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    used = [(plain_slots(t), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    n = [sum(y == k for _, y in used) for k in (0, 1)]
+    ratio = {}
+    for slot in set().union(*(s for s, _ in used)):
+        c = [sum(slot in s for s, y in used if y == k) for k in (0, 1)]
+        p, q = ((c[k] + 1) / (n[k] + 2) for k in (1, 0))
+        r = np.log(p / q)
+        if sum(c) >= toxicity.LEAST_TEXTS and abs(r) >= toxicity.LEAST_Z * np.sqrt((1 - p) / (n[1] * p) + (1 - q) / (n[0] * q)):
+            ratio[slot] = r
+    assert ratio and set(np.flatnonzero(model.weight)) <= set(ratio)
+    for _, t, _ in rows:
+        z = model.bias + sum(model.weight[s] for s in plain_slots(t))
+        assert np.isclose(model.score(t), 1 / (1 + np.exp(-z)))
+    # the slope of the penalised loss has all but vanished
+    def steepest(weight: dict[int, float], bias: float) -> float:
+        slope, slope_b = {s: toxicity.RIDGE * weight[s] / r for s, r in ratio.items()}, 0.0
+        for s, y in used:
+            off = 0.5 / n[y] * (1 / (1 + np.exp(-bias - sum(weight[k] for k in s & set(ratio)))) - y)
+            slope_b += off
+            for k in s & set(ratio):
+                slope[k] += off * ratio[k]
+        return max(map(abs, [*slope.values(), slope_b]))
+
+    assert steepest(model.weight, model.bias) < 0.02 * steepest(dict.fromkeys(ratio, 0.0), 0.0)
+    # a text id works too, and the order of rows doesn't matter
+    again = toxicity.fit(docs.orderBy("text").withColumn("doc_id", docs["doc_id"].cast("string")), spark.createDataFrame([(str(i), y) for i, _, y in rows], "doc_id string, toxic int"))
+    assert set(np.flatnonzero(again.weight)) == set(np.flatnonzero(model.weight))
+
+
 def test_toxicity_accuracy_on_held_out_rows(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")

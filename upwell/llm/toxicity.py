@@ -23,6 +23,8 @@ SIZES = (3, 4, 5, 6, 7, 8)
 BITS = 20
 #: A feature needs this many training texts and this many standard errors of its ratio.
 LEAST_TEXTS, LEAST_Z = 3, 3.0
+#: The classifier keeps so many features at most, those of most standard errors.
+FEATURES = 1 << 17
 SMOOTHING, RIDGE, STEPS = 1.0, 1e-3, 400
 #: Texts are hashed in parts of so many characters, which overlap so that no n-gram is lost.
 PART_CHARS = 1 << 20
@@ -124,18 +126,21 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_other:
     """Trains on labelled rows that are not held out.
 
     About ``n_toxic`` and ``n_other`` of them are taken by the hash of doc_id, all if there
-    are fewer: a bounded sample to fit on. Labels other than 0 and 1 don't count; of several
-    for a document the highest does.
+    are fewer: a bounded sample to fit on, with whole texts. Labels other than 0 and 1 don't
+    count; of several for a document the highest does. Null ids and null texts don't count,
+    and a document of several rows counts once for each. Slots are counted and weights fitted
+    on the executors, by one task that holds the features of the sample; the driver receives
+    at most ``FEATURES`` of them. Without both classes every text has one score.
     """
     ship_package(docs.sparkSession)
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     unit = 1 << 30
     share = F.when(F.col("toxic") == 1, min(unit, unit * n_toxic // max(1, total.get(1, 0)))).otherwise(min(unit, unit * n_other // max(1, total.get(0, 0))))
-    # at most twice the wanted rows, so the broadcast is bounded
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < share).limit(2 * (n_toxic + n_other))
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "sample")
+    # a small saved table, which Spark broadcasts when its size allows
+    sample = scratch.save(usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < share), "labels")
+    rows = scratch.save(docs.select("doc_id", "text").filter("text is not null").join(sample, "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic"), "sample")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return _constant(1 in n)
@@ -145,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_other:
     error = F.sqrt((1 - p) / (n[1] * p) + (1 - q) / (n[0] * q))
     total = counted.groupBy("slot").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_other").alias("in_other"))
     telling = (F.col("in_toxic") + F.col("in_other") >= LEAST_TEXTS) & (F.abs(F.log(p / q)) >= LEAST_Z * error)
-    chosen = total.filter(telling).select("slot", F.log(p / q).alias("ratio")).orderBy("slot").toArrow()
+    chosen = total.filter(telling).select("slot", F.log(p / q).alias("ratio"), (F.abs(F.log(p / q)) / error).alias("z"))
+    chosen = chosen.orderBy(F.desc("z"), "slot").limit(FEATURES).toArrow().sort_by("slot")
     slots, ratio = chosen.column("slot").to_numpy(), chosen.column("ratio").to_numpy()
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +159,23 @@ def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_other:
         at[slots] = np.arange(len(slots))
         for batch in batches:
             cols = [at[present(t.as_py())] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([c[c >= 0] for c in cols], pa.list_(pa.int32()))], ["doc_id", "toxic", "cols"])
-
-    texts = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(held, "doc_id long, toxic int, cols array<int>")
-    got = texts.orderBy("doc_id", "cols").toArrow().combine_chunks()
-    y = got.column("toxic").to_numpy().astype(float)
-    bias, w = fit_weights(y, [c.values.to_numpy() for c in got.column("cols")], ratio)
+            ids = batch.column("doc_id").cast(pa.string())
+            yield pa.RecordBatch.from_arrays([ids, batch.column("toxic"), pa.array([c[c >= 0] for c in cols], pa.list_(pa.int32()))], ["doc_id", "toxic", "cols"])
+
+    def learn(group: pa.Table) -> pa.Table:
+        # the same sums in any order of arrival
+        cols = [c.values.to_numpy() for c in group.column("cols")]
+        order = sorted(range(len(cols)), key=lambda k: (group.column("doc_id")[k].as_py(), cols[k].tobytes()))
+        y = group.column("toxic").to_numpy().astype(float)[order]
+        bias, w = fit_weights(y, [cols[k] for k in order], ratio)
+        return pa.table({"bias": [bias], "weight": pa.array([w], pa.list_(pa.float64()))})
+
+    texts = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(held, "doc_id string, toxic int, cols array<int>")
+    got = texts.withColumn("model", F.lit("all")).groupBy("model").applyInArrow(learn, "bias double, weight array<double>").toArrow()
+    scratch.clear()
     weight = np.zeros(1 << BITS)
-    weight[slots] = w
-    return ToxicityModel(bias, weight)
+    weight[slots] = got.column("weight")[0].values.to_numpy()
+    return ToxicityModel(got.column("bias")[0].as_py(), weight)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
