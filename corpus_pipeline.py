@@ -15,28 +15,43 @@ from upwell.llm._common import Scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language, by a model of this input's labelled rows."""
+    """Keeps documents with a language, by a model of this input's labelled rows.
+
+    Null texts and those without a letter have none; repeated rows stay or go together.
+    """
     model = langid.fit(docs, langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
     return langid.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group over five-word shingles at 0.8."""
+    """Keeps the smallest doc_id of each group over five-word shingles at 0.8.
+
+    Null and empty texts stay, and so do all rows of a repeated doc_id that is kept.
+    """
     return minhash.kept_documents(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark item is found."""
+    """Drops documents in which a benchmark item is found; null and empty texts stay.
+
+    Repeated rows stay or go together.
+    """
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark; documents without any stay as they are."""
-    return secret_scan.redact(secret_scan.scan(spark, docs))
+    """Replaces secrets by a mark; documents without any, null texts too, stay as they are.
+
+    Every row is judged alone, so repeated rows stay equal.
+    """
+    return secret_scan.redacted(spark, docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token ids, their number, and digests of the ids and the decoded text."""
+    """Adds token ids, their number, and digests of the ids and the decoded text.
+
+    A null text counts as empty; no row is dropped.
+    """
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import subprocess
 import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,10 +47,17 @@ def test_every_query_has_sql():
 def test_entry_without_the_corpus_operators(tmp_path):
     """The registry still works where the optional subpackage is missing."""
     import shutil
-    from pathlib import Path
 
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "upwell", tmp_path / "upwell", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_entry_without_a_library_of_the_corpus_operators(tmp_path):
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('absent')")
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('absent')")
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{root}"}, check=True)
