@@ -420,7 +420,7 @@ def test_leaks_of_a_large_benchmark(spark, monkeypatch):
 
 
 def test_digest_filter_finds_every_digest(spark):
-    rows = spark.range(5000).selectExpr("xxhash64(id) as digest")
+    rows = spark.range(5000).selectExpr("xxhash64(id) as digest", "xxhash64(id) as lead")
     held = decontam._build_filter(rows)
     digests = np.array([r["digest"] for r in rows.collect()]).view(np.uint64)
     assert len(held.places(digests)) == 5000

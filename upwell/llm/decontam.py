@@ -3,9 +3,9 @@
 With an error budget of k, an item is cut into k + 1 pieces; a passage within k edits
 of the item holds at least one piece unchanged.
 
-1. Pieces are known by a digest of their first characters (all of them, if short). One pass
-   over the documents hashes the runs at every position and lets those through that a
-   filter of the pieces' digests may hold.
+1. Pieces are known by digests. One pass over the documents hashes the run of characters at
+   every position; where a filter may hold that run as the beginning of a piece, the run is
+   extended to the lengths of whole pieces and asked for again.
 2. Digests of documents and pieces are joined. Only documents that meet an item there are
    read again, each with the items it met, in parts of bounded size.
 3. Myers' algorithm measures the best match of an item around each exact piece hit.
@@ -30,8 +30,8 @@ from upwell.llm._common import Scratch, drop_ids, fresh_name, keep_ids, require_
 CHARS_PER_ERROR = 20
 #: Items of fewer characters allow no edit and match whole words only.
 MIN_CHARS = 24
-#: Leading characters of a piece that its digest covers.
-ANCHOR = 12
+#: Leading characters of a piece that are looked for at every position, and those that its digest covers.
+ANCHOR, WHOLE = 12, 32
 #: Bits of the filter of digests: for each digest, and at least and at most in all (32 MB).
 BITS_PER_DIGEST, FILTER_BITS = 256, (1 << 16, 1 << 28)
 #: Items that a document is held against at once.
@@ -122,17 +122,42 @@ def _places(text: str, piece: str) -> Iterator[int]:
         at = text.find(piece, at + 1)
 
 
-def run_digests(text: str, lengths: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """Digests of the runs of characters at every position, for each of the rising ``lengths``."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+def spread(h: np.ndarray, n: int) -> np.ndarray:
+    x = (h ^ (h >> np.uint64(31))) * _SPREAD + np.uint64(n)
+    return (x ^ (x >> np.uint64(32))) * _STEP
+
+
+def run_hashes(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Length and hashes of the runs of codes at every position, up to a length."""
     h = np.zeros(len(codes), np.uint64)
-    for n in range(1, max(lengths, default=0) + 1):
-        if len(codes) < n:
-            return
+    for n in range(1, min(longest, len(codes)) + 1):
         h = h[: len(codes) - n + 1] * _STEP + codes[n - 1 :]
-        if n in lengths:
-            x = (h ^ (h >> np.uint64(31))) * _SPREAD + np.uint64(n)
-            yield (x ^ (x >> np.uint64(32))) * _STEP
+        yield n, h
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def runs_of_pieces(codes: np.ndarray, lengths: tuple[int, ...], held: DigestFilter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and digests of the runs of the given lengths that the filter may hold."""
+    longer = [n for n in lengths if n > ANCHOR]
+    for n, h in run_hashes(codes, ANCHOR):
+        if n in lengths or (n == ANCHOR and longer):
+            digests = spread(h, n)
+            at = held.places(digests)
+            if n in lengths:
+                yield at, digests[at]
+            if n == ANCHOR and len(at):
+                at, h = at.copy(), h[at]
+                for m in range(ANCHOR + 1, longer[-1] + 1 if longer else 0):
+                    fits = at + m <= len(codes)
+                    at, h = at[fits], h[fits]
+                    h = h * _STEP + codes[at + m - 1]
+                    if m in longer:
+                        digests = spread(h, m)
+                        known = held.places(digests)
+                        yield at[known], digests[known]
 
 
 class DigestFilter:
@@ -170,13 +195,13 @@ def _pieces(chars_per_error: int):
             for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
                 text = normalise(t.as_py())
                 key = _item_key(i, text)
-                cut = list(Item(i, text, chars_per_error).pieces()) if text else []
-                sizes = tuple(sorted({min(len(piece), ANCHOR) for piece, _ in cut}))
-                digests = dict(zip(sizes, run_digests(text, sizes), strict=True))
+                cut = [(piece[:WHOLE], at) for piece, at in Item(i, text, chars_per_error).pieces()] if text else []
+                sizes = {n for p, _ in cut for n in (len(p), min(len(p), ANCHOR))}
+                digests = {n: spread(h, n).view(np.int64) for n, h in run_hashes(codes_of(text), max(sizes, default=0)) if n in sizes}
                 for k, (piece, at) in enumerate(cut):
-                    n = min(len(piece), ANCHOR)
-                    rows.append((key, i, None if k else text, n, int(digests[n].view(np.int64)[at])))
-            kinds = [("item_key", pa.binary()), ("item_id", pa.int64()), ("text", pa.string()), ("length", pa.int32()), ("digest", pa.int64())]
+                    n = len(piece)
+                    rows.append((key, i, None if k else text, n, int(digests[n][at]), int(digests[min(n, ANCHOR)][at])))
+            kinds = [("item_key", pa.binary()), ("item_id", pa.int64()), ("text", pa.string()), ("length", pa.int32()), ("digest", pa.int64()), ("lead", pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
 
     return run
@@ -184,7 +209,7 @@ def _pieces(chars_per_error: int):
 
 def _build_filter(pieces: DataFrame) -> DigestFilter:
     """The filter of all digests; its words are set on the executors, and their number is bounded."""
-    digests = pieces.select("digest").distinct()
+    digests = pieces.select("digest").union(pieces.select("lead")).distinct()
     least, most = FILTER_BITS
     size = min(most, max(least, 1 << (digests.count() * BITS_PER_DIGEST - 1).bit_length()))
 
@@ -209,9 +234,8 @@ def _hits(shared, lengths: tuple[int, ...]):
         ends = np.cumsum([len(t) + 1 for t in texts])
         pairs = [np.empty((0, 2), np.int64)]
         for a in range(0, len(joined), HASH_CHARS):
-            for digests in run_digests(joined[a : a + HASH_CHARS + ANCHOR - 1], lengths):
-                at = shared.value.places(digests)
-                pairs.append(np.stack([np.searchsorted(ends, a + at, side="right"), digests[at].view(np.int64)], axis=1))
+            for at, digests in runs_of_pieces(codes_of(joined[a : a + HASH_CHARS + WHOLE - 1]), lengths, shared.value):
+                pairs.append(np.stack([np.searchsorted(ends, a + at, side="right"), digests.view(np.int64)], axis=1))
         found = np.unique(np.concatenate(pairs), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(found[:, 0])), pa.array(found[:, 1])], ["text_key", "digest"])
 
@@ -262,8 +286,8 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, chars_per_error: int, scratch:
     spark = require_integer(benchmark, "item_id").sparkSession
     ship_package(spark)
     given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    pieces = scratch.save(given.mapInArrow(_pieces(chars_per_error), "item_key binary, item_id long, text string, length int, digest long"), "pieces")
-    lengths = tuple(sorted(r["length"] for r in pieces.select("length").distinct().collect()))  # at most ANCHOR
+    pieces = scratch.save(given.mapInArrow(_pieces(chars_per_error), "item_key binary, item_id long, text string, length int, digest long, lead long"), "pieces")
+    lengths = tuple(sorted(r["length"] for r in pieces.select("length").distinct().collect()))  # at most WHOLE
     result = "text_key binary, item_id long, edits long"
     if not lengths:
         return scratch.save(spark.createDataFrame([], result), "leaks")
