@@ -352,26 +352,26 @@ class _Scorer:
             self.table = table
         return table[at]
 
-    def _add(self, words: list[str], owner: list[int], sums: np.ndarray) -> None:
+    def _add(self, words: list[str], owner: np.ndarray, sums: np.ndarray) -> None:
         for a in range(0, len(words), self.at_once):
-            scores, own = self.word_rows(words[a : a + self.at_once]), np.array(owner[a : a + self.at_once])
+            scores, own = self.word_rows(words[a : a + self.at_once]), owner[a : a + self.at_once]
             cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             sums[own[cut]] += np.add.reduceat(scores, cut, axis=0)
 
     def totals(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """For each text the log-likelihood by language, None without a word."""
-        sums, some = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts), bool)
+        sums, count = np.zeros((len(texts), len(self.model.languages))), np.zeros(len(texts), np.int64)
+        some = count > 0
         words: list[str] = []
-        owner: list[int] = []
         for i, text in enumerate(texts):
             for part in word_parts(text):
                 words += part
-                owner += [i] * len(part)
-                some[i] |= bool(part)
+                count[i] += len(part)
                 if len(words) > self.at_once:
-                    self._add(words, owner, sums)
-                    words, owner = [], []
-        self._add(words, owner, sums)
+                    self._add(words, np.repeat(np.arange(len(texts)), count), sums)
+                    words, some, count = [], some | (count > 0), np.zeros_like(count)
+        self._add(words, np.repeat(np.arange(len(texts)), count), sums)
+        some |= count > 0
         return [s if ok else None for s, ok in zip(sums, some, strict=True)]
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
