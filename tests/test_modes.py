@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from urllib.parse import quote
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ def test_missing_input(spark, tmp_path):
 
 def test_quoted_query(spark):
     assert spark.range(1).select(quote_query(F.lit("lang:ja min:5 あ"))).first()[0] == "lang%3Aja%20min%3A5%20%E3%81%82"
+    every = "".join(map(chr, range(32, 127))) + "é\n"
+    assert spark.range(1).select(quote_query(F.lit(every))).first()[0] == quote(every)
+
+
+def test_trial_summary(spark):
+    row = modes.trial_summary(spark, {"first": True, "second": False}).first()
+    assert "✅ first\n❌ second の投稿が-時間で" in row["text"] and row["link"] is None
 
 
 def test_first_sightings_stream(spark, tmp_path):

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timedelta, timezone
+from itertools import count
 
 import pytest
 from pyspark.sql import functions as F
 
+from upwell.config import Thresholds
 from upwell.operators import alerts, classify, notify, report, state
 from upwell.plans import cycle
 from upwell.schema import AUTHOR_STATE, META, RUN, STORED_POST
@@ -29,7 +31,7 @@ def test_dedupe_keeps_first_place_and_last_values(spark):
 
 
 def stored(post_id, author, likes, genre, seq):
-    return (post_id, author, "u", T0, "t", likes, 1, 1, 1, 1, genre, T0, False, seq)
+    return (post_id, author, "u", T0, "t", likes, 1, 1, 1, 1, genre, T0, False, None, seq)
 
 
 def test_upsert_changes_counters_and_genre_only(spark):
@@ -45,6 +47,8 @@ def test_mark_notified_and_meta(spark):
     base = spark.createDataFrame([stored("1", "a", 5, "x", 1), stored("2", "b", 5, "x", 2), stored("3", "b", 5, "x", 2)], STORED_POST)
     sent = spark.createDataFrame([("1", True, False), ("2", False, False), ("3", None, True), ("9", True, True)], "post_id string, first_ok boolean, second_ok boolean")
     assert {r["post_id"]: r["notified"] for r in state.mark_notified(base, sent).collect()} == {"1": True, "2": False, "3": True}
+    at = {r["post_id"]: r["notified_at"] for r in state.mark_notified(base, sent, F.lit(T0)).collect()}
+    assert at["1"] == at["3"] == T0.replace(tzinfo=None) and at["2"] is None
     log = spark.createDataFrame([("k", "1", 1), ("k", None, 3), ("j", "x", 2)], META)
     assert {r["key"]: r["value"] for r in state.latest_meta(log).collect()} == {"k": None, "j": "x"}
 
@@ -108,7 +112,8 @@ def test_webhook(spark):
 def test_cycles(spark, tmp_path):
     root = str(tmp_path / "state")
     state.init_state(spark, str(tmp_path / "empty"))
-    assert spark.read.parquet(str(tmp_path / "empty" / "posts")).count() == 0
+    made = Store(spark, str(tmp_path / "empty"))
+    assert made._numbers("posts", "base") == [0] and made.read("posts").count() == 0 and made.read("meta").count() == 0
     at = T0.strftime("%Y-%m-%d %H:%M:%S")
     first = spark.createDataFrame([sighting(1), sighting(1, likes=2500, seq=9), sighting(2, "b", text="nothing"), sighting(3, "c", likes=10)], SEEN)
     n = cycle.run_cycle(spark, first, root, ["flood"], at, 1)
@@ -125,10 +130,108 @@ def test_cycles(spark, tmp_path):
     store = Store(spark, root)
     assert {r["post_id"]: r["notified"] for r in store.read("posts").collect()} == {"1": True, "5": False}
     assert [r["author_handle"] for r in store.read("authors").collect()] == ["a"]
-    assert cycle.log_failure(spark, root, at, 3, SourceUnavailable("gone", expired=True)) == "session_expired"
-    assert [(r["run_id"], r["status"]) for r in store.read("runs").orderBy("run_id").collect()] == [(1, "success"), (2, "success"), (3, "session_expired")]
     status = json.loads("\n".join(r["value"] for r in spark.read.text(f"{root}/status").collect()))
     assert status["posts_flagged"] == 1 and len(status["top5_by_likes"]) == 3
+    assert cycle.log_failure(spark, root, at, 3, SourceUnavailable("gone", expired=True)) == "session_expired"  # reported in its turn
+    assert [(r["run_id"], r["status"]) for r in store.read("runs").orderBy("run_id").collect()] == [(1, "success"), (2, "success"), (3, "session_expired")]
+
+
+class Counting:
+    """A sender that keeps what it was handed, in a file that its tasks append to."""
+
+    def __init__(self, path, fails=False):
+        self.path, self.fails = path, fails
+
+    def __call__(self, out):
+        path, fails = self.path, self.fails
+
+        def send(batches):
+            for rows in batches:
+                with open(path, "a", encoding="utf-8") as f:
+                    f.writelines(f"{i}\n" for i in rows["post_id"])
+                if fails:
+                    raise RuntimeError("the channel broke")
+                yield rows[["post_id"]].assign(first_ok=True, second_ok=None)
+
+        return out.select("post_id").mapInPandas(send, "post_id string, first_ok boolean, second_ok boolean")
+
+    def handed(self):
+        with open(self.path, encoding="utf-8") as f:
+            return sorted(f.read().split())
+
+
+def cached(spark):
+    return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+
+def test_each_post_is_sent_once(spark, tmp_path):
+    root, sender = str(tmp_path / "state"), Counting(str(tmp_path / "sent"))
+    batch = spark.createDataFrame([sighting(i, f"a{i}") for i in range(5)], SEEN)
+    at, before = T0.strftime("%Y-%m-%d %H:%M:%S"), cached(spark)
+    n = cycle.run_cycle(spark, batch, root, ["flood"], at, 1, sender=sender)
+    assert n["posts_flagged"] == n["notified_count"] == 5 and sender.handed() == list("01234")
+    assert cached(spark) == before
+    cycle.run_cycle(spark, batch, root, ["flood"], at, 1, sender=sender)
+    cycle.run_cycle(spark, batch, root, ["flood"], at, 2, sender=sender)
+    assert sender.handed() == list("01234")
+    posts = Store(spark, root).read("posts").collect()
+    assert len(posts) == 5 and all(r["notified"] and r["notified_at"] == T0.replace(tzinfo=None) for r in posts)
+
+
+@pytest.mark.parametrize("broken", ["outbox", "outbox_sent", "notices", "authors", "runs", "meta"])
+def test_each_post_is_sent_once_after_a_failure(spark, tmp_path, monkeypatch, broken):
+    root, sender = str(tmp_path / "state"), Counting(str(tmp_path / "sent"))
+    batch = spark.createDataFrame([sighting(i, f"a{i}") for i in range(5)], SEEN)
+    at, write = T0.strftime("%Y-%m-%d %H:%M:%S"), Store.write
+
+    def failing(self, table, df, version):
+        if table == broken and broken != "outbox_sent":
+            raise OSError("the folder is away")
+        return write(self, table, df, version)
+
+    with monkeypatch.context() as m, pytest.raises(Exception):  # noqa: B017
+        m.setattr(Store, "write", failing)
+        # where the answers are lost, what was sent is unknown and not sent again
+        cycle.run_cycle(spark, batch, root, ["flood"], at, 1, sender=Counting(sender.path, fails=True) if broken == "outbox_sent" else sender)
+    n = cycle.run_cycle(spark, batch, root, ["flood"], at, 1, sender=sender)
+    assert len(set(sender.handed())) == len(sender.handed()) and n["posts_flagged"] == 5
+    assert (n["notified_count"], len(sender.handed())) == (5, 5) or broken == "outbox_sent"
+    assert {r["post_id"]: r["notified"] for r in Store(spark, root).read("posts").collect()} == dict.fromkeys("01234", broken != "outbox_sent")
+
+
+def test_reports_alerts_and_run_length(spark, tmp_path):
+    root, sender = str(tmp_path / "state"), Counting(str(tmp_path / "sent"))
+    store, none, ticks = Store(spark, root), spark.createDataFrame([], SEEN), count(0, 30)
+    t = Thresholds(alert_cooldown_hours=4)
+    for k in range(1, 9):
+        at = (T0 + timedelta(hours=k)).replace(tzinfo=None).isoformat(sep=" ")
+        cycle.run_cycle(spark, none, root, ["flood"], at, k, sender=sender, clock=lambda: next(ticks), t=t)
+    # the third run without posts, and the first one four hours later
+    assert sender.handed() == ["system:zero_posts"] * 2 and store.versions("alerts") == [3, 7]
+    assert store.at("alerts", 3).first()["text"].startswith("🔥 急上昇検知 [📈持続/システム通知]\n⚠️ 3回連続で投稿を0件しか")
+    assert {r["key"]: r["value"] for r in store.read("meta").collect()}["zero_posts_streak"] == "8"
+    run = store.read("runs").orderBy("run_id").first()
+    assert run["finished_at"] - run["started_at"] == timedelta(seconds=30)
+    status = lambda: json.loads("\n".join(r["value"] for r in spark.read.text(f"{root}/status").collect()))
+    assert status()["started_at"] < status()["finished_at"] and status()["top5_by_likes"] == []
+    for k in (9, 10):
+        at = (T0 + timedelta(hours=k)).replace(tzinfo=None).isoformat(sep=" ")
+        assert cycle.log_failure(spark, root, at, k, SourceUnavailable("gone", expired=True), sender=sender) == "session_expired"
+    assert store.versions("alerts") == [3, 7, 9] and sender.handed()[0] == "system:session_expired"
+    assert status() == {"updated_at": at, "status": "session_expired", "started_at": at, "posts_scanned": 0, "posts_flagged": 0, "notified_count": 0, "error_message": "gone"}
+    assert cycle.log_failure(spark, root, at, 11, ValueError("odd"), sender=sender) == "error" and status()["status"] == "error"
+    assert [r["run_id"] for r in store.read("runs").orderBy("run_id").collect()] == list(range(1, 12))
+    assert [r["streak"] for r in alerts.zero_streaks(store.read("runs")).orderBy("run_id").collect()] == [*range(1, 9), None, None, None]
+
+
+def test_bases_replace_versions(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for v in range(1, 11):
+        store.write("posts", spark.createDataFrame([stored("1", f"a{v}", v, "x", v), stored(str(v + 1), "b", 0, "y", v)], STORED_POST), v)
+        store.compact(v, every=3)
+        got = {r["post_id"]: (r["author_handle"], r["likes"]) for r in store.read("posts").collect()}
+        assert got == {"1": ("a1", v), **{str(k + 1): ("b", 0) for k in range(1, v + 1)}}
+    assert store._numbers("posts", "base") == [6, 9] and store.versions("posts") == [7, 8, 9, 10]
 
 
 @pytest.mark.parametrize("every", [None])

@@ -77,11 +77,37 @@ def test_keyword_order_and_empty_list(spark):
     assert {r["ingest_seq"]: r["matched_keyword"] for r in kw.whitelist(df, words).collect()} == want
     listed = spark.createDataFrame(list(enumerate(words)), "pos long, keyword string")
     assert {r["ingest_seq"]: r["matched_keyword"] for r in kw.keyword_join(df, listed).collect()} == want
-    assert kw.keyword_join(df, listed.limit(0)).count() == 0
+    unfiltered = kw.keyword_join(df, listed.limit(0))
+    assert unfiltered.columns == kw.whitelist(df, []).columns and sorted(map(repr, unfiltered.collect())) == sorted(map(repr, kw.whitelist(df, []).collect()))
     assert {r["matched_keyword"] for r in kw.whitelist(df, []).collect()} == {"(フィルタ無効・全件通過)"} and kw.whitelist(df, []).count() == 6
     assert [r[0] for r in df.orderBy("ingest_seq").select(kw.matches(F.col("text_snippet"), words)).collect()] == [True, True, False, False, False, True]
 
 
+def test_keyword_join_against_the_array_form(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    bits = ["a", "ab", "b", "地", "震", "é", " ", "xyz", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(150)] + [None, ""]
+    # repeated ids and texts, and rows that are equal altogether
+    df = spark.createDataFrame([(i % 60, t, i) for i, t in enumerate(texts * 2)] + [(1, "ab", 7)] * 2, "ingest_seq long, text_snippet string, anchor long")
+    words = ["地震x", "xyzab", "ab地", "é", "bb", "zx", "abab"]
+    listed = spark.createDataFrame([*enumerate(words), (90, ""), (91, "é")], "pos long, keyword string")
+    want = sorted(map(repr, kw.whitelist(df, words).collect()))
+    for room in (kw.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(kw, "BROADCAST_BYTES", room)
+        assert sorted(map(repr, kw.keyword_join(df, listed).collect())) == want and want
+
+
+def test_counters_of_other_scripts(spark):
+    cases = {"\xa012\xa0": 12, "\u20031.5K": 1500, "١٢": 12, "１２": 12, "𝟏𝟐万": 120_000, "12 K": 12_000, "1２": 12, "x１": 0, "²": 0}
+    assert column(spark, list(cases), text.parse_count) == list(cases.values())
+    assert column(spark, ["返信 １２件", "٣٤ likes"], text.label_count) == [12, 34]
+    assert column(spark, ["/a/status/１２"], text.post_id) == ["１２"]
+    pages = ["１.２万\xa0Views\n5\n6\n7\n８\nRelevant\n9", "5 Views 1 2 3 4 Views 5 6 7 8"]
+    assert column(spark, pages, text.impressions) == [12000, 5] and column(spark, pages, text.bookmarks) == [8, 4]
+
+
 def test_predicate_is_pushed_down(spark, tmp_path):
     spark.createDataFrame([("ja", 600, 30, False), ("en", 600, 30, False), ("ja", 499, 30, False), ("ja", 500, 20, True)], "lang string, likes long, replies long, is_repost boolean").write.parquet(str(tmp_path / "p"))
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # else the plan is cut short

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,14 @@ from upwell.config import PushConfig
 from upwell.functions import detect, text
 from upwell.operators import alerts, classify, enrich, notify, rank, report, state
 from upwell.operators import keywords as kw
-from upwell.plans.cycle import select_posts
+from upwell.plans import modes
+from upwell.plans.cycle import flag_posts, select_posts
+from upwell.schema import STATUS, STORED_POST
 from upwell.sources import keywords as kw_source
 from upwell.sources import raw
 from upwell.sources import relations as rel
+from upwell.sources.store import Store, shared_dir
+from upwell.streaming.stream import first_sightings, start_cycles, start_upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -227,7 +232,7 @@ def q_handles(spark, d):
 @query
 def q_semi_handles(spark, d):
     p = rel.posts(spark, d)
-    wanted = enrich.handles(enrich.popular(p.withColumn("likes", F.col("likes") * 10)).filter("ingest_seq % 50 = 0"))
+    wanted = enrich.handles(enrich.popular(p.withColumn("likes", F.col("likes") * 10)))
     return enrich.of_handles(p, wanted).select("ingest_seq", "author_handle")
 
 
@@ -245,7 +250,7 @@ def _stored(p: DataFrame, seq: F.Column) -> DataFrame:
     genre = F.when(F.col("ingest_seq") % 9 != 0, classify.finalize(F.col("text_snippet"), classify.offline(F.col("text_snippet")))["genre"])
     return p.select(
         "post_id", "author_handle", "url", "posted_at", "text_snippet", "likes", "retweets", "replies", "quotes", "bookmarks", genre.alias("genre"),
-        F.col("observed_at").alias("detected_at"), (F.col("ingest_seq") % 2 == 0).alias("notified"), seq.alias("seq"),
+        F.col("observed_at").alias("detected_at"), (F.col("ingest_seq") % 2 == 0).alias("notified"), F.when(F.col("ingest_seq") % 2 == 0, F.col("observed_at")).alias("notified_at"), seq.alias("seq"),
     )
 
 
@@ -269,7 +274,7 @@ def q_mark_notified(spark, d):
     base, _ = _versions(spark, d)
     e = F.col("seq")
     sent = base.select("post_id", notify.accepted(F.when(e % 5 == 0, 200).otherwise(500), F.when(e % 7 < 3, 200).otherwise(429), F.concat(F.lit('{"status":'), (e % 2).cast("string"), F.lit("}"))).alias("first_ok"), F.lit(None).cast("boolean").alias("second_ok"))
-    return state.mark_notified(base, sent).select("post_id", "notified")
+    return state.mark_notified(base, sent, F.lit("2024-02-01").cast("timestamp")).select("post_id", "notified", seconds("notified_at"))
 
 
 @query
@@ -293,17 +298,14 @@ def q_run_log(spark, d):
     return state.append_runs(log, new).select("run_id", seconds("started_at"), seconds("finished_at"), "posts_scanned", "posts_flagged", "status")
 
 
-def _cycle(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    p = rel.posts(spark, d)
-    white = kw.whitelist(p, rel.KEYWORDS)
-    hot = rank.filter_explosive(white)
-    return p, white, hot, state.drop_cooling(state.drop_known(hot, rel.known_ids(spark, d)), rel.author_state(spark, d))
+def _flagged(spark: SparkSession, d: str) -> DataFrame:
+    flagged = flag_posts(rel.posts(spark, d), rel.KEYWORDS, rel.known_ids(spark, d), rel.author_state(spark, d))
+    return flagged.withColumn("notified", F.col("fresh") & (F.col("ingest_seq") % 2 == 0))
 
 
 @query
 def q_run_counts(spark, d):
-    p, white, hot, fresh = _cycle(spark, d)
-    return state.run_counts(p, white, hot, fresh, fresh.filter("ingest_seq % 2 = 0"))
+    return state.run_counts(_flagged(spark, d))
 
 
 @query
@@ -342,14 +344,12 @@ def q_priority_route(spark, d):
 
 @query
 def q_status_report(spark, d):
-    _, white, _, _ = _cycle(spark, d)
-    return report.top_lists(white)
+    return report.top_lists(kw.whitelist(rel.posts(spark, d), rel.KEYWORDS))
 
 
 def _report(spark: SparkSession, d: str) -> DataFrame:
-    p, white, hot, fresh = _cycle(spark, d)
-    counts = state.run_counts(p, white, hot, fresh, fresh.filter("ingest_seq % 2 = 0"))
-    return report.status_report(white, counts, F.lit("2024-02-01T00:00:00Z"))
+    white = kw.whitelist(rel.posts(spark, d), rel.KEYWORDS)
+    return report.status_report(white, state.run_counts(_flagged(spark, d)), F.lit("2024-02-01T00:00:00Z"))
 
 
 @query
@@ -365,8 +365,6 @@ def q_status_text(spark, d):
         ],
         "value string",
     )
-    from upwell.schema import STATUS
-
     parsed = full.unionByName(other).select(F.from_json("value", STATUS).alias("r")).select("r.*")
     return parsed.select("status", "updated_at", report.status_text(F.lit("2024-02-01T00:11:00Z").cast("timestamp")).alias("text"))
 
@@ -401,21 +399,73 @@ def q_pipeline(spark, d):
 @query
 def q_stream_parity(spark, d):
     """Both sightings of every post through a file stream of upserts."""
-    import uuid
-
-    from upwell.schema import STORED_POST
-    from upwell.sources.store import Store, shared_dir
-    from upwell.streaming.stream import start_upserts
-
-    root = f"{shared_dir(spark)}/upwell-stream-{uuid.uuid4().hex}"
+    root = _scratch_root(spark, "stream")
     for k, part in enumerate(_versions(spark, d)):
-        part.select(*[f.name for f in Store(spark, root).read("posts").schema]).coalesce(4).write.mode("append").parquet(f"{root}/in/{k}")
+        part.select(*Store(spark, root).rows("posts").columns).coalesce(4).write.mode("append").parquet(f"{root}/in/{k}")
         stream = spark.readStream.schema(STORED_POST).parquet(f"{root}/in/*")
         start_upserts(spark, stream, f"{root}/state", f"{root}/checkpoint").awaitTermination()
     out = Store(spark, f"{root}/state").read("posts")
     return out.select("post_id", "author_handle", "likes", "retweets", "replies", "quotes", "bookmarks", "genre", seconds("detected_at"), "notified", "seq")
 
 
+@query
+def q_session_alerts(spark, d):
+    runs = rel.runs(spark, d).withColumn("status", F.when(F.col("posts_scanned") == 0, "session_expired").otherwise("success"))
+    return alerts.session_alerts(runs).select("run_id", seconds("at"))
+
+
+@query
+def q_failed_report(spark, d):
+    """The reports of runs whose source failed, as JSON."""
+    failed = rel.runs(spark, d).filter("posts_scanned = 0")
+    at = F.date_format("started_at", "yyyy-MM-dd HH:mm:ss")
+    kind = F.when(F.col("run_id") % 2 == 0, "session_expired").otherwise("error")
+    return report.report_json(report.failure_report(failed.select(at.alias("updated_at"), kind.alias("status"), at.alias("started_at"), F.concat(F.lit("run "), F.col("run_id")).alias("error_message"))))
+
+
+@query
+def q_trial_outbox(spark, d):
+    return modes.trial_outbox(spark).unionByName(modes.trial_summary(spark, {"first": True, "second": False}))
+
+
+@query
+def q_quote_query(spark, d):
+    return rel.posts(spark, d).select("ingest_seq", text.quote_query(F.col("text_snippet")).alias("quoted"))
+
+
+def _scratch_root(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/upwell-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def q_first_sightings(spark, d):
+    """Both sightings of every post through a stream that keeps the first of each."""
+    root = _scratch_root(spark, "first")
+    state.union_modes(*rel.snapshots(spark, d)).select("post_id", "posted_at").write.parquet(f"{root}/in")
+    stream = first_sightings(spark.readStream.schema("post_id string, posted_at timestamp").parquet(f"{root}/in"))
+    stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("post_id string, posted_at timestamp").parquet(f"{root}/out").select("post_id", seconds("posted_at"))
+
+
+#: Times of the two cycles of ``q_cycle_state``.
+CYCLES = ("2024-01-16 12:00:00", "2024-01-16 13:00:00")
+
+
+@query
+def q_cycle_state(spark, d):
+    """Stored posts after two cycles of a stream, in which deliveries of every third post fail."""
+    root = _scratch_root(spark, "cycles")
+    seen = rel.posts(spark, d).withColumn("seq", F.col("ingest_seq")).drop("ingest_seq", "user_id")
+    send = lambda out: out.select("post_id", (F.col("post_id").cast("long") % 3 != 0).alias("first_ok"), F.lit(None).cast("boolean").alias("second_ok"))
+    stream = spark.readStream.schema(seen.schema).parquet(f"{root}/in/*")
+    for k, at in enumerate(CYCLES):
+        part = seen if k else seen.filter("seq % 2 = 0")
+        part.withColumn("observed_at", F.lit(at).cast("timestamp")).write.parquet(f"{root}/in/{k}")
+        start_cycles(spark, stream, f"{root}/state", rel.KEYWORDS, f"{root}/checkpoint", None, sender=send).awaitTermination()
+    out = Store(spark, f"{root}/state").read("posts")
+    return out.select("post_id", "author_handle", "likes", "genre", seconds("detected_at"), "notified", seconds("notified_at"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 _K = "['earthquake drill','earthquake','地震','台風','flood','outage','recall','事件','license','token']"
 
+_OBSERVED = "e.ts + to_minutes(CAST(e.event_id * 37 % 480 AS BIGINT)) AS observed_at"
+
 _P = f"""n AS (SELECT count(*) AS n FROM documents),
 P AS (
   SELECT e.event_id AS ingest_seq, CAST(e.event_id AS VARCHAR) AS post_id, concat('user_', e.user_id) AS author_handle,
     concat('https://x.com/user_', e.user_id, '/status/', e.event_id) AS url,
     substring(CASE WHEN e.event_id % 4 = 0 THEN concat({_K}[1 + (e.event_id // 4) % 10], ' ', substring(d.text, 1, 200)) ELSE substring(d.text, 1, 200) END, 1, 200) AS text_snippet,
-    e.ts AS posted_at, e.ts + to_minutes(CAST(e.event_id * 37 % 480 AS BIGINT)) AS observed_at,
+    e.ts AS posted_at, {_OBSERVED},
     e.event_id * 7919 % 6000 AS likes, e.event_id * 6151 % 500 AS retweets, e.event_id * 3571 % 400 AS replies,
     e.event_id * 2741 % 300 AS quotes, e.event_id * 4409 % 700 AS bookmarks,
     CASE WHEN e.event_id % 5 <> 0 THEN e.event_id * 9973 % 600000 END AS impressions, e.user_id
@@ -173,12 +175,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "q_alt_enrich": _with("SELECT ingest_seq, post_id, CASE WHEN ingest_seq % 5 = 0 THEN 0 ELSE ingest_seq * 9973 % 600000 + CASE WHEN ingest_seq % 11 = 0 THEN 1 ELSE 0 END END AS impressions FROM P WHERE ingest_seq % 6 <> 0"),
         "q_handles": _with("SELECT DISTINCT author_handle FROM P WHERE likes * 10 >= 30000 ORDER BY 1"),
-        "q_semi_handles": _with("SELECT ingest_seq, author_handle FROM P WHERE author_handle IN (SELECT author_handle FROM P WHERE likes * 10 >= 30000 AND ingest_seq % 50 = 0)"),
+        "q_semi_handles": _with("SELECT ingest_seq, author_handle FROM P WHERE author_handle IN (SELECT author_handle FROM P WHERE likes * 10 >= 30000)"),
         "q_anti_known": _with("SELECT ingest_seq, post_id FROM P WHERE post_id NOT IN (SELECT post_id FROM known)", _STATE),
         "q_cooldown": _with(f"SELECT x.ingest_seq, x.author_handle FROM P x LEFT JOIN authors a USING (author_handle) WHERE {_COOL}", _STATE),
         "q_upsert": _with("SELECT * FROM merged", _VERSIONS),
         "q_stream_parity": _with("SELECT * FROM merged", _VERSIONS),
-        "q_mark_notified": _with("SELECT post_id, notified OR seq % 5 = 0 OR (seq % 7 < 3 AND seq % 2 = 1) AS notified FROM base", _VERSIONS),
+        "q_mark_notified": _with("SELECT post_id, notified OR ok AS notified, CASE WHEN ok THEN 1706745600 WHEN notified THEN CAST(floor(epoch(observed_at)) AS BIGINT) END AS notified_at_s FROM (SELECT *, seq % 5 = 0 OR (seq % 7 < 3 AND seq % 2 = 1) AS ok FROM base)", _VERSIONS),
         "q_recent_flagged": _with("SELECT post_id, CAST(floor(epoch(observed_at)) AS BIGINT) AS detected_at_s FROM base ORDER BY observed_at DESC, post_id LIMIT 20", _VERSIONS),
         "q_meta_latest": _with("SELECT concat('author_last_notified:', author_handle) AS key, arg_max_null(CASE WHEN ingest_seq % 11 <> 0 THEN CAST(ingest_seq AS VARCHAR) END, ingest_seq) AS value FROM P GROUP BY author_handle"),
         "q_run_log": f"WITH {_RUNS} SELECT run_id, started_at_s, started_at_s + 120 AS finished_at_s, posts_scanned, posts_scanned % 5 AS posts_flagged, 'success' AS status FROM runs",
@@ -215,6 +217,24 @@ fired AS (SELECT min(started_at_s) AS t FROM due UNION SELECT (SELECT min(d.star
 SELECT run_id, started_at_s AS at_s, streak FROM due WHERE started_at_s IN (SELECT t FROM fired WHERE t IS NOT NULL)""",
         "q_pipeline": _with("SELECT ingest_seq, post_id, author_handle, kw AS matched_keyword, elapsed_hours, buzz_score, is_gekiatsu, explosive_type FROM fresh ORDER BY buzz_score DESC, ingest_seq", _STATE, _FRESH),
     }
+    out["q_session_alerts"] = f"""WITH RECURSIVE {_RUNS}, due AS (SELECT run_id, started_at_s FROM runs WHERE posts_scanned = 0),
+fired AS (SELECT min(started_at_s) AS t FROM due UNION SELECT (SELECT min(d.started_at_s) FROM due d WHERE d.started_at_s >= fired.t + 86400) FROM fired WHERE t IS NOT NULL)
+SELECT run_id, started_at_s AS at_s FROM due WHERE started_at_s IN (SELECT t FROM fired WHERE t IS NOT NULL)"""
+    fields = ["updated_at", "status", "started_at", "posts_scanned", "posts_flagged", "notified_count", "error_message"]
+    values = ["'\"' || stamp || '\"'", "CASE WHEN run_id % 2 = 0 THEN '\"session_expired\"' ELSE '\"error\"' END", "'\"' || stamp || '\"'", "'0'", "'0'", "'0'", "'\"run ' || run_id || '\"'"]
+    lines = " || ',' || chr(10) || ".join(f"'  \"{f}\" : ' || {v}" for f, v in zip(fields, values, strict=True))
+    out["q_failed_report"] = f"WITH {_RUNS} SELECT '{{' || chr(10) || {lines} || chr(10) || '}}' AS value FROM (SELECT run_id, strftime(make_timestamp(started_at_s * 1000000), '%Y-%m-%d %H:%M:%S') AS stamp FROM runs WHERE posts_scanned = 0)"
+    out["q_trial_outbox"] = """SELECT '0' AS post_id, 'test_account' AS author_handle, concat('🔥🔥🔥 激アツ投稿 [📈持続/テスト]', chr(10), 'test_account の投稿が0.5時間でいいね12,345・引用100(15%)・ブックマーク300(25%)', chr(10), 'https://x.com/example/status/000000000') AS text,
+  '🔥🔥🔥 激アツ投稿 [持続/テスト]' AS title, 'test_account の投稿が0.5時間でいいね12,345・引用100・ブックマーク300' AS message, 'siren' AS sound, '2' AS priority, 'https://x.com/example/status/000000000' AS link, '投稿を開く' AS url_title, '60' AS retry, '3600' AS expire
+UNION ALL SELECT 'system:trial', who, concat('🔥 急上昇検知 [📈持続/システム通知]', chr(10), who, tail, chr(10)), '🔥 急上昇検知 [持続/システム通知]', concat(who, tail), 'siren', '2', NULL, NULL, '60', '3600'
+FROM (SELECT concat('📋 通知確認テスト結果', chr(10), '✅ first', chr(10), '❌ second') AS who, ' の投稿が-時間でいいね0・引用0・ブックマーク0' AS tail)"""
+    out["q_quote_query"] = _with("SELECT ingest_seq, replace(url_encode(text_snippet), '%2F', '/') AS quoted FROM P")
+    out["q_first_sightings"] = _with("SELECT post_id, CAST(floor(epoch(posted_at)) AS BIGINT) AS posted_at_s FROM P")
+    at = lambda k: _P.replace(_OBSERVED, f"TIMESTAMP '2024-01-16 1{2 + k}:00:00' AS observed_at")
+    chosen = f"SELECT *, {_OFFLINE} AS genre, ingest_seq % 3 <> 0 AS notified, CAST(epoch(observed_at) AS BIGINT) AS detected_at_s FROM E WHERE kw IS NOT NULL AND explosive_type IS NOT NULL"
+    columns = "post_id, author_handle, likes, genre, detected_at_s, notified, CASE WHEN notified THEN detected_at_s END AS notified_at_s"
+    out["q_cycle_state"] = f"""WITH first AS (WITH {at(0)} {chosen} AND ingest_seq % 2 = 0), second AS (WITH {at(1)} {chosen} AND post_id NOT IN (SELECT post_id FROM first) AND author_handle NOT IN (SELECT author_handle FROM first WHERE notified))
+SELECT {columns} FROM first UNION ALL SELECT {columns} FROM second"""
     shapes = [
         "CAST(likes AS VARCHAR)", "format('{:,}', likes)", "concat(' ', likes::DOUBLE / 8, 'K ')", "concat(likes::DOUBLE / 16, '万')", "concat(likes::DOUBLE / 4, 'm')", "''", "'1.2.3'", "',.'",
         "concat('　', likes, '　')", "'2.3億'", "'4.1M'", "'0.57万'",

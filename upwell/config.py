@@ -94,6 +94,22 @@ HEADLINES = {
     "error": "❌ 直近の実行でエラーが発生しました",
 }
 UNKNOWN_HEADLINE = "❓ 状態不明"
+#: Parts of the report's text (fixed values); braces take figures.
+LAST_RUN, MINUTES_AGO = "最終実行: ", "分前"
+SCANNED, NOTIFIED, ITEMS = "収集件数: ", "通知件数: ", "件"
+ERROR_LINE = "エラー内容: "
+LIKES_WORD, QUOTES_WORD, MARKS_WORD, PROGRESS_WORD = "いいね", " 引用", " BM", "達成度"
+#: Parts of the messages (fixed values).
+HOT_HEADER, USUAL_HEADER = "🔥🔥🔥 激アツ投稿", "🔥 急上昇検知"
+MESSAGE_KINDS, PUSH_KINDS = ("⚡瞬間", "📈持続"), ("瞬間", "持続")
+LEAD_POST, LEAD_HOURS, LEAD_QUOTES, LEAD_MARKS = " の投稿が", "時間でいいね", "・引用", "・ブックマーク"
+KEYWORD_LINE = "\n🔑 マッチしたワード: "
+#: Alerts about the job itself (fixed values): topic, hours shown, texts and links.
+SYSTEM_GENRE, SYSTEM_HOURS = "システム通知", "-"
+SESSION_TEXT, SESSION_URL = "⚠️ ログインセッションが切れました。codespace_login.sh を再実行してください", "https://x.com/login"
+ZERO_POSTS_TEXT = "⚠️ {streak}回連続で投稿を0件しか取得できていません。Xのページ構造が変わった可能性があります(要確認)"
+#: Summary of a trial of the channels (fixed values).
+TRIAL_TITLE, TRIAL_OK, TRIAL_FAILED = "📋 通知確認テスト結果", "✅ ", "❌ "
 SITE = "https://x.com"
 URL_TITLE = "投稿を開く"
 

@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from upwell.config import SITE, SNIPPET_CHARS
 
-#: Fixed patterns of the raw texts.
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-COUNT = r"[0-9,.]+[万億KkMm]?"
-VIEWS = r"(?i)([0-9,.]+[万億KkMm]?)\s*Views?"
+#: Fixed patterns of the raw texts. Blanks are those of Unicode, which Java's ``\\s`` lacks.
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NUMBER = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)[ \t]*([万億KkMm]?)$"
+COUNT = r"[\p{Nd},.]+[万億KkMm]?"
+VIEWS = rf"(?i)([\p{{Nd}},.]+[万億KkMm]?)[{BLANK}]*Views?"
+AFTER_VIEWS = rf"(?is)[\p{{Nd}},.]+[万億KkMm]?[{BLANK}]*Views?(.*)"
 END_OF_STATS = "Relevant"
 LEGACY_DATE = "MMM dd HH:mm:ss Z yyyy"
+#: Multipliers of the units; a number without one counts as it is.
+UNITS = {"": 1.0, "万": 1e4, "億": 1e8, "K": 1e3, "k": 1e3, "M": 1e6, "m": 1e6}
+
+#: Decimal digits of other scripts, and the ASCII digit that each stands for.
+_DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+_FOREIGN, _ASCII = "".join(_DIGITS), "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
 
 def trimmed(s: Column) -> Column:
-    """Without white space at both ends, the ideographic space included."""
-    return F.regexp_replace(s, r"^[\s　]+|[\s　]+$", "")
+    """Without white space at both ends, that of Unicode included."""
+    return F.regexp_replace(s, f"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def parse_count(raw: Column) -> Column:
-    """A localized counter as a number, truncated; 0 for anything else."""
-    s = F.replace(F.translate(trimmed(F.coalesce(raw, F.lit(""))), "０１２３４５６７８９", "0123456789"), F.lit(","), F.lit(""))
-    last = F.right(s, F.lit(1))
-    unit = F.when(last == "万", 1e4).when(last == "億", 1e8).when(last.isin("K", "k"), 1e3).when(last.isin("M", "m"), 1e6)
-    digits = F.when(unit.isNotNull(), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
-    number = F.when(digits.rlike(NUMBER), digits.try_cast("double"))
+    """A localized counter as a number, truncated; 0 for anything else.
+
+    Digits of any script count. Unlike in some parsers, digits may not be grouped by "_".
+    """
+    s = F.replace(trimmed(F.coalesce(raw, F.lit(""))), F.lit(","), F.lit(""))
+    s = F.when(F.octet_length(s) != F.length(s), F.regexp_replace(F.translate(s, _FOREIGN, _ASCII), f"[{BLANK}]", " ")).otherwise(s)
+    unit = F.try_element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), F.regexp_extract(s, NUMBER, 2))
     # a counter beyond the range of long is no counter
-    return F.coalesce((number * F.coalesce(unit, F.lit(1.0))).try_cast("bigint"), F.lit(0).cast("long"))
+    return F.coalesce((F.regexp_extract(s, NUMBER, 1).try_cast("double") * unit).try_cast("bigint"), F.lit(0).cast("long"))
 
 
 def label_count(label: Column) -> Column:
@@ -37,7 +49,7 @@ def label_count(label: Column) -> Column:
 
 
 def post_id(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"/status/([0-9]+)", 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"/status/(\p{Nd}+)", 1)
 
 
 def handle(href: Column) -> Column:
@@ -69,13 +81,9 @@ def impressions(detail: Column) -> Column:
 
 def bookmarks(detail: Column) -> Column:
     """The fourth number after the first views counter and before the end of the statistics."""
-    text = F.coalesce(detail, F.lit(""))
-    found = F.regexp_extract(text, VIEWS, 0)
-    after = F.substring(text, F.position(found, text) + F.length(found), F.length(text))
-    cut = F.position(F.lit(END_OF_STATS), after)
-    stats = F.when(cut > 0, F.substring(after, F.lit(1), cut - 1)).otherwise(after)
-    fourth = F.try_element_at(F.regexp_extract_all(stats, F.lit(COUNT), F.lit(0)), F.lit(4))
-    return F.when(found != "", parse_count(fourth)).otherwise(F.lit(0).cast("long"))
+    after = F.regexp_extract(F.coalesce(detail, F.lit("")), AFTER_VIEWS, 1)
+    stats = F.substring_index(after, END_OF_STATS, 1)
+    return parse_count(F.try_element_at(F.regexp_extract_all(stats, F.lit(COUNT), F.lit(0)), F.lit(4)))
 
 
 def thousands(x: Column) -> Column:
@@ -88,5 +96,8 @@ def percent(x: Column) -> Column:
 
 
 def quote_query(s: Column) -> Column:
-    """A search query percent-encoded for a URL, blanks as %20."""
-    return F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))
+    """A search query percent-encoded for a URL, blanks as %20 and slashes as they are."""
+    coded = F.url_encode(s)
+    for coded_as, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        coded = F.replace(coded, F.lit(coded_as), F.lit(wanted))
+    return coded

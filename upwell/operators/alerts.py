@@ -1,23 +1,34 @@
-"""Alerts about the job itself: runs without posts, and ended sessions."""
+"""Alerts about the job itself: runs without posts, and ended sessions.
+
+Two forms: columns over a whole run log, and one step of a running cycle, which keeps its
+streak and the time of the last alert in ``meta``.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
+from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from upwell.config import THRESHOLDS, Thresholds
+from upwell.config import SESSION_TEXT, SESSION_URL, SITE, SYSTEM_GENRE, SYSTEM_HOURS, THRESHOLDS, ZERO_POSTS_TEXT, Thresholds
+
+#: Keys of ``meta`` (fixed values).
+STREAK, ZERO_AT, SESSION_AT = "zero_posts_streak", "zero_posts_alert_at", "session_expired_alert_at"
 
 
 def zero_streaks(runs: DataFrame) -> DataFrame:
     """Adds ``streak``: how many runs in a row, this one included, scanned nothing.
 
-    Runs whose ``posts_scanned`` is null failed before the count: they change nothing and
-    have no streak. ``runs`` is the run log of one job, a row an hour, so one window holds it.
+    Runs whose ``posts_scanned`` is null, or whose ``status`` (if there is such a column) is
+    another than success, failed before the count: they change nothing and have no streak.
+    ``runs`` is the run log of one job, a row an hour, so one window holds it.
     """
     done = F.col("posts_scanned").isNotNull()
+    if "status" in runs.columns:
+        done &= F.coalesce(F.col("status") == "success", F.lit(True))
     w = Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = runs.withColumn("_island", F.count_if(done & (F.col("posts_scanned") > 0)).over(w))
     within = Window.partitionBy("_island").orderBy("run_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -56,3 +67,35 @@ def session_alerts(runs: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
     """Runs that raise the alert about an ended session."""
     due = runs.filter("status = 'session_expired'").select(F.lit("session_expired").alias("kind"), "run_id", F.col("started_at").alias("at"), F.lit(None).cast("long").alias("streak"))
     return alerts(due, t.alert_cooldown_hours)
+
+
+def _cooled(last: str | None, now: datetime, hours: float) -> bool:
+    return not last or now - datetime.fromisoformat(last) >= timedelta(hours=hours)
+
+
+def zero_post_step(meta: Mapping[str, str], scanned: int, now: datetime, t: Thresholds = THRESHOLDS) -> tuple[dict[str, str], list[dict]]:
+    """What a finished run changes in ``meta``, and the system posts that it raises."""
+    if scanned > 0:
+        return {STREAK: "0"}, []
+    streak = int(meta.get(STREAK) or 0) + 1
+    changed = {STREAK: str(streak)}
+    if streak < t.zero_streak or not _cooled(meta.get(ZERO_AT), now, t.alert_cooldown_hours):
+        return changed, []
+    return changed | {ZERO_AT: now.isoformat()}, [{"post_id": "system:zero_posts", "author_handle": ZERO_POSTS_TEXT.format(streak=streak), "url": SITE}]
+
+
+def session_step(meta: Mapping[str, str], now: datetime, t: Thresholds = THRESHOLDS) -> tuple[dict[str, str], list[dict]]:
+    """The same of a run whose session had ended."""
+    if not _cooled(meta.get(SESSION_AT), now, t.alert_cooldown_hours):
+        return {}, []
+    return {SESSION_AT: now.isoformat()}, [{"post_id": "system:session_expired", "author_handle": SESSION_TEXT, "url": SESSION_URL}]
+
+
+def system_posts(spark: SparkSession, posts: list[dict]) -> DataFrame:
+    """System posts in the shape that messages are made of."""
+    zero = F.lit(0).cast("long")
+    rows = spark.createDataFrame([(p["post_id"], p["author_handle"], p["url"]) for p in posts], "post_id string, author_handle string, url string")
+    return rows.select(
+        "*", F.lit(SYSTEM_GENRE).alias("genre"), F.lit(SYSTEM_HOURS).alias("elapsed_hours"), zero.alias("likes"), zero.alias("quotes"), zero.alias("bookmarks"), F.lit(False).alias("is_gekiatsu"),
+        *(F.lit(None).cast("double").alias(c) for c in ("quote_like_ratio", "bookmark_like_ratio")), *(F.lit(None).cast("string").alias(c) for c in ("explosive_type", "matched_keyword")),
+    )

@@ -28,19 +28,32 @@ def whitelist(posts: DataFrame, keywords: list[str]) -> DataFrame:
     return posts.withColumn("matched_keyword", first_keyword(F.col("text_snippet"), keywords)).filter("matched_keyword is not null")
 
 
+#: Keywords meet texts on their first characters, so many at most.
+ANCHOR_CHARS = 4
+#: A keyword relation of so many bytes at most is broadcast; a longer one is shuffled.
+BROADCAST_BYTES = 8 << 20
+
+
 def keyword_join(posts: DataFrame, keywords: DataFrame) -> DataFrame:
     """``whitelist`` for lists too long for a constant: ``keywords(pos, keyword)`` as a relation.
 
-    Texts and keywords meet by equality of an anchor, a run of characters as long as the
-    shortest keyword: each keyword's first ones, and every distinct such run of a text.
+    Texts and keywords meet by equality of an anchor: a keyword's first ``ANCHOR_CHARS``
+    characters, or all of a shorter one, and every distinct run of such lengths in a text.
+    Each distinct text is looked at once. An empty list lets everything pass, as there;
+    blank keywords don't count.
     """
-    shortest = keywords.filter("keyword <> ''").agg(F.min(F.length("keyword")).alias("n")).first()["n"]
-    if shortest is None:
-        return posts.filter(F.lit(False)).withColumn("matched_keyword", F.lit(None).cast("string"))
-    n = F.length("text_snippet")
-    runs = F.transform(F.sequence(F.lit(1), n - shortest + 1), lambda i: F.substring(F.col("text_snippet"), i, F.lit(shortest)))
-    anchored = keywords.withColumn("anchor", F.substring("keyword", 1, shortest))
-    cut = posts.filter(n >= shortest).select("ingest_seq", "text_snippet", F.explode(F.array_distinct(runs)).alias("anchor"))
-    hits = cut.join(anchored, "anchor").filter(F.contains("text_snippet", F.col("keyword")))
-    best = hits.groupBy("ingest_seq").agg(F.min_by("keyword", "pos").alias("matched_keyword"))
-    return posts.join(best, "ingest_seq")
+    listed = keywords.filter("keyword <> ''").select("pos", "keyword", F.substring("keyword", 1, ANCHOR_CHARS).alias("anchor"))
+    found = listed.agg(F.collect_set(F.length("anchor")).alias("sizes"), F.coalesce(F.sum(F.octet_length("keyword") + 32), F.lit(0)).alias("bytes")).first()
+    if not found["sizes"]:
+        return posts.withColumn("matched_keyword", F.lit(UNFILTERED_MARK))
+    text, n = F.col("text_snippet"), F.length("text_snippet")
+
+    def runs(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
+        return F.when(n >= size, F.transform(places, lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    texts = posts.select("text_snippet").filter("text_snippet <> ''").distinct()
+    cut = texts.select("text_snippet", F.explode(F.array_distinct(F.concat(*map(runs, sorted(found["sizes"]))))).alias("anchor"))
+    hits = cut.join(F.broadcast(listed) if found["bytes"] <= BROADCAST_BYTES else listed, "anchor").filter(F.contains("text_snippet", F.col("keyword")))
+    best = hits.groupBy("text_snippet").agg(F.min_by("keyword", "pos").alias("matched_keyword"))
+    return posts.join(best, "text_snippet").select(*posts.columns, "matched_keyword")

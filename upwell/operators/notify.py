@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upwell.config import DEFAULT_GENRE, URL_TITLE, PushConfig
+from upwell.config import (
+    DEFAULT_GENRE, HOT_HEADER, KEYWORD_LINE, LEAD_HOURS, LEAD_MARKS, LEAD_POST, LEAD_QUOTES, MESSAGE_KINDS, PUSH_KINDS, URL_TITLE, USUAL_HEADER, PushConfig,
+)
 from upwell.functions.text import percent, thousands
 
 
@@ -19,17 +21,17 @@ def _n(c: str) -> Column:
 
 def _keyword_line() -> Column:
     shown = F.col("matched_keyword").isNotNull() & (F.col("matched_keyword") != "")
-    return F.when(shown, F.concat(F.lit("\n🔑 マッチしたワード: "), F.col("matched_keyword"))).otherwise("")
+    return F.when(shown, F.concat(F.lit(KEYWORD_LINE), F.col("matched_keyword"))).otherwise("")
 
 
 def _header(instant: str, sustained: str) -> Column:
     kind = F.when(F.col("explosive_type") == "instant", instant).otherwise(sustained)
-    start = F.when(F.coalesce("is_gekiatsu", F.lit(False)), "🔥🔥🔥 激アツ投稿").otherwise("🔥 急上昇検知")
+    start = F.when(F.coalesce("is_gekiatsu", F.lit(False)), HOT_HEADER).otherwise(USUAL_HEADER)
     return F.concat(start, F.lit(" ["), kind, F.lit("/"), _said("genre", DEFAULT_GENRE), F.lit("]"))
 
 
 def _lead() -> Column:
-    return F.concat(_said("author_handle", ""), F.lit(" の投稿が"), _said("elapsed_hours", "?"), F.lit("時間でいいね"), _n("likes"), F.lit("・引用"), _n("quotes"))
+    return F.concat(_said("author_handle", ""), F.lit(LEAD_POST), _said("elapsed_hours", "?"), F.lit(LEAD_HOURS), _n("likes"), F.lit(LEAD_QUOTES), _n("quotes"))
 
 
 def message_text() -> Column:
@@ -38,8 +40,8 @@ def message_text() -> Column:
     hot = F.coalesce("is_gekiatsu", F.lit(False))
     quotes = F.when(hot, share("quote_like_ratio")).otherwise("")
     marks = F.when(hot, share("bookmark_like_ratio")).otherwise("")
-    detail = F.concat(_lead(), quotes, F.lit("・ブックマーク"), _n("bookmarks"), marks)
-    return F.concat(_header("⚡瞬間", "📈持続"), F.lit("\n"), detail, F.lit("\n"), _said("url", ""), _keyword_line())
+    detail = F.concat(_lead(), quotes, F.lit(LEAD_MARKS), _n("bookmarks"), marks)
+    return F.concat(_header(*MESSAGE_KINDS), F.lit("\n"), detail, F.lit("\n"), _said("url", ""), _keyword_line())
 
 
 def priority(at_school: Column, config: PushConfig) -> Column:
@@ -52,8 +54,8 @@ def push_payload(at_school: Column, config: PushConfig = PushConfig()) -> dict[s
     level = priority(at_school, config)
     has_url = F.coalesce(F.col("url") != "", F.lit(False))
     return {
-        "title": _header("瞬間", "持続"),
-        "message": F.concat(_lead(), F.lit("・ブックマーク"), _n("bookmarks"), _keyword_line()),
+        "title": _header(*PUSH_KINDS),
+        "message": F.concat(_lead(), F.lit(LEAD_MARKS), _n("bookmarks"), _keyword_line()),
         "sound": F.lit(config.value("sound")),
         "priority": level,
         "link": F.when(has_url, F.col("url")),

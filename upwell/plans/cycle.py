@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upwell.config import THRESHOLDS, Thresholds
-from upwell.operators import classify, notify, rank, report, state
-from upwell.operators.keywords import whitelist
+from upwell.config import THRESHOLDS, UNFILTERED_MARK, Thresholds
+from upwell.functions.detect import in_cooldown, is_explosive
+from upwell.operators import alerts, classify, notify, rank, report, state
+from upwell.operators.keywords import first_keyword, whitelist
+from upwell.schema import META, SENT
 from upwell.sources.store import Store
 
-#: Takes the outbox and returns ``post_id, first_ok, second_ok``.
+#: Takes the outbox and returns ``post_id, first_ok, second_ok``. Spark may run a failed task
+#: again, so a sender should use post_id to recognise what it has sent.
 Sender = Callable[[DataFrame], DataFrame]
 
 
@@ -27,6 +31,57 @@ def select_posts(posts: DataFrame, keywords: list[str], known: DataFrame, author
     return rank.enrich(state.drop_cooling(state.drop_known(kept, known), authors, t), t)
 
 
+def flag_posts(posts: DataFrame, keywords: list[str], known: DataFrame, authors: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
+    """All posts with ``matched_keyword`` and what ``select_posts`` decides as booleans: ``whitelisted``, ``candidate``, ``fresh``."""
+    word = first_keyword(F.col("text_snippet"), keywords) if keywords else F.lit(UNFILTERED_MARK)
+    ids = known.select("post_id").distinct().withColumn("_known", F.lit(True))
+    last = authors.select("author_handle", F.col("last_notified_at").alias("_last"))
+    joined = posts.withColumn("matched_keyword", word).join(ids, "post_id", "left").join(last, "author_handle", "left")
+    flagged = joined.withColumn("whitelisted", F.col("matched_keyword").isNotNull()).withColumn("candidate", F.col("whitelisted") & F.coalesce(is_explosive(t), F.lit(False)))
+    fresh = F.col("candidate") & F.col("_known").isNull() & ~in_cooldown(F.col("_last"), F.col("observed_at"), t.author_cooldown_hours)
+    return flagged.withColumn("fresh", fresh).select(*posts.columns, "matched_keyword", "whitelisted", "candidate", "fresh")
+
+
+def deliver(store: Store, name: str, out: DataFrame, cycle: int, sender: Sender) -> DataFrame:
+    """Hands the rows of ``out`` to the sender once, whatever is repeated, and gives its answers.
+
+    The outbox is stored before anything is sent, and the sender runs in one job that stores
+    its answers. A cycle that is repeated after that reads them; one that ended while sending
+    counts its posts as not delivered, rather than send any of them twice.
+    """
+    answers = f"{name}_sent"
+    if store.has(answers, cycle):
+        return store.at(answers, cycle)
+    if not store.has(name, cycle):
+        store.write(name, out, cycle)
+    held = store.at(name, cycle)
+    if store.claim(name, cycle):
+        sent = sender(held)
+    else:
+        sent = held.select("post_id", F.lit(False).alias("first_ok"), F.lit(False).alias("second_ok"))
+    fields = [F.col(f.name).cast(f.dataType) for f in store.spark.createDataFrame([], SENT).schema]
+    store.write(answers, sent.select(*fields), cycle)
+    return store.at(answers, cycle)
+
+
+def _raise_alerts(store: Store, changed: dict[str, str], posts: list[dict], cycle: int, sender: Sender) -> None:
+    """Sends system posts, and writes what they changed in ``meta``."""
+    if posts:
+        deliver(store, "alerts", notify.outbox(alerts.system_posts(store.spark, posts)), cycle, sender)
+    store.write("meta", store.spark.createDataFrame([(k, v, cycle) for k, v in changed.items()], META), cycle)
+
+
+def _meta(store: Store, cycle: int) -> dict[str, str]:
+    rows = store.read("meta", cycle).filter(F.col("key").isin(alerts.STREAK, alerts.ZERO_AT, alerts.SESSION_AT))
+    return {r["key"]: r["value"] for r in rows.collect()}
+
+
+def _log_run(store: Store, cycle: int, started: F.Column, finished: F.Column, scanned: int, flagged: int, status: str, error: str | None) -> None:
+    line = store.spark.createDataFrame([(0, scanned, flagged, status, error)], "run_id long, posts_scanned long, posts_flagged long, status string, error_message string")
+    line = line.withColumn("started_at", started).withColumn("finished_at", finished)
+    store.write("runs", state.number_runs(store.read("runs", cycle), line), cycle)
+
+
 def run_cycle(
     spark: SparkSession,
     sightings: DataFrame,
@@ -38,50 +93,59 @@ def run_cycle(
     classifier: classify.Classifier = classify.offline,
     presence: DataFrame | None = None,
     t: Thresholds = THRESHOLDS,
+    clock: Callable[[], float] | None = None,
 ) -> dict[str, int]:
     """Runs cycle number ``cycle`` at time ``now`` and writes the next state versions.
 
     State is read once, before anything is decided. Posts are stored before they are sent,
     so a failed delivery isn't tried again; those in cool-down aren't stored and can come
-    back. A repeated cycle number gives the same versions.
+    back. A repeated cycle number gives the same versions and sends nothing again. Runs that
+    find nothing raise an alert, see ``alerts``. ``clock`` gives seconds (``time.monotonic``)
+    to tell how long the run took; without it, as in a replay, it ends when it starts.
     """
+    began = clock() if clock else 0.0
     store = Store(spark, root)
-    stored, authors, runs = (store.read(n, cycle) for n in ("posts", "authors", "runs"))
-    at = F.lit(now).cast("timestamp")
+    at, time = F.lit(now).cast("timestamp"), datetime.fromisoformat(now)
     posts = state.dedupe(sightings).withColumn("ingest_seq", F.col("first_seq")).withColumn("observed_at", at)
-    white = whitelist(posts, keywords).persist()
+    word = first_keyword(F.col("text_snippet"), keywords) if keywords else F.lit(UNFILTERED_MARK)
+    flagged = posts.withColumn("matched_keyword", word).persist()
     try:
-        candidates = rank.filter_explosive(white, t)
-        fresh = state.drop_cooling(state.drop_known(candidates, stored), authors, t)
-        fresh = classify.classify(rank.enrich(fresh, t), classifier).persist()
-        out = notify.outbox(fresh, presence)
-        sent = sender(out)
+        white = flagged.filter("matched_keyword is not null")
+        hot = rank.filter_explosive(white, t)
+        new = state.drop_cooling(state.drop_known(hot, store.rows("posts", cycle)), store.read("authors", cycle), t)
+        # written once, so that a classifier sees each post once
+        fresh = store.write("chosen", classify.classify(rank.enrich(new, t), classifier), cycle)
         delta = fresh.select(
-            "post_id", "author_handle", "url", "posted_at", "text_snippet", "likes", "retweets", "replies", "quotes", "bookmarks", "genre",
-            at.alias("detected_at"), F.lit(False).alias("notified"), (F.lit(cycle) * F.lit(1 << 40) + F.col("ingest_seq")).cast("long").alias("seq"),
+            "post_id", "author_handle", "url", "posted_at", "text_snippet", "likes", "retweets", "replies", "quotes", "bookmarks", "genre", at.alias("detected_at"),
+            F.lit(False).alias("notified"), F.lit(None).cast("timestamp").alias("notified_at"), (F.lit(cycle) * F.lit(1 << 40) + F.col("ingest_seq")).cast("long").alias("seq"),
         )
-        store.write("posts", state.mark_notified(state.upsert(stored, delta), sent), cycle)
-        delivered = sent.filter("first_ok or second_ok").join(fresh.select("post_id", "author_handle"), "post_id").select("author_handle").distinct()
-        untouched = authors.join(delivered, "author_handle", "left_anti")
-        store.write("authors", untouched.unionByName(delivered.withColumn("last_notified_at", at)), cycle)
-        counts = state.run_counts(posts, white, candidates, fresh, sent.filter("first_ok or second_ok"))
-        n = counts.first().asDict()
-        line = spark.createDataFrame([(0, n["posts_scanned"], n["posts_flagged"], "success", None)], "run_id long, posts_scanned long, posts_flagged long, status string, error_message string")
-        line = line.withColumn("started_at", at).withColumn("finished_at", at)
-        store.write("runs", state.append_runs(runs, line), cycle)
-        summary = report.status_report(white, spark.createDataFrame([tuple(n.values())], ", ".join(f"{k} long" for k in n)), F.lit(now))
-        store.write_text("status", report.report_json(summary))
-        store.write_text("outbox", out.select(F.to_json(F.struct(*out.columns)).alias("value")))
+        store.write("posts", delta, cycle)
+        delivered = state.succeeded(deliver(store, "outbox", notify.outbox(fresh, presence), cycle, sender))
+        store.write("notices", delivered.withColumn("notified_at", at), cycle)
+        reached = fresh.join(delivered, "post_id", "left_semi").select("author_handle").distinct()
+        store.write("authors", reached.withColumn("last_notified_at", at), cycle)
+        is_white = F.col("matched_keyword").isNotNull()
+        row = flagged.agg(F.count("*").alias("posts_scanned"), F.count_if(is_white).alias("whitelisted"), F.count_if(is_white & is_explosive(t)).alias("candidates")).first()
+        n = row.asDict() | {"posts_flagged": fresh.count(), "notified_count": store.at("notices", cycle).count()}
+        _raise_alerts(store, *alerts.zero_post_step(_meta(store, cycle), n["posts_scanned"], time, t), cycle, sender)
+        ended = (time + timedelta(seconds=clock() - began if clock else 0)).isoformat(sep=" ")
+        _log_run(store, cycle, at, F.lit(ended).cast("timestamp"), n["posts_scanned"], n["posts_flagged"], "success", None)
+        counts = spark.createDataFrame([tuple(n.values())], ", ".join(f"{k} long" for k in n))
+        store.write_text("status", report.report_json(report.status_report(white, counts, F.lit(ended), started_at=F.lit(now), finished_at=F.lit(ended))))
+        store.compact(cycle)
         return n
     finally:
-        white.unpersist()
+        flagged.unpersist()
 
 
-def log_failure(spark: SparkSession, root: str, now: str, cycle: int, error: Exception) -> str:
-    """Logs a cycle whose source failed; returns its status."""
+def log_failure(spark: SparkSession, root: str, now: str, cycle: int, error: Exception, sender: Sender = dry_run, t: Thresholds = THRESHOLDS) -> str:
+    """Logs and reports a cycle whose source failed, raises the alert about an ended session; returns its status."""
     status = "session_expired" if getattr(error, "expired", False) else "error"
     store = Store(spark, root)
-    line = spark.createDataFrame([(0, None, 0, status, str(error))], "run_id long, posts_scanned long, posts_flagged long, status string, error_message string")
     at = F.lit(now).cast("timestamp")
-    store.write("runs", state.append_runs(store.read("runs", cycle), line.withColumn("started_at", at).withColumn("finished_at", at)), cycle)
+    _log_run(store, cycle, at, at, 0, 0, status, str(error))
+    changed, posts = alerts.session_step(_meta(store, cycle), datetime.fromisoformat(now), t) if status == "session_expired" else ({}, [])
+    _raise_alerts(store, changed, posts, cycle, sender)
+    failure = spark.createDataFrame([(now, status, now, str(error))], "updated_at string, status string, started_at string, error_message string")
+    store.write_text("status", report.report_json(report.failure_report(failure)))
     return status

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upwell.operators import notify
+from upwell.config import TRIAL_FAILED, TRIAL_OK, TRIAL_TITLE
+from upwell.operators import alerts, notify
 from upwell.plans.cycle import Sender, dry_run
 from upwell.sources.raw import SourceUnavailable
 
@@ -30,6 +33,12 @@ def trial(spark: SparkSession, sender: Sender = dry_run) -> DataFrame:
     return got.select(F.explode(F.array(F.struct(F.lit("first").alias("channel"), F.coalesce("first_ok", F.lit(False)).alias("ok")), F.struct(F.lit("second").alias("channel"), F.coalesce("second_ok", F.lit(False)).alias("ok")))).alias("r")).select("r.*")
 
 
+def trial_summary(spark: SparkSession, results: Mapping[str, bool]) -> DataFrame:
+    """The outbox row that tells which channels took the made-up post."""
+    lines = [TRIAL_TITLE, *((TRIAL_OK if ok else TRIAL_FAILED) + channel for channel, ok in results.items())]
+    return notify.outbox(alerts.system_posts(spark, [{"post_id": "system:trial", "author_handle": "\n".join(lines), "url": ""}]))
+
+
 def require_input(spark: SparkSession, path: str, expired: bool = False) -> str:
     """``path`` if it exists, else ``SourceUnavailable``."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,14 +12,17 @@ CARD = "href string, datetime string, user_href string, body string, reply_label
 DETAIL = "url string, detail_text string"
 STORED_POST = (
     "post_id string, author_handle string, url string, posted_at timestamp, text_snippet string, likes long, retweets long, replies long, "
-    "quotes long, bookmarks long, genre string, detected_at timestamp, notified boolean, seq long"
+    "quotes long, bookmarks long, genre string, detected_at timestamp, notified boolean, notified_at timestamp, seq long"
 )
 RUN = "run_id long, started_at timestamp, finished_at timestamp, posts_scanned long, posts_flagged long, status string, error_message string"
 META = "key string, value string, seq long"
+NOTICE = "post_id string, notified_at timestamp"
+OUTBOX = "post_id string, author_handle string, text string, title string, message string, sound string, priority string, link string, url_title string, retry string, expire string"
+SENT = "post_id string, first_ok boolean, second_ok boolean"
 AUTHOR_STATE = "author_handle string, last_notified_at timestamp"
 WEBHOOK = "events array<struct<type:string,replyToken:string,message:struct<type:string,text:string>>>"
 STATUS = (
-    "updated_at string, status string, posts_scanned long, posts_flagged long, notified_count long, error_message string, "
+    "updated_at string, status string, started_at string, finished_at string, posts_scanned long, posts_flagged long, notified_count long, error_message string, "
     "top5_by_likes array<struct<author:string,likes:long,quotes:long,bookmarks:long,url:string,matched_keyword:string>>, "
     "top5_by_progress array<struct<author:string,likes:long,quotes:long,bookmarks:long,progress_percent:long,url:string,matched_keyword:string>>"
 )

@@ -14,7 +14,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One post per event; its text comes from the document of the event's number."""
+    """One post per event; its text comes from the document of the event's number, modulo their count.
+
+    Where doc_ids have holes, events that fall into one have no post.
+    """
     events = read(spark, sf_dir, "events").withColumn("posted_at", F.col("ts").cast("timestamp"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     n = docs.agg(F.count("*").alias("n"))

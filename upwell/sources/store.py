@@ -1,7 +1,10 @@
-"""State tables as numbered Parquet versions in a folder that all executors share.
+"""State as numbered Parquet versions in a folder that all executors share.
 
-A version is visible once its folder has Spark's success mark, so a reader never sees
-half a write, and writing a version again replaces it.
+A version of a table holds the rows that one cycle adds; nothing is rewritten when state
+grows. The state is the merge of the last base and the versions after it: the last value of
+each key, by rules of the table. Every so many versions a merge is written as the next base,
+and what only older bases need is removed. A version is visible once its folder has Spark's
+success mark, so a reader never sees half a write, and writing it again replaces it.
 """
 
 from __future__ import annotations
@@ -9,20 +12,36 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from upwell.schema import AUTHOR_STATE, META, RUN, STORED_POST
+from upwell.operators import state
+from upwell.schema import AUTHOR_STATE, META, NOTICE, OUTBOX, RUN, SENT, STORED_POST
 
-SCHEMAS = {"posts": STORED_POST, "runs": RUN, "meta": META, "authors": AUTHOR_STATE}
+SCHEMAS = {
+    "posts": STORED_POST, "notices": NOTICE, "authors": AUTHOR_STATE, "runs": RUN, "meta": META, "outbox": OUTBOX, "outbox_sent": SENT, "alerts": OUTBOX, "alerts_sent": SENT,
+}
+#: How the versions of a table become one state; tables without a rule belong to their cycle alone.
+MERGES = {
+    "posts": state.last_posts,
+    "notices": lambda rows: rows.groupBy("post_id").agg(F.max("notified_at").alias("notified_at")),
+    "authors": lambda rows: rows.groupBy("author_handle").agg(F.max("last_notified_at").alias("last_notified_at")),
+    "runs": lambda rows: rows.dropDuplicates(["run_id"]),
+    "meta": lambda rows: rows.groupBy("key").agg(F.max_by(F.struct("value", "seq"), "seq").alias("v")).select("key", "v.value", "v.seq"),
+}
+#: Versions between two bases.
+COMPACT_EVERY = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only in local mode, where it is unset."""
+    """``spark.checkpoint.dir``; a temporary folder only in local mode, where it is unset, one for the session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='upwell-state-')}"
+    base = tempfile.mkdtemp(prefix="upwell-state-")
+    spark.sparkContext.setCheckpointDir(base)
+    return f"file://{base}"
 
 
 class Store:
@@ -31,22 +50,68 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def versions(self, table: str) -> list[int]:
+    def _numbers(self, table: str, kind: str) -> list[int]:
         folder = self._path(f"{self.root}/{table}")
         if not self._fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS")))
+        found = (n for n in names if n.startswith(kind) and n[len(kind) :].isdigit())
+        return sorted(int(n[len(kind) :]) for n in found if self._fs.exists(self._path(f"{self.root}/{table}/{n}/_SUCCESS")))
 
-    def read(self, table: str, before: int | None = None) -> DataFrame:
-        """The last version, or the last one before a number; empty if there is none."""
-        found = [v for v in self.versions(table) if before is None or v < before]
-        if not found:
+    def versions(self, table: str) -> list[int]:
+        return self._numbers(table, "v")
+
+    def rows(self, table: str, before: int | None = None) -> DataFrame:
+        """The last base and the versions after it, before a number; keys may repeat."""
+        under = lambda numbers: [n for n in numbers if before is None or n < before]
+        base = under(self._numbers(table, "base"))[-1:]
+        later = [n for n in under(self.versions(table)) if not base or n > base[0]]
+        paths = [f"{self.root}/{table}/base{n:09d}" for n in base] + [f"{self.root}/{table}/v{n:09d}" for n in later]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/v{found[-1]:09d}")
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*paths)
+
+    def read(self, table: str, before: int | None = None) -> DataFrame:
+        """The state of a table, of all versions or those before a number; empty if there are none."""
+        merged = MERGES[table](self.rows(table, before))
+        if table == "posts":
+            merged = state.apply_notices(merged, self.read("notices", before))
+        return merged
 
-    def write(self, table: str, df: DataFrame, version: int) -> None:
+    def has(self, table: str, version: int) -> bool:
+        return version in self.versions(table)
+
+    def at(self, table: str, version: int, schema=None) -> DataFrame:
+        """The rows of one version."""
+        return self.spark.read.schema(schema or SCHEMAS[table]).parquet(f"{self.root}/{table}/v{version:09d}")
+
+    def write(self, table: str, df: DataFrame, version: int) -> DataFrame:
+        """Writes the rows that a version adds, and gives them as stored."""
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/v{version:09d}")
+        return self.at(table, version, df.schema)
+
+    def compact(self, version: int, every: int = COMPACT_EVERY) -> None:
+        """Writes bases of the states up to a version, if they are due, and removes what no reader needs."""
+        for table in MERGES:
+            bases = self._numbers(table, "base")
+            since = [n for n in self.versions(table) if n <= version and (not bases or n > bases[-1])]
+            if len(since) < every:
+                continue
+            MERGES[table](self.rows(table, version + 1)).write.mode("overwrite").parquet(f"{self.root}/{table}/base{version:09d}")
+            # the base before stays for readers that began with it
+            old = [f"base{n:09d}" for n in bases[:-1]] + [f"v{n:09d}" for n in self.versions(table) if bases and n <= bases[-1]]
+            for name in old:
+                self._fs.delete(self._path(f"{self.root}/{table}/{name}"), True)
+
+    def create(self) -> None:
+        """Empty states of all tables, as base 0, where there are none."""
+        for table in MERGES:
+            if not self._numbers(table, "base") and not self.versions(table):
+                self.spark.createDataFrame([], SCHEMAS[table]).write.mode("overwrite").parquet(f"{self.root}/{table}/base{0:09d}")
+
+    def claim(self, name: str, version: int) -> bool:
+        """Takes a one-time step of a version: true for the first caller only."""
+        return self._fs.mkdirs(self._path(f"{self.root}/claims/{name}")) and self._fs.createNewFile(self._path(f"{self.root}/claims/{name}/v{version:09d}"))
 
     def write_text(self, name: str, df: DataFrame) -> None:
         """A small text result as a single file in a folder."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -10,7 +11,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from upwell.config import THRESHOLDS, Thresholds
-from upwell.operators.state import upsert
 from upwell.plans.cycle import run_cycle
 from upwell.sources.store import Store
 
@@ -18,9 +18,12 @@ from upwell.sources.store import Store
 def start_cycles(spark: SparkSession, stream: DataFrame, root: str, keywords: list[str], checkpoint: str, every: str | None = "1 hour", **options) -> StreamingQuery:
     """A cycle for each micro-batch, at the batch's latest ``observed_at``.
 
-    ``every`` None takes what there is and ends. State is read once per batch, as in batch
-    mode; a batch that is run again writes the same versions.
+    ``every`` None takes what there is and ends, a replay whose runs take no time. State is
+    read once per batch, as in batch mode; a batch that is run again writes the same
+    versions and sends nothing again.
     """
+    if every is not None:
+        options.setdefault("clock", time.monotonic)
 
     def cycle(batch: DataFrame, number: int) -> None:
         last = batch.selectExpr("cast(max(observed_at) as string) t").first()["t"]
@@ -40,11 +43,15 @@ def first_sightings(stream: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
 
 
 def start_upserts(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the stored posts up to date with a stream of rows of their schema."""
+    """Keeps the stored posts up to date with a stream of rows of their schema.
+
+    A batch is added as a version; ``Store.read`` merges them by the rules of ``upsert``.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         store = Store(spark, root)
-        store.write("posts", upsert(store.read("posts", number + 1), batch), number + 1)
+        store.write("posts", batch.select(*store.rows("posts", 0).columns), number + 1)
+        store.compact(number + 1)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
