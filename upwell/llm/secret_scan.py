@@ -69,7 +69,8 @@ def labelled_samples(docs: DataFrame, n_docs: int = SAMPLE_DOCUMENTS, n_random:
     usable = docs.filter("doc_id is not null and text is not null")
     total = max(1, usable.count())
     share = min(unit, unit * n_docs // total)
-    some = usable.filter((F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < share))
+    # few documents make many samples, so they are dealt to all cores
+    some = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < share).select("text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     runs = some.select(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?![A-Za-z0-9+/_=-])"), F.lit(0)).alias("w"))
     pairs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))),
@@ -90,9 +91,8 @@ def fit_models(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     The counts that reach the driver are at most one per label and pair of ``ALPHABET``.
     Samples that are null or hold other characters count with their known pairs only.
     """
-    chars = F.split("sample", "")
-    n = F.size(chars)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i)))
+    ahead = lambda chars, by: F.slice(chars, F.lit(by), F.size(chars) - 1)
+    pairs = _let(F.split("sample", ""), lambda chars: F.zip_with(ahead(chars, 1), ahead(chars, 2), lambda a, b: F.concat(a, b)))
     grouped = samples.filter(F.length("sample") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.count("*").alias("n"))
     known = grouped.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$"))
     counts = {(r["label"], r["pair"]): r["n"] for r in known.collect()}
