@@ -22,6 +22,8 @@ ROOT = Path(__file__).resolve().parents[2]
 ARROW_BYTES = 4 << 20
 #: Rows of the broadcast bitmap of ids at least and at most (64 bits each; about 12 MB at most).
 BITMAP_WORDS = (1 << 10, 1 << 18)
+#: Rows of a file of a scratch table at least, where their number is known, and files that are not worth merging.
+ROWS_PER_FILE, FEW_FILES = 10_000, 8
 #: Bits of the bitmap for each id, as long as it is below its greatest size.
 BITS_PER_ID = 16
 
@@ -58,7 +60,13 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+        """Writes a table. ``rows`` is about how many it has: small ones are not cut into many
+
+        files, each of which costs a task and, on local disks, a process that sets its mode.
+        """
+        if rows is not None:
+            df = df.coalesce(max(FEW_FILES, -(-rows // ROWS_PER_FILE)))
         self._n += 1
         path = self.path(f"{name}-{self._n}")
         df.write.parquet(path)
@@ -208,14 +216,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     state = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first()
     before = state(e)
     while before[0]:
+        n = before[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low", n)
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.save(large.filter("u <> v").distinct(), "large")
-        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = scratch.save(large.filter("u <> v").distinct(), "large", n)
+        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "low", n)
         hung = large.join(low2, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = hung.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        nxt = scratch.save(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        nxt = scratch.save(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "edges", n)
         after = state(nxt)
         scratch.drop(e, low, large, low2)
         e = nxt

@@ -187,9 +187,10 @@ def _loose_links(edges: DataFrame, comp: DataFrame, sets: DataFrame, sizes: Data
         .withColumn("component", F.coalesce("component", "doc_id"))
         .join(sizes, "doc_id")
     )
-    first = placed = scratch.save(placed, "placed")
+    n = edges.count()
+    first = placed = scratch.save(placed, "placed", n)
     homes = placed.filter("centre = doc_id").select("centre", F.col("component").alias("home"), F.col("n_shingles").alias("own"))
-    placed = scratch.save(placed.join(homes, "centre").withColumn("loose", F.col("component") != F.col("home")), "placed")
+    placed = scratch.save(placed.join(homes, "centre").withColumn("loose", F.col("component") != F.col("home")), "placed", n)
     scratch.drop(first)
     blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_DOCS), F.ceil(s / BLOCK_SHINGLES))
     stars = placed.groupBy("centre").agg(
@@ -197,7 +198,7 @@ def _loose_links(edges: DataFrame, comp: DataFrame, sets: DataFrame, sizes: Data
         blocks(F.count_if(~F.col("loose")), F.sum(F.when(F.col("loose"), 0).otherwise(F.col("n_shingles")))).cast("int").alias("n_home"),
         F.count("*").alias("n"),
     )
-    stars = scratch.save(stars.filter("n_loose > 0 and n > 2").drop("n"), "stars")
+    stars = scratch.save(stars.filter("n_loose > 0 and n > 2").drop("n"), "stars", n)
     # a loose document meets every block; one at home only the blocks of loose ones
     spread = placed.join(stars, "centre").withColumn(
         "blk", F.pmod(F.xxhash64("doc_id"), F.when(F.col("loose"), F.col("n_loose")).otherwise(F.col("n_home"))).cast("int")
@@ -231,24 +232,25 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
     mark = scratch.mark()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = scratch.save(texts.mapInArrow(_features(width, bands, rows), _FEATURES), "features")
+    n = feats.count()
     real = feats.filter("doc_id is not null and set_key is not null")
-    classes = scratch.save(real.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.save(real.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes", n)
     reps = real.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
-    reps = scratch.save(reps.select("doc_id", "n_shingles", "bands"), "reps")
+    reps = scratch.save(reps.select("doc_id", "n_shingles", "bands"), "reps", n)
 
     rows_of = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = scratch.save(rows_of.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    members = scratch.save(rows_of.join(shared, "bucket"), "members")
-    degree = scratch.save(members.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degree")
-    ranked = scratch.save(members.select("bucket", "doc_id").join(degree, "doc_id"), "ranked")
+    shared = scratch.save(rows_of.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared", n)
+    members = scratch.save(rows_of.join(shared, "bucket"), "members", n)
+    degree = scratch.save(members.groupBy("doc_id").agg(F.sum("n").alias("degree")), "degree", n)
+    ranked = scratch.save(members.select("bucket", "doc_id").join(degree, "doc_id"), "ranked", n)
     centres = ranked.groupBy("bucket").agg((-F.max(F.struct("degree", (-F.col("doc_id")).alias("neg")))["neg"]).alias("centre"))
-    centres = scratch.save(centres, "centres")
+    centres = scratch.save(centres, "centres", n)
     scratch.drop(shared, members, degree)
     edges = ranked.join(centres, "bucket").filter("doc_id <> centre").select("centre", F.col("doc_id").alias("doc")).distinct()
-    edges = scratch.save(edges, "stars")
+    edges = scratch.save(edges, "stars", n)
     scratch.drop(ranked, centres)
 
-    wanted = scratch.save(edges.select("doc").union(edges.select("centre").distinct()).distinct(), "wanted")
+    wanted = scratch.save(edges.select("doc").union(edges.select("centre").distinct()).distinct(), "wanted", n)
     sets = scratch.save(keep_ids(texts, "doc_id", wanted).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
     left = edges.join(sets.toDF("doc", "mine"), "doc")
     both = left.join(sets.toDF("centre", "theirs"), "centre")
@@ -267,8 +269,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
         .select("node", F.coalesce("lower", "component").alias("component"))
         .unionByName(second.join(first.select("node"), "node", "left_anti"))
     )
-    final = scratch.save(final.dropDuplicates(["node"]), "final")
-    of_class = scratch.save(classes.join(final, classes["rep"] == final["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "of_class")
+    final = scratch.save(final.dropDuplicates(["node"]), "final", n)
+    of_class = scratch.save(classes.join(final, classes["rep"] == final["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "of_class", n)
     scratch.clear(mark, keep=(feats, of_class))
     got = feats.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
