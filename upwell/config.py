@@ -106,7 +106,7 @@ LEAD_POST, LEAD_HOURS, LEAD_QUOTES, LEAD_MARKS = " の投稿が", "時間でい
 KEYWORD_LINE = "\n🔑 マッチしたワード: "
 #: Alerts about the job itself (fixed values): topic, hours shown, texts and links.
 SYSTEM_GENRE, SYSTEM_HOURS = "システム通知", "-"
-SESSION_TEXT, SESSION_URL = "⚠️ ログインセッションが切れました。codespace_login.sh を再実行してください", "https://x.com/login"
+SESSION_TEXT, SESSION_URL = "⚠️ ログインセッションが切れました。ログイン手順を再実行してください", "https://x.com/login"
 ZERO_POSTS_TEXT = "⚠️ {streak}回連続で投稿を0件しか取得できていません。Xのページ構造が変わった可能性があります(要確認)"
 #: Summary of a trial of the channels (fixed values).
 TRIAL_TITLE, TRIAL_OK, TRIAL_FAILED = "📋 通知確認テスト結果", "✅ ", "❌ "
