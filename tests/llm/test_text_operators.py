@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -314,6 +316,31 @@ def test_pii_rows(odd, empty):
         pii.find_spans(long)
 
 
+def test_pii_keeps_the_type_of_ids(spark):
+    text = "mail a@b.co"
+    for kind, ids in (("string", ["x-1", None]), ("int", [1, None]), ("void", [None, None])):
+        docs = spark.createDataFrame([(ids[0], text), (ids[1], None)], f"doc_id {kind}, text string")
+        got = pii.scan_pii(docs)
+        assert got.schema["doc_id"].dataType.typeName() == ("long" if kind == "void" else "integer" if kind == "int" else kind)
+        assert sorted((str(r["doc_id"]), r["n_email"]) for r in got.collect()) == sorted([(str(ids[0]), 1), (str(ids[1]), 0)])
+
+
+def test_pii_added_spans_against_a_plain_version():
+    rng = random.Random(6)
+    bits = ["123-45-6789 ", "social security ", "AB 12 34 56 C ", "insurance ", "IBAN DE89 3704 0044 0532 0130 00 ", "10.0.0.1 ", "a@b.co ", "+49 30 1234567 ", "4111 1111 1111 1111 ", "x, "]
+
+    def plain(t: str) -> list[tuple[int, int, str]]:
+        base = [(a, b) for a, _, b, _ in plain_pii(t)]
+        return sorted((a, b, k) for a, b, k in pii._extra(t) if pii._score(t, a, b, k) >= pii.THRESHOLD and all(b <= c or d <= a for c, d in base))
+
+    for _ in range(2000):
+        t = "".join(rng.choice(bits)[rng.choice((0, 0, 0, 1)) :] for _ in range(rng.randrange(12)))
+        assert sorted((s.start, s.end, s.kind) for s in pii.find_spans(t) if s.kind in pii.EXTRA_KINDS) == plain(t), t
+    began = time.monotonic()
+    spans = pii.find_spans("10.0.0.1 ssn 123-45-6789 " * 30_000)
+    assert Counter(s.kind for s in spans) == {"ip": 30_000, "ssn": 30_000} and time.monotonic() - began < 60
+
+
 def test_myers_distance():
     rng = random.Random(4)
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, NullType, StructType
 
 from upwell.llm._common import ship_package
 
@@ -129,16 +132,24 @@ def find_spans(text: str) -> list[Span]:
     """All spans of a text, sorted by start, then kind; extra ones never touch base ones."""
     if not _MAY_HOLD(text):
         return []
-    base = [Span(a, b, k, _score(text, a, b, k)) for a, b, k in _base(text)]
+    base = sorted((Span(a, b, k, _score(text, a, b, k)) for a, b, k in _base(text)), key=_place)
+    starts, reached = [s.start for s in base], list(accumulate((s.end for s in base), max))
     more = []
     for a, b, k in _extra(text):
+        before = bisect_left(starts, b)  # base spans that begin before the end
+        if before and reached[before - 1] > a:
+            continue
         score = _score(text, a, b, k)
-        if score >= THRESHOLD and not any(s.start < b and a < s.end for s in base):
+        if score >= THRESHOLD:
             more.append(Span(a, b, k, score))
-    return sorted(base + more, key=lambda s: (s.start, KINDS.index(s.kind)))
+    return sorted(base + more, key=_place)
 
 
-_RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_extra long, top_score double"
+def _place(s: Span) -> tuple[int, int]:
+    return s.start, KINDS.index(s.kind)
+
+
+_RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_extra long, top_score double"
 
 
 def scan_pii(docs: DataFrame) -> DataFrame:
@@ -146,22 +157,25 @@ def scan_pii(docs: DataFrame) -> DataFrame:
 
     ``n_extra`` (spans of the added kinds) and ``top_score`` (0 without spans). Spans are
     kind:start:end in code points, end exclusive. A null text counts as empty. Each row
-    stands alone, null and repeated doc_ids included; other columns are ignored.
+    stands alone, null and repeated doc_ids included; doc_id keeps its type, and other
+    columns are ignored.
     """
     ship_package(docs.sparkSession)
-    names = StructType.fromDDL(_RESULT).names
+    doc_id = F.col("doc_id").cast(LongType()) if isinstance(docs.schema["doc_id"].dataType, NullType) else F.col("doc_id")
+    rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = StructType([rows.schema["doc_id"], *StructType.fromDDL(_RESULT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            found = []
             for text in batch.column("text"):
                 spans = find_spans(text.as_py() or "")
                 shown = [f"{s.kind}:{s.start}:{s.end}" for s in spans]
                 base = ",".join(x for x, s in zip(shown, spans, strict=True) if s.kind in BASE_KINDS)
                 counts = [sum(s.kind == k for s in spans) for k in BASE_KINDS]
-                rows.append([*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(shown), len(spans) - sum(counts), max((s.score for s in spans), default=0.0)])
+                found.append([*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(shown), len(spans) - sum(counts), max((s.score for s in spans), default=0.0)])
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.float64()]
-            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names)
+            cols = [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], schema.names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, _RESULT)
+    return rows.mapInArrow(run, schema)
