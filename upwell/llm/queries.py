@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from upwell.llm import sql
@@ -86,6 +87,30 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.vector_codes import compress, with_label_error
+
+    scratch = Scratch(spark)
+    codes, book = compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256, scratch=scratch)
+    rows = with_label_error(scratch.save(codes, "codes"), scratch)
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(book.sha256()).alias("codebooks_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.lexical_search import build_index, search
+
+    scratch = Scratch(spark)
+    index = build_index(table(spark, sf_dir, "documents"), scratch)
+    return search(index, table(spark, sf_dir, "benchmark"), limit=50, scratch=scratch)
+
+
+def op13_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from upwell.llm.packing import pack_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER), window=1024, keep_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_neardup": op1_embedding_neardup,
@@ -98,6 +123,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_pii": op9_pii,
         "op10_minhash_neardup": op10_minhash_neardup,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_lexical_packing": op13_lexical_packing,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -108,4 +136,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_embedding_neardup": sql.embedding_links(0.93),
         "op2_sharding": sql.placement(SHARDS, SLOTS),
         "op10_minhash_neardup": sql.near_duplicates(80),
+        "op11_vector_codes": sql.vector_codes(16, 64, 2, 256),
+        "op12_lexical_search": sql.lexical_search(50),
     }
