@@ -38,7 +38,9 @@ HELD = 1 << 18
 #: Bytes of terms as they are, A-Z in lower case, all others as blanks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-BLOCK_KINDS = "doc array<bigint>, size array<bigint>, term array<binary>, df array<bigint>, start array<int>, slot array<int>, tf array<bigint>"
+#: Lists of a block as bytes: numbers as little-endian, terms with a zero byte, which no term has, between them.
+LISTS = {"doc": "<i8", "null": "?", "size": "<i8", "term": "", "df": "<i4", "start": "<i4", "slot": "<i4", "tf": "<i4", "top": "<i4"}
+BLOCK_KINDS = ", ".join(f"{name} binary" for name in LISTS if name != "top")
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -61,41 +63,40 @@ class _Block:
         self.tf.extend(counts.values())
         self.start.append(len(self.slot))
 
-    def row(self) -> tuple:
-        slot = np.array(self.slot, np.int32)
-        return self.doc, self.size, list(self.at), np.bincount(slot, minlength=len(self.at)), self.start, slot, self.tf
-
-
-def _arrow(schema: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = (f.split() for f in schema.split(", "))
-    return pa.schema([(n, pa.list_(kinds[k[6:-1]]) if k.startswith("array") else kinds[k]) for n, k in fields])
+    def row(self) -> pa.RecordBatch:
+        lists = {"doc": [d or 0 for d in self.doc], "null": [d is None for d in self.doc], "size": self.size, "start": self.start, "slot": self.slot, "tf": self.tf}
+        lists["df"] = np.bincount(self.slot, minlength=len(self.at))
+        cols = {n: b"\0".join(self.at) if n == "term" else np.array(lists[n]).astype(kind).tobytes() for n, kind in LISTS.items() if n != "top"}
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in cols.values()], list(cols))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema, block = _arrow(BLOCK_KINDS), _Block()
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(block.row(), schema, strict=True)], schema=schema)
+    block = _Block()
     for batch in batches:
         for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
             terms = terms_of(text.as_py())
             if terms:
                 block.add(doc.as_py(), terms)
             if len(block.doc) >= BLOCK or len(block.slot) >= BLOCK_TERMS:
-                yield row()
+                yield block.row()
                 block = _Block()
     if block.doc:
-        yield row()
+        yield block.row()
     give_back()
 
 
 def _values(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
-    return batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+    return np.frombuffer(batch.column(name)[k].as_py(), LISTS[name])
+
+
+def _terms(batch: pa.RecordBatch, k: int) -> list[bytes]:
+    return batch.column("term")[k].as_py().split(b"\0")
 
 
 def impacts(tf: np.ndarray, size: np.ndarray, documents: int, terms: int) -> np.ndarray:
     """The part of a score that a term has before its weight, for documents of ``size`` terms."""
-    m = 50 + 50 * size * documents // terms
-    return 1_000_000_000 * tf // (1000 * tf + 20 * m)
+    tf, m = tf.astype(np.int64), 50 + 50 * size.astype(np.int64) * documents // terms
+    return 1_000_000_000 * tf // (1000 * tf + 20 * m)  # less than a million
 
 
 def weight(documents: int, df: int) -> int:
@@ -108,14 +109,20 @@ def _with_maxima(documents: int, terms: int):
             tops = []
             for k in range(len(batch)):
                 size = np.repeat(_values(batch, "size", k), np.diff(_values(batch, "start", k)))
-                top = np.zeros(len(batch.column("df")[k]), np.int64)
-                np.maximum.at(top, _values(batch, "slot", k), impacts(_values(batch, "tf", k), size, documents, terms))
-                tops.append(top)
-            yield batch.append_column("top", pa.array(tops, pa.list_(pa.int64())))
+                top = np.zeros(len(_values(batch, "df", k)), LISTS["top"])
+                np.maximum.at(top, _values(batch, "slot", k), impacts(_values(batch, "tf", k), size, documents, terms).astype(LISTS["top"]))
+                tops.append(top.tobytes())
+            yield batch.append_column("top", pa.array(tops, pa.binary()))
 
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = [_values(batch, "size", k) for k in range(len(batch))]
+        yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sizes]), pa.array([int(s.sum()) for s in sizes])], ["documents", "terms"])
+
+
 @dataclass
 class LexicalIndex:
     """Blocks with maxima, the number of documents that have terms, and of all their terms."""
@@ -130,9 +137,8 @@ def build_index(docs: DataFrame, scratch: Scratch) -> LexicalIndex:
     ship_package(require_integer(docs, "doc_id").sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).filter("text is not null")
     raw = scratch.save(base.mapInArrow(_blocks, BLOCK_KINDS), "blocks")
-    total = F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x)
-    n = raw.agg(F.coalesce(F.sum(F.size("doc")), F.lit(0)), F.coalesce(F.sum(total), F.lit(0))).first()
-    index = scratch.save(raw.mapInArrow(_with_maxima(n[0], n[1]), BLOCK_KINDS + ", top array<bigint>"), "index")
+    n = raw.select("size").mapInArrow(_totals, "documents long, terms long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("documents", "terms"))).first()
+    index = scratch.save(raw.mapInArrow(_with_maxima(n[0], n[1]), BLOCK_KINDS + ", top binary"), "index")
     scratch.drop(raw)
     return LexicalIndex(index, n[0], n[1])
 
@@ -161,10 +167,10 @@ class Queries:
     def positions(self) -> dict[bytes, int]:
         return worker_cache("lexical_search", self.key, lambda: {t: k for k, t in enumerate(self.terms)})
 
-    def place(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def place(self, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Which slots of a block hold terms of the batch, and which."""
         at = self.positions().get
-        found = np.array([at(t, -1) for t in terms.to_pylist()], np.int64)
+        found = np.array([at(t, -1) for t in terms], np.int64)
         slots = np.flatnonzero(found >= 0)
         return slots, found[slots]
 
@@ -173,7 +179,7 @@ class Queries:
         column = np.full(len(self.terms), -1, np.int64)
         column[held] = np.arange(len(held))
         column = column[self.cols]
-        part = np.where(column >= 0, np.append(top[slots], 0)[column] * self.weights, 0)
+        part = np.where(column >= 0, np.append(top[slots], 0).astype(np.int64)[column] * self.weights, 0)
         return np.add.reduceat(part, self.begin[:-1]), column
 
 
@@ -183,7 +189,7 @@ def _frequencies(queries):
         total = np.zeros(len(q.terms), np.int64)
         for batch in batches:
             for k in range(len(batch)):
-                slots, held = q.place(batch.column("term")[k].values)
+                slots, held = q.place(_terms(batch, k))
                 total[held] += _values(batch, "df", k)[slots]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "df"])
@@ -198,7 +204,7 @@ def _greatest(queries, first: int):
         q = queries.value
         best = np.zeros((first, len(q.item_ids)), np.int64)
         for batch in batches:
-            rows = [q.bounds(*q.place(batch.column("term")[k].values), _values(batch, "top", k))[0] for k in range(len(batch))]
+            rows = [q.bounds(*q.place(_terms(batch, k)), _values(batch, "top", k))[0] for k in range(len(batch))]
             best = np.sort(np.concatenate([best, rows]), axis=0)[-first:] if rows else best
         at, item = np.nonzero(best)
         yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(best[at, item])], ["item", "bound"])
@@ -242,15 +248,15 @@ def _scores(queries, documents: int, terms: int, first: np.ndarray, least: np.nd
         q, best = queries.value, _Best(np.ones(len(first), np.int64) if least is None else least, limit)
         for batch in batches:
             for k in range(len(batch)):
-                slots, held = q.place(batch.column("term")[k].values)
+                slots, held = q.place(_terms(batch, k))
                 bounds, column = q.bounds(slots, held, _values(batch, "top", k))
                 live = (bounds >= best.least) & ((bounds >= first) if least is None else (bounds < first))
                 if not live.any():
                     continue
-                docs = batch.column("doc")[k].values
+                docs = _values(batch, "doc", k)
                 slot, tf = _values(batch, "slot", k), _values(batch, "tf", k)
                 row = np.repeat(np.arange(len(docs)), np.diff(_values(batch, "start", k)))
-                narrow = np.full(len(batch.column("df")[k]), -1, np.int64)
+                narrow = np.full(len(_values(batch, "df", k)), -1, np.int64)
                 narrow[slots] = np.arange(len(slots))
                 at = np.flatnonzero(narrow[slot] >= 0)
                 table = np.zeros((len(docs), len(slots)), np.int64)
@@ -259,8 +265,7 @@ def _scores(queries, documents: int, terms: int, first: np.ndarray, least: np.nd
                 item, begin = np.unique(q.item[use], return_index=True)
                 score = np.add.reduceat(table[:, column[use]] * q.weights[use], begin, axis=1)
                 r, c = np.nonzero(score >= best.least[item])
-                null = docs.is_null().to_numpy(zero_copy_only=False)
-                best.add(item[c], score[r, c], docs.fill_null(0).to_numpy()[r], null[r])
+                best.add(item[c], score[r, c], docs[r], _values(batch, "null", k)[r])
         item, score, doc, null = best.shrink()
         ids = pa.array(q.item_ids, pa.int64()).take(pa.array(item))
         yield pa.RecordBatch.from_arrays([pa.array(item), ids, pa.array(doc, mask=null), pa.array(score)], ["item", "item_id", "doc_id", "score"])
