@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import datetime, timedelta, timezone
 from itertools import count
 
@@ -12,7 +13,7 @@ from upwell.operators import alerts, classify, notify, report, state
 from upwell.plans import cycle
 from upwell.schema import AUTHOR_STATE, META, RUN, STORED_POST
 from upwell.sources.raw import SourceUnavailable
-from upwell.sources.store import Store
+from upwell.sources.store import StaleCycle, StateExpired, Store
 from upwell.streaming import stream
 
 T0 = datetime(2024, 3, 1, 12, tzinfo=timezone.utc)
@@ -113,7 +114,7 @@ def test_cycles(spark, tmp_path):
     root = str(tmp_path / "state")
     state.init_state(spark, str(tmp_path / "empty"))
     made = Store(spark, str(tmp_path / "empty"))
-    assert made._numbers("posts", "base") == [0] and made.read("posts").count() == 0 and made.read("meta").count() == 0
+    assert made.manifests() == [0] and made.read("posts").count() == 0 and made.read("meta").count() == 0
     at = T0.strftime("%Y-%m-%d %H:%M:%S")
     first = spark.createDataFrame([sighting(1), sighting(1, likes=2500, seq=9), sighting(2, "b", text="nothing"), sighting(3, "c", likes=10)], SEEN)
     n = cycle.run_cycle(spark, first, root, ["flood"], at, 1)
@@ -207,7 +208,7 @@ def test_reports_alerts_and_run_length(spark, tmp_path):
         at = (T0 + timedelta(hours=k)).replace(tzinfo=None).isoformat(sep=" ")
         cycle.run_cycle(spark, none, root, ["flood"], at, k, sender=sender, clock=lambda: next(ticks), t=t)
     # the third run without posts, and the first one four hours later
-    assert sender.handed() == ["system:zero_posts"] * 2 and store.versions("alerts") == [3, 7]
+    assert sender.handed() == ["system:zero_posts"] * 2 and store.steps("alerts") == [3, 7]
     assert store.at("alerts", 3).first()["text"].startswith("🔥 急上昇検知 [📈持続/システム通知]\n⚠️ 3回連続で投稿を0件しか")
     assert {r["key"]: r["value"] for r in store.read("meta").collect()}["zero_posts_streak"] == "8"
     run = store.read("runs").orderBy("run_id").first()
@@ -217,21 +218,182 @@ def test_reports_alerts_and_run_length(spark, tmp_path):
     for k in (9, 10):
         at = (T0 + timedelta(hours=k)).replace(tzinfo=None).isoformat(sep=" ")
         assert cycle.log_failure(spark, root, at, k, SourceUnavailable("gone", expired=True), sender=sender) == "session_expired"
-    assert store.versions("alerts") == [3, 7, 9] and sender.handed()[0] == "system:session_expired"
+    assert store.steps("alerts") == [3, 7, 9] and sender.handed()[0] == "system:session_expired"
     assert status() == {"updated_at": at, "status": "session_expired", "started_at": at, "posts_scanned": 0, "posts_flagged": 0, "notified_count": 0, "error_message": "gone"}
     assert cycle.log_failure(spark, root, at, 11, ValueError("odd"), sender=sender) == "error" and status()["status"] == "error"
     assert [r["run_id"] for r in store.read("runs").orderBy("run_id").collect()] == list(range(1, 12))
     assert [r["streak"] for r in alerts.zero_streaks(store.read("runs")).orderBy("run_id").collect()] == [*range(1, 9), None, None, None]
 
 
-def test_bases_replace_versions(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
+def test_levels_replace_runs(spark, tmp_path):
+    store = Store(spark, str(tmp_path), fanout=3)
     for v in range(1, 11):
         store.write("posts", spark.createDataFrame([stored("1", f"a{v}", v, "x", v), stored(str(v + 1), "b", 0, "y", v)], STORED_POST), v)
-        store.compact(v, every=3)
+        assert store.commit(v)
         got = {r["post_id"]: (r["author_handle"], r["likes"]) for r in store.read("posts").collect()}
         assert got == {"1": ("a1", v), **{str(k + 1): ("b", 0) for k in range(1, v + 1)}}
-    assert store._numbers("posts", "base") == [6, 9] and store.versions("posts") == [7, 8, 9, 10]
+    assert sorted((r["level"], r["rows"]) for r in store.snapshot()["tables"]["posts"]) == [(0, 2), (2, 10)]
+
+
+def size_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_bytes_written_follow_what_is_added(spark, tmp_path):
+    """Forty cycles of equal size: a row is written once for each level it has come to."""
+    store, written = Store(spark, str(tmp_path), fanout=4, keep=1000), []
+    for v in range(1, 41):
+        rows = spark.range(500).selectExpr(f"cast({v} * 1000 + id as string) post_id", f"timestamp_micros({v}) notified_at")
+        store.write("notices", rows.coalesce(1), v)
+        before = size_of(tmp_path)
+        assert store.commit(v)
+        written.append(sum(r["rows"] for r in store.snapshot()["tables"]["notices"] if f"r{v:09d}-" in r["path"]))
+        assert size_of(tmp_path) >= before
+    assert store.read("notices").count() == 20_000
+    # levels of 4, 16: no cycle but those that fill one writes more than it adds, and all write 500 * (1 + levels)
+    assert written.count(500) == 30 and written.count(2000) == 8 and written.count(8000) == 2
+
+
+def test_cycle_shows_all_or_nothing(spark, tmp_path, monkeypatch):
+    """A run that ends after any of its writes leaves the state of the cycle before."""
+    at = lambda k: (T0 + timedelta(hours=3 * k)).replace(tzinfo=None).isoformat(sep=" ")
+    batch = lambda k: spark.createDataFrame([sighting(f"{k}{i}", f"a{k}{i}", seq=i, at=T0 + timedelta(hours=3 * k)) for i in range(3)], SEEN)
+    root, sender = str(tmp_path / "s"), Counting(str(tmp_path / "sent"))
+    cycle.run_cycle(spark, batch(0), root, ["flood"], at(0), 1, sender=sender)
+    tables = ["posts", "notices", "authors", "runs", "meta"]
+    shown = lambda: {t: sorted(map(str, Store(spark, root).read(t).collect())) for t in tables}
+    first, write, create = shown(), Store.write, Store._create
+    for stop in ["chosen", *tables, "manifest"]:
+        with monkeypatch.context() as m, pytest.raises(OSError):
+            m.setattr(Store, "write", lambda self, t, df, v, stop=stop: (write(self, t, df, v), kill(t == stop))[0])
+            m.setattr(Store, "_create", lambda self, name, content, stop=stop: (kill(stop == "manifest" and "_manifests" in name), create(self, name, content))[1])
+            cycle.run_cycle(spark, batch(1), root, ["flood"], at(1), 2, sender=sender)
+        assert shown() == first
+    n = cycle.run_cycle(spark, batch(1), root, ["flood"], at(1), 2, sender=sender)
+    assert n["posts_flagged"] == n["notified_count"] == 3 and len(shown()["posts"]) == 6
+    assert sender.handed() == ["00", "01", "02", "10", "11", "12"]
+
+
+def kill(now):
+    if now:
+        raise OSError("the machine is gone")
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    for k, store in enumerate((one, two)):
+        store.write("posts", spark.createDataFrame([stored(str(k), "a", 1, "x", 1)], STORED_POST), 1)
+        store.write("runs", spark.createDataFrame([(k, T0, T0, 0, 0, "success", None)], RUN), 1)
+    assert one.commit(1, {"by": 1}) and not two.commit(1, {"by": 2})
+    assert [r["post_id"] for r in two.read("posts").collect()] == ["0"] == [str(r["run_id"]) for r in two.read("runs").collect()]
+    assert two.result(1) == {"by": 1} and len(two._names("posts")) == 1  # what the other wrote is gone
+    assert one._create("_manifests/000000002.json", {}) and not two._create("_manifests/000000002.json", {})
+    late = Store(spark, str(tmp_path))
+    late.write("posts", spark.createDataFrame([stored("9", "a", 1, "x", 1)], STORED_POST), 0)
+    with pytest.raises(StaleCycle):
+        late.commit(0)
+
+
+def test_old_state_is_right_or_raises(spark, tmp_path):
+    store = Store(spark, str(tmp_path), fanout=2, keep=4)
+    for v in range(1, 11):
+        store.write("posts", spark.createDataFrame([stored(str(v), "a", v, "x", v)], STORED_POST), v)
+        store.step("outbox", spark.range(v), v)
+        store.commit(v)
+    assert store.manifests() == [7, 8, 9, 10] == store.steps("outbox")
+    for v in range(8, 12):
+        assert sorted(int(r["post_id"]) for r in store.read("posts", v).collect()) == list(range(1, v))
+    for v in range(1, 8):
+        with pytest.raises(StateExpired):
+            store.read("posts", v)
+    assert len(store._names("outbox")) == 4 and store.at("outbox", 9).count() == 9
+    held = {p for v in store.manifests() for r in store._manifest(v)["tables"]["posts"] for p in [r["path"].partition("/")[2]]}
+    assert set(store._names("posts")) == held == set(store._names("bloom/posts"))
+    assert Store(spark, str(tmp_path / "new")).read("posts", 3).count() == 0
+
+
+def test_point_reads_open_few_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path), bucket_rows=100)
+    for v in (1, 2, 3):
+        rows = spark.range(2000).select(F.lit(None).cast("string").alias("x"), (F.col("id") * 3 + v).cast("string").alias("post_id"), F.current_timestamp().alias("notified_at")).drop("x")
+        store.write("notices", rows, v)
+        store.commit(v)
+    runs_ = store.snapshot()["tables"]["notices"]
+    assert [r["buckets"] for r in runs_] == [32, 32, 32] and all(len(r["files"]) == 32 for r in runs_)
+    wanted = spark.createDataFrame([("4",), ("4",), ("3001",), ("no such id",), (None,)], "k string")
+    got = store.lookup("notices", wanted)
+    assert {r["post_id"] for r in got.join(wanted, got["post_id"] == wanted["k"]).collect()} == {"4", "3001"}
+    assert 2 <= len(got.inputFiles()) <= 5 < len(store.rows("notices").inputFiles()) == 96
+    every = store.rows("notices").select("post_id")
+    for some in (every.filter("post_id % 7 = 0"), every, every.limit(0)):
+        n = some.count()
+        assert store.lookup("notices", some).join(some, "post_id", "left_semi").count() == n
+    assert store.lookup("notices", wanted, before=1).count() == 0
+
+
+def test_clock_with_and_without_offset(spark, tmp_path):
+    """Times mean the same moment with and without an offset, also in a state that holds both."""
+    root, none = str(tmp_path), spark.createDataFrame([], SEEN)
+    forms = ["2024-03-01 00:00:00", "2024-03-01T10:00:00+09:00", "2024-03-01 02:00:00+00:00", "2024-03-01T03:00:00", "2024-03-02T11:00:00+09:00"]
+    for k, now in enumerate(forms, 1):
+        assert cycle.run_cycle(spark, none, root, ["flood"], now, k)["posts_scanned"] == 0
+    store = Store(spark, root)
+    assert [r["started_at"].hour for r in store.read("runs").orderBy("run_id").collect()] == [0, 1, 2, 3, 2]
+    assert store.steps("alerts") == [3, 5]  # the third run without posts, and the first a day later
+    for k, now in enumerate(["2024-03-03T00:00:00+00:00", "2024-03-03 10:00:00"], 6):
+        assert cycle.log_failure(spark, root, now, k, SourceUnavailable("gone", expired=True)) == "session_expired"
+    assert store.steps("alerts") == [3, 5, 6]
+
+
+def test_rows_without_an_id_are_left_out(spark, tmp_path):
+    rows = [sighting(1), (None, *sighting(2, "b")[1:]), (None, *sighting(3, "c")[1:])]
+    for k in (1, 2):
+        n = cycle.run_cycle(spark, spark.createDataFrame(rows, SEEN), str(tmp_path), ["flood"], str(T0 + timedelta(hours=9 * k)), k)
+        assert (n["posts_scanned"], n["posts_flagged"], n["notified_count"]) == ((1, 1, 1) if k == 1 else (1, 0, 0))
+    assert [(r["post_id"], r["notified"]) for r in Store(spark, str(tmp_path)).read("posts").collect()] == [("1", True)]
+
+
+def test_posts_in_cooldown_come_back(spark, tmp_path):
+    root = str(tmp_path)
+    run = lambda k, hours, *posts: cycle.run_cycle(spark, spark.createDataFrame([sighting(i, "a", at=T0 + timedelta(hours=hours)) for i in posts], SEEN), root, ["flood"], str(T0 + timedelta(hours=hours)), k)["posts_flagged"]
+    assert run(1, 0, 1) == 1
+    assert run(2, 1, 1, 2) == 0  # known, and in cool-down
+    assert run(3, 2, 1, 2) == 1  # two hours later it is taken
+    assert sorted(r["post_id"] for r in Store(spark, root).read("posts").collect()) == ["1", "2"]
+
+
+def test_polled_source_that_fails(spark, tmp_path):
+    root = str(tmp_path)
+    status = lambda: json.loads("\n".join(r["value"] for r in spark.read.text(f"{root}/status").collect()))
+
+    def gone():
+        raise SourceUnavailable("no answer")
+
+    lazily = spark.createDataFrame([sighting(1)], SEEN).withColumn("likes", F.raise_error(F.lit("SessionExpired: log in again")).cast("long"))
+    assert cycle.run_polled(spark, gone, root, ["flood"], "2024-03-01 00:00:00", 1) == "error" and status()["error_message"] == "no answer"
+    assert cycle.run_polled(spark, lambda: lazily, root, ["flood"], "2024-03-01 01:00:00", 2) == "session_expired" and status()["status"] == "session_expired"
+    n = cycle.run_polled(spark, lambda: spark.createDataFrame([sighting(1)], SEEN), root, ["flood"], str(T0), 3)
+    assert n["posts_flagged"] == 1 and status()["status"] == "success"
+    assert cycle.run_polled(spark, gone, root, ["flood"], str(T0), 3) == "success"  # committed: nothing changes
+    assert [r["status"] for r in Store(spark, root).read("runs").orderBy("run_id").collect()] == ["error", "session_expired", "success"]
+
+
+def test_polls_without_posts_count_as_runs(spark, tmp_path):
+    """A timed stream: polls that find nothing run cycles too."""
+    schema = spark.createDataFrame([], SEEN).schema
+    spark.createDataFrame([sighting(1, at=datetime.now(timezone.utc))], SEEN).coalesce(1).write.parquet(str(tmp_path / "in"))
+    polled = stream.with_polls(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    q = stream.start_cycles(spark, polled, str(tmp_path / "s"), ["flood"], str(tmp_path / "cp"), every="1 second")
+    store = Store(spark, str(tmp_path / "s"))
+    try:
+        deadline = time.monotonic() + 120
+        while len(store.manifests()) < 3 and time.monotonic() < deadline and q.exception() is None:
+            time.sleep(1)
+    finally:
+        q.stop()
+    runs_ = store.read("runs").orderBy("run_id").collect()
+    assert len(runs_) >= 3 and sorted((r["posts_scanned"] for r in runs_), reverse=True)[:2] == [1, 0]
+    assert {r["status"] for r in runs_} == {"success"}
 
 
 @pytest.mark.parametrize("every", [None])

@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from upwell import catalog_sql
-from upwell.config import PushConfig
+from upwell.config import PushConfig, Thresholds
 from upwell.functions import detect, text
 from upwell.operators import alerts, classify, enrich, notify, rank, report, state
 from upwell.operators import keywords as kw
@@ -17,7 +18,7 @@ from upwell.plans import modes
 from upwell.plans.cycle import flag_posts, select_posts
 from upwell.schema import STATUS, STORED_POST
 from upwell.sources import keywords as kw_source
-from upwell.sources import raw
+from upwell.sources import html_cards, raw, search
 from upwell.sources import relations as rel
 from upwell.sources.store import Store, shared_dir
 from upwell.streaming.stream import first_sightings, start_cycles, start_upserts
@@ -232,7 +233,7 @@ def q_handles(spark, d):
 @query
 def q_semi_handles(spark, d):
     p = rel.posts(spark, d)
-    wanted = enrich.handles(enrich.popular(p.withColumn("likes", F.col("likes") * 10)))
+    wanted = enrich.handles(enrich.popular(p.withColumn("likes", F.col("likes") * 10), Thresholds(profile_likes=59_000)))
     return enrich.of_handles(p, wanted).select("ingest_seq", "author_handle")
 
 
@@ -425,7 +426,9 @@ def q_failed_report(spark, d):
 
 @query
 def q_trial_outbox(spark, d):
-    return modes.trial_outbox(spark).unionByName(modes.trial_summary(spark, {"first": True, "second": False}))
+    """What a trial over all hot posts sends, through a first channel that takes some of them."""
+    take = lambda out: out.select("post_id", (F.length("post_id") % 2 == 0).alias("first_ok"), F.lit(None).cast("boolean").alias("second_ok"))
+    return modes.run_trial(spark, take, _messages(spark, d)).select("post_id", "author_handle", "text", "title", "sound", "priority")
 
 
 @query
@@ -466,6 +469,74 @@ def q_cycle_state(spark, d):
     return out.select("post_id", "author_handle", "likes", "genre", seconds("detected_at"), "notified", seconds("notified_at"))
 
 
+#: Times of the polls of the search queries, and results that a search gives at most.
+POLLS, CAP = (1705406400, 1705410000, 1705413600, 1705417200), 400
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """What the site would show of the posts, in both modes."""
+    e = F.col("ingest_seq")
+    p = rel.posts(spark, d).withColumn("lang", F.when(e % 4 == 3, "en").otherwise("ja")).withColumn("is_repost", e % 5 == 1)
+    return p.select("ingest_seq", *StructType.fromDDL(search.RESULT).names, F.lit(search.QUERY).alias("query"), F.explode(F.array(F.lit("live"), F.lit("top"))).alias("mode"))
+
+
+@query
+def q_search_source(spark, d):
+    """Two polls through the search source, with a filter that it takes over."""
+    root = _scratch_root(spark, "search")
+    for k in (0, 1):
+        _results(spark, d).filter(F.col("ingest_seq") % 2 == k).drop("ingest_seq").write.parquet(f"{root}/poll={POLLS[k]}")
+    found = search.read(spark, root, cap=CAP)
+    return found.filter((F.col("likes") >= 3000) & (F.col("lang") == "ja")).select("poll", "mode", "seq", "post_id", "likes", seconds("posted_at"), seconds("observed_at"))
+
+
+@query
+def q_search_runs(spark, d):
+    """The run log of a stream of polls: one with results, one without, one that can't be read, one with results."""
+    root = _scratch_root(spark, "polls")
+    results, name = _results(spark, d), search.register(spark)
+    stream = spark.readStream.format(name).option("path", f"{root}/polls").option("cap", CAP).load()
+    for k, poll in enumerate(POLLS):
+        path = f"{root}/polls/poll={poll}"
+        if k == 2:
+            spark.createDataFrame([("no results",)], "value string").coalesce(1).write.text(path)
+        else:
+            results.filter(F.col("ingest_seq") % 2 == k // 2 if k != 1 else F.lit(False)).drop("ingest_seq").write.parquet(path)
+        start_cycles(spark, stream, f"{root}/state", rel.KEYWORDS, f"{root}/checkpoint", None).awaitTermination()
+    return Store(spark, f"{root}/state").read("runs").select("run_id", "posts_scanned", "status")
+
+
+@query
+def q_html_cards(spark, d):
+    """The cards of all posts rendered as result pages, and all web pages, read as HTML."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    attr = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), safe(F.col(c)), F.lit('"')), F.lit(""))
+    card = F.concat(
+        F.lit('<article><div><a role="link"'), attr("href", "user_href"), F.lit("><img src=x></a><a"), attr("href", "href"), F.lit("><time"), attr("datetime", "datetime"), F.lit(">1h</time></a></div><div data-testid=\"tweetText\"><span>"),
+        safe(F.col("body")), F.lit('</span></div><div><button data-testid="reply"'), attr("aria-label", "reply_label"), F.lit('><i>9</i></button><button data-testid="retweet">'), safe(F.col("retweet_label")),
+        F.lit('</button><button data-testid="like"'), attr("aria-label", "like_label"), F.lit("></button></div></article>"),
+    )
+    made = rel.cards(spark, d).select(F.floor(F.col("ingest_seq") / 20).alias("page_id"), F.struct("ingest_seq", "observed_at", card.alias("html")).alias("card"))
+    pages = made.groupBy("page_id").agg(F.array_sort(F.collect_list("card")).alias("cards"))
+    html = F.concat(F.lit("<html><body><p>Results<main>"), F.array_join(F.col("cards.html"), "\n"), F.lit("</main>"))
+    web = rel.read(spark, d, "pages").select((-1 - F.col("page_id")).alias("page_id"), "html")
+    parsed = html_cards.parse_cards(pages.select("page_id", html.alias("html")).unionByName(web))
+    at = F.get("cards", F.col("position"))
+    named = parsed.join(pages, "page_id", "left").withColumn("ingest_seq", at["ingest_seq"]).withColumn("observed_at", at["observed_at"])
+    c = raw.extract_cards(named)
+    return c.select("ingest_seq", "post_id", "author_handle", "url", "text_snippet", seconds("posted_at"), "likes", "retweets", "replies")
+
+
+@query
+def q_point_reads(spark, d):
+    """Posts that a store doesn't hold, by a look-up of their ids in its buckets."""
+    store = Store(spark, _scratch_root(spark, "points"), bucket_rows=1000)
+    store.write("notices", rel.known_ids(spark, d).withColumn("notified_at", F.lit(None).cast("timestamp")), 1)
+    store.commit(1)
+    p = rel.posts(spark, d)
+    return state.drop_known(p, store.lookup("notices", p.select("post_id"))).select("ingest_seq", "post_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

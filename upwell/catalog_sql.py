@@ -175,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "q_alt_enrich": _with("SELECT ingest_seq, post_id, CASE WHEN ingest_seq % 5 = 0 THEN 0 ELSE ingest_seq * 9973 % 600000 + CASE WHEN ingest_seq % 11 = 0 THEN 1 ELSE 0 END END AS impressions FROM P WHERE ingest_seq % 6 <> 0"),
         "q_handles": _with("SELECT DISTINCT author_handle FROM P WHERE likes * 10 >= 30000 ORDER BY 1"),
-        "q_semi_handles": _with("SELECT ingest_seq, author_handle FROM P WHERE author_handle IN (SELECT author_handle FROM P WHERE likes * 10 >= 30000)"),
+        "q_semi_handles": _with("SELECT ingest_seq, author_handle FROM P WHERE author_handle IN (SELECT author_handle FROM P WHERE likes * 10 >= 59000)"),
         "q_anti_known": _with("SELECT ingest_seq, post_id FROM P WHERE post_id NOT IN (SELECT post_id FROM known)", _STATE),
         "q_cooldown": _with(f"SELECT x.ingest_seq, x.author_handle FROM P x LEFT JOIN authors a USING (author_handle) WHERE {_COOL}", _STATE),
         "q_upsert": _with("SELECT * FROM merged", _VERSIONS),
@@ -224,10 +224,23 @@ SELECT run_id, started_at_s AS at_s FROM due WHERE started_at_s IN (SELECT t FRO
     values = ["'\"' || stamp || '\"'", "CASE WHEN run_id % 2 = 0 THEN '\"session_expired\"' ELSE '\"error\"' END", "'\"' || stamp || '\"'", "'0'", "'0'", "'0'", "'\"run ' || run_id || '\"'"]
     lines = " || ',' || chr(10) || ".join(f"'  \"{f}\" : ' || {v}" for f, v in zip(fields, values, strict=True))
     out["q_failed_report"] = f"WITH {_RUNS} SELECT '{{' || chr(10) || {lines} || chr(10) || '}}' AS value FROM (SELECT run_id, strftime(make_timestamp(started_at_s * 1000000), '%Y-%m-%d %H:%M:%S') AS stamp FROM runs WHERE posts_scanned = 0)"
-    out["q_trial_outbox"] = """SELECT '0' AS post_id, 'test_account' AS author_handle, concat('🔥🔥🔥 激アツ投稿 [📈持続/テスト]', chr(10), 'test_account の投稿が0.5時間でいいね12,345・引用100(15%)・ブックマーク300(25%)', chr(10), 'https://x.com/example/status/000000000') AS text,
-  '🔥🔥🔥 激アツ投稿 [持続/テスト]' AS title, 'test_account の投稿が0.5時間でいいね12,345・引用100・ブックマーク300' AS message, 'siren' AS sound, '2' AS priority, 'https://x.com/example/status/000000000' AS link, '投稿を開く' AS url_title, '60' AS retry, '3600' AS expire
-UNION ALL SELECT 'system:trial', who, concat('🔥 急上昇検知 [📈持続/システム通知]', chr(10), who, tail, chr(10)), '🔥 急上昇検知 [持続/システム通知]', concat(who, tail), 'siren', '2', NULL, NULL, '60', '3600'
-FROM (SELECT concat('📋 通知確認テスト結果', chr(10), '✅ first', chr(10), '❌ second') AS who, ' の投稿が-時間でいいね0・引用0・ブックマーク0' AS tail)"""
+    text = out["q_message_text"].rpartition("SELECT ingest_seq, ")[2].removesuffix(" AS text FROM msg")
+    out["q_trial_outbox"] = f"""WITH {_P}, {_MESSAGES}, who AS (SELECT concat('📋 通知確認テスト結果', chr(10), CASE WHEN count(*) FILTER (length(post_id) % 2 = 0) > 0 THEN '✅' ELSE '❌' END, ' first', chr(10), '❌ second') AS who FROM msg)
+SELECT post_id, author_handle, {text} AS text, {_header('瞬間', '持続')} AS title, 'siren' AS sound, '2' AS priority FROM msg
+UNION ALL SELECT 'system:trial', who, concat('🔥 急上昇検知 [📈持続/システム通知]', chr(10), who, ' の投稿が-時間でいいね0・引用0・ブックマーク0', chr(10)), '🔥 急上昇検知 [持続/システム通知]', 'siren', '2' FROM who"""
+    found = """r AS (SELECT ingest_seq % 2 AS k, mode, j, post_id, likes, posted_at,
+    row_number() OVER (PARTITION BY ingest_seq % 2, mode ORDER BY CASE mode WHEN 'live' THEN epoch_us(posted_at) ELSE likes END DESC, post_id) - 1 AS place
+  FROM P, (VALUES ('live', 0), ('top', 1)) m(mode, j) WHERE ingest_seq % 4 <> 3 AND likes >= 500 AND replies >= 20 AND ingest_seq % 5 <> 1),
+shown AS (SELECT * FROM r WHERE place < 400)"""
+    out["q_search_source"] = _with(
+        "SELECT 1705406400 + 3600 * k AS poll, mode, (2 * k + j) * 16777216 + place AS seq, post_id, likes, CAST(floor(epoch(posted_at)) AS BIGINT) AS posted_at_s, 1705406400 + 3600 * k AS observed_at_s FROM shown WHERE likes >= 3000", found
+    )
+    out["q_search_runs"] = _with(
+        "SELECT i + 1 AS run_id, CASE i WHEN 0 THEN (SELECT count(DISTINCT post_id) FROM shown WHERE k = 0) WHEN 3 THEN (SELECT count(DISTINCT post_id) FROM shown WHERE k = 1) ELSE 0 END AS posts_scanned, "
+        "CASE i WHEN 2 THEN 'error' ELSE 'success' END AS status FROM range(4) t(i)", found
+    )
+    out["q_html_cards"] = out["q_card_extract"]
+    out["q_point_reads"] = out["q_anti_known"]
     out["q_quote_query"] = _with("SELECT ingest_seq, replace(url_encode(text_snippet), '%2F', '/') AS quoted FROM P")
     out["q_first_sightings"] = _with("SELECT post_id, CAST(floor(epoch(posted_at)) AS BIGINT) AS posted_at_s FROM P")
     at = lambda k: _P.replace(_OBSERVED, f"TIMESTAMP '2024-01-16 1{2 + k}:00:00' AS observed_at")

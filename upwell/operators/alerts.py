@@ -7,7 +7,7 @@ streak and the time of the last alert in ``meta``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -69,8 +69,14 @@ def session_alerts(runs: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
     return alerts(due, t.alert_cooldown_hours)
 
 
+def utc(time: str | datetime) -> datetime:
+    """A time as UTC without an offset; one without an offset is taken for UTC."""
+    at = datetime.fromisoformat(time) if isinstance(time, str) else time
+    return at if at.tzinfo is None else at.astimezone(timezone.utc).replace(tzinfo=None)
+
+
 def _cooled(last: str | None, now: datetime, hours: float) -> bool:
-    return not last or now - datetime.fromisoformat(last) >= timedelta(hours=hours)
+    return not last or utc(now) - utc(last) >= timedelta(hours=hours)
 
 
 def zero_post_step(meta: Mapping[str, str], scanned: int, now: datetime, t: Thresholds = THRESHOLDS) -> tuple[dict[str, str], list[dict]]:

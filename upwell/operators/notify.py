@@ -82,7 +82,16 @@ def outbox(posts: DataFrame, presence: DataFrame | None = None, config: PushConf
     return posts.select("post_id", "author_handle", message_text().alias("text"), *(c.alias(n) for n, c in fields.items()))
 
 
+def first_accepted(status: Column) -> Column:
+    """Whether the first channel took a post: HTTP 200."""
+    return F.coalesce(status == 200, F.lit(False))
+
+
+def second_accepted(status: Column, body: Column) -> Column:
+    """Whether the second channel took a post: HTTP 200 and status 1 in its body."""
+    return F.coalesce((status == 200) & (F.get_json_object(body, "$.status") == "1"), F.lit(False))
+
+
 def accepted(first_status: Column, second_status: Column, second_body: Column) -> Column:
-    """Whether a post went out: HTTP 200 on the first channel, or on the second with status 1 in its body."""
-    second = (second_status == 200) & (F.get_json_object(second_body, "$.status") == "1")
-    return F.coalesce(first_status == 200, F.lit(False)) | F.coalesce(second, F.lit(False))
+    """Whether a post went out on either channel."""
+    return first_accepted(first_status) | second_accepted(second_status, second_body)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,11 @@ from upwell.functions.detect import in_cooldown, is_explosive
 from upwell.operators import alerts, classify, notify, rank, report, state
 from upwell.operators.keywords import first_keyword, whitelist
 from upwell.schema import META, SENT
-from upwell.sources.store import Store
+from upwell.sources.raw import SessionExpired, SourceUnavailable
+from upwell.sources.store import MERGES, Store
 
 #: Takes the outbox and returns ``post_id, first_ok, second_ok``. Spark may run a failed task
-#: again, so a sender should use post_id to recognise what it has sent.
+#: again, so a sender should use ``send_key`` to recognise what it has sent.
 Sender = Callable[[DataFrame], DataFrame]
 
 
@@ -31,37 +33,45 @@ def select_posts(posts: DataFrame, keywords: list[str], known: DataFrame, author
     return rank.enrich(state.drop_cooling(state.drop_known(kept, known), authors, t), t)
 
 
-def flag_posts(posts: DataFrame, keywords: list[str], known: DataFrame, authors: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
-    """All posts with ``matched_keyword`` and what ``select_posts`` decides as booleans: ``whitelisted``, ``candidate``, ``fresh``."""
+def judge_posts(posts: DataFrame, keywords: list[str], t: Thresholds = THRESHOLDS) -> DataFrame:
+    """All posts with ``matched_keyword`` and, as booleans, ``whitelisted`` and ``candidate``."""
     word = first_keyword(F.col("text_snippet"), keywords) if keywords else F.lit(UNFILTERED_MARK)
+    judged = posts.withColumn("matched_keyword", word).withColumn("whitelisted", F.col("matched_keyword").isNotNull())
+    return judged.withColumn("candidate", F.col("whitelisted") & F.coalesce(is_explosive(t), F.lit(False)))
+
+
+def mark_fresh(judged: DataFrame, known: DataFrame, authors: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
+    """Adds ``fresh``: candidates that aren't stored and whose author isn't in cool-down, by one row for each author."""
     ids = known.select("post_id").distinct().withColumn("_known", F.lit(True))
     last = authors.select("author_handle", F.col("last_notified_at").alias("_last"))
-    joined = posts.withColumn("matched_keyword", word).join(ids, "post_id", "left").join(last, "author_handle", "left")
-    flagged = joined.withColumn("whitelisted", F.col("matched_keyword").isNotNull()).withColumn("candidate", F.col("whitelisted") & F.coalesce(is_explosive(t), F.lit(False)))
+    joined = judged.join(ids, "post_id", "left").join(last, "author_handle", "left")
     fresh = F.col("candidate") & F.col("_known").isNull() & ~in_cooldown(F.col("_last"), F.col("observed_at"), t.author_cooldown_hours)
-    return flagged.withColumn("fresh", fresh).select(*posts.columns, "matched_keyword", "whitelisted", "candidate", "fresh")
+    return joined.withColumn("fresh", fresh).select(*judged.columns, "fresh")
+
+
+def flag_posts(posts: DataFrame, keywords: list[str], known: DataFrame, authors: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
+    """All posts with ``matched_keyword`` and what ``select_posts`` decides as booleans: ``whitelisted``, ``candidate``, ``fresh``."""
+    return mark_fresh(judge_posts(posts, keywords, t), known, authors, t)
 
 
 def deliver(store: Store, name: str, out: DataFrame, cycle: int, sender: Sender) -> DataFrame:
     """Hands the rows of ``out`` to the sender once, whatever is repeated, and gives its answers.
 
-    The outbox is stored before anything is sent, and the sender runs in one job that stores
-    its answers. A cycle that is repeated after that reads them; one that ended while sending
-    counts its posts as not delivered, rather than send any of them twice.
+    The outbox is kept before anything is sent, and the sender runs in one job that keeps its
+    answers. A cycle that is repeated after that reads them. One that ended while sending
+    counts its posts as not delivered, rather than send any of them twice, unless the sender
+    is ``idempotent``: then the channel knows what it has, and all are sent again.
     """
     answers = f"{name}_sent"
     if store.has(answers, cycle):
         return store.at(answers, cycle)
-    if not store.has(name, cycle):
-        store.write(name, out, cycle)
-    held = store.at(name, cycle)
-    if store.claim(name, cycle):
+    held = store.step(name, out.withColumn("send_key", F.concat(F.lit(f"{name}:{cycle}:"), "post_id")), cycle)
+    if store.claim(name, cycle) or getattr(sender, "idempotent", False):
         sent = sender(held)
     else:
         sent = held.select("post_id", F.lit(False).alias("first_ok"), F.lit(False).alias("second_ok"))
     fields = [F.col(f.name).cast(f.dataType) for f in store.spark.createDataFrame([], SENT).schema]
-    store.write(answers, sent.select(*fields), cycle)
-    return store.at(answers, cycle)
+    return store.step(answers, sent.select(*fields), cycle)
 
 
 def _raise_alerts(store: Store, changed: dict[str, str], posts: list[dict], cycle: int, sender: Sender) -> None:
@@ -82,6 +92,10 @@ def _log_run(store: Store, cycle: int, started: F.Column, finished: F.Column, sc
     store.write("runs", state.number_runs(store.read("runs", cycle), line), cycle)
 
 
+def _write_report(store: Store, lines: str) -> None:
+    store.write_text("status", store.spark.createDataFrame([(lines,)], "value string"))
+
+
 def run_cycle(
     spark: SparkSession,
     sightings: DataFrame,
@@ -95,57 +109,98 @@ def run_cycle(
     t: Thresholds = THRESHOLDS,
     clock: Callable[[], float] | None = None,
 ) -> dict[str, int]:
-    """Runs cycle number ``cycle`` at time ``now`` and writes the next state versions.
-
-    State is read once, before anything is decided. Posts are stored before they are sent,
-    so a failed delivery isn't tried again; those in cool-down aren't stored and can come
-    back. A repeated cycle number gives the same versions and sends nothing again. Runs that
-    find nothing raise an alert, see ``alerts``. ``clock`` gives seconds (``time.monotonic``)
+    """Runs cycle number ``cycle`` at time ``now`` (UTC, unless it has an offset) and commits its state.
+
+    State is read once, before anything is decided, and only where a candidate may be in it.
+    What was chosen and sent is kept on the way, all state appears at the end, so a cycle that
+    ended early shows none of it; repeated, it sends nothing again. A failed delivery isn't
+    tried again; posts in cool-down aren't stored and can come back. A number that is committed
+    does nothing but write its report. Sightings without a post_id are left out. Runs that find
+    nothing raise an alert, see ``alerts``. ``clock`` gives seconds (``time.monotonic``)
     to tell how long the run took; without it, as in a replay, it ends when it starts.
     """
     began = clock() if clock else 0.0
     store = Store(spark, root)
-    at, time = F.lit(now).cast("timestamp"), datetime.fromisoformat(now)
-    posts = state.dedupe(sightings).withColumn("ingest_seq", F.col("first_seq")).withColumn("observed_at", at)
-    word = first_keyword(F.col("text_snippet"), keywords) if keywords else F.lit(UNFILTERED_MARK)
-    flagged = posts.withColumn("matched_keyword", word).persist()
+    done = store.result(cycle)
+    if done is not None and "report" in done:
+        _write_report(store, done["report"])
+        return done["counts"]
+    time = alerts.utc(now)
+    at = F.lit(time.replace(tzinfo=timezone.utc))
+    posts = state.dedupe(sightings.filter("post_id is not null")).withColumn("ingest_seq", F.col("first_seq")).withColumn("observed_at", at)
+    judged = judge_posts(posts, keywords, t).persist()
     try:
-        white = flagged.filter("matched_keyword is not null")
-        hot = rank.filter_explosive(white, t)
-        new = state.drop_cooling(state.drop_known(hot, store.rows("posts", cycle)), store.read("authors", cycle), t)
-        # written once, so that a classifier sees each post once
-        fresh = store.write("chosen", classify.classify(rank.enrich(new, t), classifier), cycle)
+        hot = judged.filter("candidate")
+        known = store.lookup("posts", hot.select("post_id"), cycle)
+        authors = MERGES["authors"](store.lookup("authors", hot.select("author_handle"), cycle))
+        flagged = mark_fresh(judged, known, authors, t)
+        # kept once, so that a classifier sees each post once
+        new = flagged.filter("fresh").select(*posts.columns, "matched_keyword")
+        fresh = store.step("chosen", classify.classify(rank.enrich(new, t), classifier), cycle)
         delta = fresh.select(
             "post_id", "author_handle", "url", "posted_at", "text_snippet", "likes", "retweets", "replies", "quotes", "bookmarks", "genre", at.alias("detected_at"),
             F.lit(False).alias("notified"), F.lit(None).cast("timestamp").alias("notified_at"), (F.lit(cycle) * F.lit(1 << 40) + F.col("ingest_seq")).cast("long").alias("seq"),
         )
         store.write("posts", delta, cycle)
         delivered = state.succeeded(deliver(store, "outbox", notify.outbox(fresh, presence), cycle, sender))
-        store.write("notices", delivered.withColumn("notified_at", at), cycle)
-        reached = fresh.join(delivered, "post_id", "left_semi").select("author_handle").distinct()
+        notices = store.write("notices", delivered.withColumn("notified_at", at), cycle)
+        reached = fresh.join(delivered, "post_id", "left_semi").select("author_handle").filter("author_handle is not null").distinct()
         store.write("authors", reached.withColumn("last_notified_at", at), cycle)
-        is_white = F.col("matched_keyword").isNotNull()
-        row = flagged.agg(F.count("*").alias("posts_scanned"), F.count_if(is_white).alias("whitelisted"), F.count_if(is_white & is_explosive(t)).alias("candidates")).first()
-        n = row.asDict() | {"posts_flagged": fresh.count(), "notified_count": store.at("notices", cycle).count()}
+        counted = flagged.join(notices.select("post_id", F.lit(True).alias("notified")), "post_id", "left")
+        n = state.run_counts(counted).first().asDict()
         _raise_alerts(store, *alerts.zero_post_step(_meta(store, cycle), n["posts_scanned"], time, t), cycle, sender)
-        ended = (time + timedelta(seconds=clock() - began if clock else 0)).isoformat(sep=" ")
-        _log_run(store, cycle, at, F.lit(ended).cast("timestamp"), n["posts_scanned"], n["posts_flagged"], "success", None)
+        ended = time + timedelta(seconds=clock() - began if clock else 0)
+        _log_run(store, cycle, at, F.lit(ended.replace(tzinfo=timezone.utc)), n["posts_scanned"], n["posts_flagged"], "success", None)
         counts = spark.createDataFrame([tuple(n.values())], ", ".join(f"{k} long" for k in n))
-        store.write_text("status", report.report_json(report.status_report(white, counts, F.lit(ended), started_at=F.lit(now), finished_at=F.lit(ended))))
-        store.compact(cycle)
-        return n
+        said = now if ended == time else ended.isoformat(sep=" ")
+        made = report.report_json(report.status_report(judged.filter("whitelisted"), counts, F.lit(said), started_at=F.lit(now), finished_at=F.lit(said)))
+        return _finish(store, cycle, {"counts": n, "report": made.first()["value"]})["counts"]
     finally:
-        flagged.unpersist()
+        judged.unpersist()
+
+
+def _finish(store: Store, cycle: int, result: dict) -> dict:
+    """Commits a cycle and writes its report; of two runs of one number, both give what the first one left."""
+    if not store.commit(cycle, result):
+        result = store.result(cycle)
+    _write_report(store, result["report"])
+    return result
 
 
 def log_failure(spark: SparkSession, root: str, now: str, cycle: int, error: Exception, sender: Sender = dry_run, t: Thresholds = THRESHOLDS) -> str:
     """Logs and reports a cycle whose source failed, raises the alert about an ended session; returns its status."""
-    status = "session_expired" if getattr(error, "expired", False) else "error"
-    store = Store(spark, root)
-    at = F.lit(now).cast("timestamp")
-    _log_run(store, cycle, at, at, 0, 0, status, str(error))
-    changed, posts = alerts.session_step(_meta(store, cycle), datetime.fromisoformat(now), t) if status == "session_expired" else ({}, [])
+    status = "session_expired" if getattr(error, "expired", False) or SessionExpired.__name__ in str(error) else "error"
+    store, time = Store(spark, root), alerts.utc(now)
+    done = store.result(cycle)
+    if done is not None and "report" in done:
+        _write_report(store, done["report"])
+        return done.get("status", "success")
+    at, said = F.lit(time.replace(tzinfo=timezone.utc)), error_line(error)
+    _log_run(store, cycle, at, at, 0, 0, status, said)
+    changed, posts = alerts.session_step(_meta(store, cycle), time, t) if status == "session_expired" else ({}, [])
     _raise_alerts(store, changed, posts, cycle, sender)
-    failure = spark.createDataFrame([(now, status, now, str(error))], "updated_at string, status string, started_at string, error_message string")
-    store.write_text("status", report.report_json(report.failure_report(failure)))
-    return status
+    failure = spark.createDataFrame([(now, status, now, said)], "updated_at string, status string, started_at string, error_message string")
+    made = report.report_json(report.failure_report(failure))
+    return _finish(store, cycle, {"counts": {}, "status": status, "report": made.first()["value"]})["status"]
+
+
+def error_line(error: Exception) -> str:
+    """What an error says; of one that crossed from a Python worker, the line that names it there."""
+    said = str(error)
+    named = [line.strip() for line in said.splitlines() if SourceUnavailable.__name__ in line or SessionExpired.__name__ in line]
+    return re.sub(r"^[\w.]*(SourceUnavailable|SessionExpired): ", "", named[-1]) if named else said
+
+
+def run_polled(spark: SparkSession, poll: Callable[[], DataFrame], root: str, keywords: list[str], now: str, cycle: int, sender: Sender = dry_run, t: Thresholds = THRESHOLDS, **options) -> dict[str, int] | str:
+    """A cycle over what ``poll`` gives; if the source fails, now or while it is read, ``log_failure`` instead."""
+    sightings = None
+    try:
+        try:
+            sightings = poll().persist()
+            sightings.count()
+        except Exception as error:  # noqa: BLE001 - whatever a source raises is logged and reported
+            return log_failure(spark, root, now, cycle, error, sender, t)
+        return run_cycle(spark, sightings, root, keywords, now, cycle, sender, t=t, **options)
+    finally:
+        if sightings is not None:
+            sightings.unpersist()

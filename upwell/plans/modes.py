@@ -39,6 +39,19 @@ def trial_summary(spark: SparkSession, results: Mapping[str, bool]) -> DataFrame
     return notify.outbox(alerts.system_posts(spark, [{"post_id": "system:trial", "author_handle": "\n".join(lines), "url": ""}]))
 
 
+def run_trial(spark: SparkSession, sender: Sender = dry_run, posts: DataFrame | None = None) -> DataFrame:
+    """The whole course of a trial: sends the made-up post, or the given ones, then which channels took any.
+
+    Returns the outbox rows of both messages.
+    """
+    keyed = lambda out: out.withColumn("send_key", F.concat(F.lit("trial:"), F.monotonically_increasing_id().cast("string"), F.lit(":"), "post_id"))
+    sent = trial_outbox(spark) if posts is None else notify.outbox(posts)
+    took = sender(keyed(sent)).agg(*(F.coalesce(F.max(f"{c}_ok"), F.lit(False)).alias(c) for c in ("first", "second"))).first()
+    summary = trial_summary(spark, took.asDict())
+    sender(keyed(summary)).count()
+    return sent.unionByName(summary)
+
+
 def require_input(spark: SparkSession, path: str, expired: bool = False) -> str:
     """``path`` if it exists, else ``SourceUnavailable``."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

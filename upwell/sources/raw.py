@@ -18,6 +18,13 @@ class SourceUnavailable(RuntimeError):
         self.expired = expired
 
 
+class SessionExpired(SourceUnavailable):
+    """A source whose session has ended."""
+
+    def __init__(self, message: str):
+        super().__init__(message, True)
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON rows by a fixed schema; malformed rows become nulls, which the parsers drop."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from upwell.config import THRESHOLDS, Thresholds
-from upwell.plans.cycle import run_cycle
+from upwell.plans.cycle import log_failure, run_cycle
+from upwell.schema import STORED_POST
 from upwell.sources.store import Store
 
 
@@ -19,21 +23,45 @@ def start_cycles(spark: SparkSession, stream: DataFrame, root: str, keywords: li
     """A cycle for each micro-batch, at the batch's latest ``observed_at``.
 
     ``every`` None takes what there is and ends, a replay whose runs take no time. State is
-    read once per batch, as in batch mode; a batch that is run again writes the same
-    versions and sends nothing again.
+    read once per batch, as in batch mode; a batch that is run again commits nothing and
+    sends nothing again. A batch without posts is a run that found nothing. A batch whose source
+    fails is logged and reported, and the stream goes on with the next. Rows without a post_id
+    only tell the time of a poll (see ``with_polls``); without any row it is the clock's.
     """
     if every is not None:
         options.setdefault("clock", time.monotonic)
 
+    said = lambda at: at.replace(tzinfo=None).isoformat(sep=" ")
+
     def cycle(batch: DataFrame, number: int) -> None:
-        last = batch.selectExpr("cast(max(observed_at) as string) t").first()["t"]
-        if last is not None:
-            run_cycle(spark, batch, root, keywords, last, number + 1, **options)
+        rows, now = batch.persist(), datetime.now(timezone.utc)
+        try:
+            try:
+                last = rows.selectExpr("unix_micros(max(observed_at)) t").first()["t"]
+            except Exception as error:  # noqa: BLE001 - whatever a source raises is logged and reported
+                kept = {k: v for k, v in options.items() if k in ("sender", "t")}
+                log_failure(spark, root, said(now), number + 1, error, **kept)
+                return
+            at = now if last is None else datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=last)
+            run_cycle(spark, rows, root, keywords, said(at), number + 1, **options)
+        finally:
+            rows.unpersist()
 
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return stream.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def with_polls(stream: DataFrame, seconds: int = 60) -> DataFrame:
+    """A stream of sightings with a row every so many seconds that has nothing but a time.
+
+    A trigger without new sightings would run no batch; with these rows it does, so a poll that
+    finds nothing counts as a run.
+    """
+    ticks = stream.sparkSession.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", seconds * 1000).load()
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema if f.name != "observed_at"]
+    return stream.unionByName(ticks.select(F.current_timestamp().alias("observed_at"), *empty).select(*stream.columns))
+
+
 def first_sightings(stream: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
     """The first sighting of each post, with state kept no longer than the rules can use it.
 
@@ -45,13 +73,13 @@ def first_sightings(stream: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
 def start_upserts(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Keeps the stored posts up to date with a stream of rows of their schema.
 
-    A batch is added as a version; ``Store.read`` merges them by the rules of ``upsert``.
+    A batch is committed as a cycle; ``Store.read`` merges them by the rules of ``upsert``.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         store = Store(spark, root)
-        store.write("posts", batch.select(*store.rows("posts", 0).columns), number + 1)
-        store.compact(number + 1)
+        store.write("posts", batch.select(*StructType.fromDDL(STORED_POST).names), number + 1)
+        store.commit(number + 1)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
