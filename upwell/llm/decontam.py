@@ -3,12 +3,15 @@
 With an error budget of k, an item is cut into k + 1 pieces; a passage within k edits
 of the item holds at least one piece unchanged.
 
-1. Pieces are known by digests. One pass over the documents hashes the run of characters at
+1. Text that many items share, such as a prompt, would make every document that quotes it meet
+   all of them. So an item's pieces are cut where each holds a run of characters that few
+   items have; any k + 1 pieces that don't overlap keep the guarantee.
+2. Pieces are known by digests. One pass over the documents hashes the run of characters at
    every position; where a filter may hold that run as the beginning of a piece, the run is
    extended to the lengths of whole pieces and asked for again.
-2. Digests of documents and pieces are joined. Only documents that meet an item there are
+3. Digests of documents and pieces are joined. Only documents that meet an item there are
    read again, each with the items it met, in parts of bounded size.
-3. Myers' algorithm measures the best match of an item around each exact piece hit.
+4. Myers' algorithm measures the best match of an item around each exact piece hit.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ CHARS_PER_ERROR = 20
 MIN_CHARS = 24
 #: Leading characters of a piece that are looked for at every position, and those that its digest covers.
 ANCHOR, WHOLE = 12, 32
+#: A run of characters that more texts of the benchmark hold is hot; lengths of runs that pieces are cut by, best first.
+HOT_TEXTS, RUNS = 8, (12, 8)
 #: Bits of the filter of digests: for each digest, and at least and at most in all (32 MB).
 BITS_PER_DIGEST, FILTER_BITS = 256, (1 << 16, 1 << 28)
 #: Items that a document is held against at once.
@@ -182,26 +187,64 @@ class DigestFilter:
         return at
 
 
-def _item_key(item_id: int, text: str) -> bytes:
-    return xxhash.xxh3_128_digest(f"{item_id}:{text}".encode("utf-8", "surrogatepass"))
+def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Benchmark rows with normalised texts and their digests; rows without text are left out."""
+    for batch in batches:
+        texts = [normalise(t.as_py()) for t in batch.column("text")]
+        keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts]
+        rows = pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["item_id", "item_key", "text"])
+        yield rows.filter(pa.array([bool(t) for t in texts], pa.bool_()))
+
+
+def run_digests(text: str, n: int) -> np.ndarray:
+    """Digests of the runs of ``n`` characters at every position."""
+    h = np.empty(0, np.uint64)
+    for m, hashes in run_hashes(codes_of(text), n):
+        h = spread(hashes, n) if m == n else h
+    return h.view(np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(np.concatenate([run_digests(t.as_py(), n) for n in RUNS])) for t in batch.column("text")]
+        keys = batch.column("item_key").take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
+        yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["item_key", "run"])
+
+
+def cut(text: str, budget: int, hot: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of ``budget`` + 1 pieces that don't overlap, each with a run that isn't hot if that can be."""
+    parts, n = budget + 1, len(text)
+    even = [(i * n // parts, (i + 1) * n // parts) for i in range(parts)]
+    for size in RUNS if len(hot) else ():
+        cool = np.flatnonzero(~np.isin(run_digests(text, size), hot))
+        if all(np.searchsorted(cool, a) < np.searchsorted(cool, min(b, a + WHOLE) - size, side="right") for a, b in even):
+            return even
+        starts, at = [], 0
+        for r in cool.tolist():
+            if r >= at:
+                starts.append(r)
+                at = r + size
+        if len(starts) >= parts:
+            groups = [starts[i * len(starts) // parts : (i + 1) * len(starts) // parts] for i in range(parts)]
+            return [(g[0], g[-1] + size) for g in groups]
+    return even
 
 
 def _pieces(chars_per_error: int):
-    """From benchmark rows to one row for each piece; the first of an item carries its text."""
+    """From texts of items with their hot runs to one row for each piece; the first of an item carries its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, t in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
-                text = normalise(t.as_py())
-                key = _item_key(i, text)
-                cut = [(piece[:WHOLE], at) for piece, at in Item(i, text, chars_per_error).pieces()] if text else []
-                sizes = {n for p, _ in cut for n in (len(p), min(len(p), ANCHOR))}
-                digests = {n: spread(h, n).view(np.int64) for n, h in run_hashes(codes_of(text), max(sizes, default=0)) if n in sizes}
-                for k, (piece, at) in enumerate(cut):
+            for key, t, hot in zip(batch.column("item_key"), batch.column("text"), batch.column("hot"), strict=True):
+                text, hot = t.as_py(), np.array(hot.as_py() or [], np.int64)
+                pieces = [(text[a : min(b, a + WHOLE)], a) for a, b in cut(text, Item(0, text, chars_per_error).budget, hot)]
+                sizes = {n for p, _ in pieces for n in (len(p), min(len(p), ANCHOR))}
+                digests = {n: spread(h, n).view(np.int64) for n, h in run_hashes(codes_of(text), max(sizes)) if n in sizes}
+                for k, (piece, at) in enumerate(pieces):
                     n = len(piece)
-                    rows.append((key, i, None if k else text, n, int(digests[n][at]), int(digests[min(n, ANCHOR)][at])))
-            kinds = [("item_key", pa.binary()), ("item_id", pa.int64()), ("text", pa.string()), ("length", pa.int32()), ("digest", pa.int64()), ("lead", pa.int64())]
+                    rows.append((key.as_py(), None if k else text, n, int(digests[n][at]), int(digests[min(n, ANCHOR)][at])))
+            kinds = [("item_key", pa.binary()), ("text", pa.string()), ("length", pa.int32()), ("digest", pa.int64()), ("lead", pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
 
     return run
@@ -259,20 +302,20 @@ def _hits(shared, lengths: tuple[int, ...]):
 
 
 def _verify(chars_per_error: int):
-    """``text_key, item_id, edits`` of the items that a text holds, from those it met."""
+    """``text_key, item_key, edits`` of the items that a text holds, from those it met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = lru_cache(ITEMS_AT_ONCE * 16)(lambda i, text: Item(i, text, chars_per_error))
+        make = lru_cache(ITEMS_AT_ONCE * 16)(lambda text: Item(0, text, chars_per_error))
         for batch in batches:
             rows = []
             for key, t, items in zip(batch.column("text_key"), batch.column("text"), batch.column("items"), strict=True):
                 text = normalise(t.as_py())
                 for item in items.as_py():
-                    edits = make(item["item_id"], item["text"]).edits_in(text)
+                    edits = make(item["text"]).edits_in(text)
                     if edits is not None:
-                        rows.append((key.as_py(), item["item_id"], edits))
-            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["text_key", "item_id", "edits"])
+                        rows.append((key.as_py(), item["item_key"], edits))
+            cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["text_key", "item_key", "edits"])
 
     return run
 
@@ -286,7 +329,14 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, chars_per_error: int, scratch:
     spark = require_integer(benchmark, "item_id").sparkSession
     ship_package(spark)
     given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    pieces = scratch.save(given.mapInArrow(_pieces(chars_per_error), "item_key binary, item_id long, text string, length int, digest long, lead long"), "pieces")
+    named = scratch.save(given.mapInArrow(_normalised, "item_id long, item_key binary, text string"), "items")
+    unique = named.select("item_key", "text").dropDuplicates(["item_key"])
+    runs = scratch.save(unique.mapInArrow(_runs, "item_key binary, run long"), "runs")
+    hot = runs.groupBy("run").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_TEXTS).select("run")
+    warm = runs.join(hot, "run").groupBy("item_key").agg(F.collect_list("run").alias("hot"))  # no more than an item is long
+    cuts = unique.join(warm, "item_key", "left").mapInArrow(_pieces(chars_per_error), "item_key binary, text string, length int, digest long, lead long")
+    pieces = scratch.save(cuts, "pieces")
+    scratch.drop(runs)
     lengths = tuple(sorted(r["length"] for r in pieces.select("length").distinct().collect()))  # at most WHOLE
     result = "text_key binary, item_id long, edits long"
     if not lengths:
@@ -297,13 +347,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, chars_per_error: int, scratch:
     met = scratch.save(hits.join(pieces.select("digest", "item_key"), "digest").select("text_key", "item_key").distinct(), "met")
     shared.destroy()
     per_text = scratch.save(met.groupBy("text_key").agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).cast("long").alias("parts")), "per_text")
-    items = pieces.filter("text is not null").dropDuplicates(["item_key"]).select("item_key", F.struct("item_id", "text").alias("item"))
+    items = pieces.filter("text is not null").select("item_key", F.struct("item_key", "text").alias("item"))
     parts = met.join(items, "item_key").join(per_text, "text_key").withColumn("part", F.pmod(F.xxhash64("item_key"), F.col("parts")))
     lists = parts.groupBy("text_key", "part").agg(F.collect_list("item").alias("items"))
     once = keep_ids(texts, "text_key", per_text.select("text_key")).dropDuplicates(["text_key"])
-    found = once.join(lists, "text_key").select("text_key", "text", "items").mapInArrow(_verify(chars_per_error), result)
-    leaks = scratch.save(found, "leaks")
-    scratch.drop(pieces, met, per_text)
+    found = once.join(lists, "text_key").select("text_key", "text", "items").mapInArrow(_verify(chars_per_error), "text_key binary, item_key binary, edits long")
+    leaks = scratch.save(found.join(named.select("item_key", "item_id").distinct(), "item_key").select("text_key", "item_id", "edits"), "leaks")
+    scratch.drop(named, pieces, met, per_text)
     return leaks
 
 
