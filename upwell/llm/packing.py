@@ -2,8 +2,8 @@
 
 1. Every document is encoded once. The document frequencies of all ids, over the whole corpus,
    give the weights of a BM25 index whose terms are token ids.
-2. Documents are dealt to shards by their weightiest id that another document has too, in
-   ranges of equal size, so documents about the same thing meet and no id is too hot.
+2. Documents are dealt to shards by their rarest id that another document has too, so
+   documents about the same thing meet; an id that many documents hold is dealt in parts.
 3. Each shard has an inverted index. A seed fills windows of its own; the room in its last one
    goes to its best unused neighbours, first those that fit whole, then one that is cut. The
    rest of that one is the next seed, so only the last window of a shard is not full.
@@ -30,16 +30,19 @@ from upwell.llm.bpe import PATTERN, byte_alphabet
 #: Tokens of a shard, about; it is what a task holds at once, besides one document.
 SHARD_TOKENS = 1 << 21
 #: Ids of a seed that are looked up, weightiest first, and neighbours that are considered.
-QUERY_TERMS, NEIGHBOURS = 24, 32
+QUERY_TERMS, NEIGHBOURS = 16, 32
+#: White space that may be next to other white space: blanks and line breaks in pairs, any other alone.
+BLANKS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 
 
 class Ids:
-    """Token ids of texts as the tokenizers library gives them.
+    """Token ids of texts as the tokenizers library gives them, as bytes of little-endian numbers.
 
     Where ids are in order of merges, a faster public library with the same merges encodes texts
-    whose characters are classed alike by both; all others go to the tokenizers library.
+    whose characters are classed alike by both; all others go to the tokenizers library. Texts
+    without white space side by side are split by a plainer pattern, which needs no look ahead.
     """
 
     def __init__(self, path: str):
@@ -56,41 +59,64 @@ class Ids:
             alphabet = byte_alphabet()
             special = set(self.special)
             ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in special}
-            self.fast = tiktoken.Encoding("fast", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile("|".join(["[\x1c-\x1f՘-\U0010ffff]", *map(re.escape, self.special)])).search
+            make = lambda pattern: tiktoken.Encoding("fast", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+            self.fast, self.plain = make(PATTERN), make(PATTERN.replace(r"|\s+(?!\S)", ""))
+        self.later = re.compile("[\u0558-\U0010ffff]").search
+        self.rare = ("\x1c", "\x1d", "\x1e", "\x1f", *self.special)
+
+    def odd(self, text: str) -> bool:
+        """Whether a text may hold special strings, or characters that libraries class differently."""
+        return any(map(text.__contains__, self.rare)) or (not text.isascii() and self.later(text) is not None)
+
+    @staticmethod
+    def pairs(text: str) -> bool:
+        """Whether a text may have white space side by side."""
+        return any(map(text.__contains__, BLANKS))
 
     def of(self, text: str) -> np.ndarray:
         if self.fast is not None and not self.odd(text):
-            return self.fast.encode_to_numpy(text).astype(np.int32)
+            return self.fast(text) if self.pairs(text) else self.plain(text)
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
             self.library.no_truncation()
             self.library.no_padding()
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def kind_of(size: int) -> str:
+    """The smallest unsigned number for ids below ``size``."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document in order, and how often it has each."""
+    ordered = np.sort(ids, kind="stable")  # by digits, for small numbers
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[first], np.diff(np.append(first, len(ordered)))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, np.int32)]), pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.empty(0, np.int32)]).astype(np.int32)))
 
 
 def _encode(path: str, end_id: int, size: int):
     """Documents with their ids; the last row of a task has sums instead: documents by id, then documents and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = worker_cache("packing", path, lambda: Ids(path)).of
+        ids_of, number = worker_cache("packing", path, lambda: Ids(path)).of, kind_of(size)
         sums, kind = np.zeros(size + 2, np.int64), None
         for batch in batches:
-            rows = [np.append(ids_of(t.as_py() or ""), np.int32(end_id)) for t in batch.column("text")]
+            each = [np.append(ids_of(t.as_py() or ""), np.uint32(end_id)).astype(number) for t in batch.column("text")]
             kind = batch.column("doc_id").type
-            if rows:
-                sums[:size] += np.bincount(np.concatenate([np.unique(r) for r in rows]), minlength=size)
-                sums[size:] += len(rows), sum(map(len, rows))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(rows), pa.nulls(len(rows), pa.list_(pa.int64()))], ["doc_id", "ids", "sums"])
+            if each:
+                sums[:size] += np.bincount(np.concatenate([distinct(e)[0] for e in each]), minlength=size)
+                sums[size:] += len(each), sum(map(len, each))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([e.tobytes() for e in each], pa.binary()), pa.nulls(len(each), pa.list_(pa.int64()))], ["doc_id", "ids", "sums"])
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.list_(pa.int32())), pa.array([sums], pa.list_(pa.int64()))], ["doc_id", "ids", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([sums], pa.list_(pa.int64()))], ["doc_id", "ids", "sums"])
         give_back()
 
     return run
@@ -116,17 +142,16 @@ class Corpus:
 
     def __post_init__(self):
         self.idf = np.log1p((self.documents - self.frequency + 0.5) / (self.frequency + 0.5))
+        self.shared = np.where(self.frequency > 1, self.idf, -1).astype(np.float32)
 
     def impacts(self, terms: np.ndarray, counts: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * length / self.mean))
 
     def key(self, ids: np.ndarray) -> int:
-        """The weightiest id of a document among those that another document has, -1 without any."""
-        terms, counts = np.unique(ids, return_counts=True)
-        shared = self.frequency[terms] > 1
-        if not shared.any():
-            return -1
-        return int(terms[np.argmax(np.where(shared, self.impacts(terms, counts, len(ids)), -1.0))])
+        """The rarest id of a document among those that another document has, -1 without any."""
+        weights = self.shared[ids]
+        best = weights.argmax()
+        return int(ids[best]) if weights[best] >= 0 else -1
 
 
 class Index:
@@ -134,7 +159,7 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         self.n = len(docs)
-        each = [np.unique(d, return_counts=True) for d in docs]
+        each = [distinct(d) for d in docs]
         sizes = np.array([len(t) for t, _ in each])
         terms, counts = np.concatenate([t for t, _ in each]), np.concatenate([c for _, c in each])
         impact = corpus.impacts(terms, counts, np.repeat([len(d) for d in docs], sizes))
@@ -222,19 +247,36 @@ def _powers(held: list[tuple[int, int, int]], total: int) -> Iterator[list[tuple
         yield part
 
 
-def _pack(corpus: Corpus, window: int, shard_tokens: int, keep_ids: bool):
+def _keyed(corpus: Corpus, shard_tokens: int, kind: str):
+    """Adds the key of each document, and which part of the key's documents it belongs to.
+
+    The documents of a key are no more than those that hold the id, so the number of its parts
+    is known without a count of keys.
+    """
+    ways = np.maximum(1, np.ceil(corpus.frequency * corpus.mean / shard_tokens)).astype(np.int64)
+    lone = max(1, int(np.ceil(corpus.documents * corpus.mean / shard_tokens)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId()
+        for batch in batches:
+            keys = np.array([corpus.key(np.frombuffer(r, kind)) for r in batch.column("ids").to_pylist()], np.int64)
+            parts = (row + np.arange(len(keys))) % np.where(keys < 0, lone, ways[keys])
+            row += len(keys)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(keys.astype(np.int32)), pa.array(parts)], ["doc_id", "ids", "key", "part"])
+
+    return run
+
+
+def _pack(corpus: Corpus, window: int, shard_tokens: int, keep_ids: bool, kind: str):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
         """Shards: documents up to so many ids, or one that is longer."""
         keys, docs, held = [], [], 0
         for batch in batches:
-            ids = batch.column("ids")
-            ends = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy()
             begin = 0
-            for k in range(len(batch)):
-                docs.append(flat[ends[k] : ends[k + 1]].copy())
+            for k, ids in enumerate(batch.column("ids").to_pylist()):
+                docs.append(np.frombuffer(ids, kind))
                 held += len(docs[-1])
                 if held >= shard_tokens:
                     yield pa.concat_arrays([*keys, batch.column("doc_id").slice(begin, k + 1 - begin)]), docs
@@ -286,7 +328,7 @@ def pack_documents(
     numbers, ``doc_tokens`` counts the document with its last id. Rows that repeat a doc_id, or
     have none, are documents of their own; doc_id keeps its type and other columns are
     ignored. An empty table has no pieces. Neighbours are sought inside a shard, and which
-    documents share one depends on how Spark cuts the ranges, so two runs may pack differently.
+    documents share one depends on the number of shuffle partitions.
     """
     if window < 1:
         raise ValueError("a window holds at least one id")
@@ -294,22 +336,15 @@ def pack_documents(
     ship_package(spark)
     scratch = scratch or Scratch(spark)
     size = max(Ids(tokenizer_path).size, end_id + 1)
+    kind = kind_of(size)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     key = base.schema["doc_id"]
-    kinds = StructType([StructField("doc_id", key.dataType), *StructType.fromDDL("ids array<int>, sums array<bigint>").fields])
+    kinds = StructType([StructField("doc_id", key.dataType), *StructType.fromDDL("ids binary, sums array<bigint>").fields])
     tokens = scratch.save(base.mapInArrow(_encode(tokenizer_path, end_id, size), kinds), "tokens")
     corpus = corpus_of(tokens, size)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = pa.array([corpus.key(row.values.to_numpy()) for row in batch.column("ids")], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), key], ["doc_id", "ids", "key"])
-
     documents = tokens.filter("ids is not null").select("doc_id", "ids")
-    documents = documents.mapInArrow(keyed, StructType([kinds["doc_id"], kinds["ids"], *StructType.fromDDL("key int").fields]))
-    # a common key is cut by a digest of its documents, so no range is larger than others
-    spread = F.xxhash64("doc_id", "ids")
-    dealt = documents.withColumn("spread", spread).repartitionByRange("key", "spread").sortWithinPartitions("key", "spread")
+    keyed = documents.mapInArrow(_keyed(corpus, shard_tokens, kind), StructType([kinds["doc_id"], kinds["ids"], *StructType.fromDDL("key int, part long").fields]))
+    dealt = keyed.repartition("key", "part").sortWithinPartitions("key", "part")
     fields = [kinds["doc_id"], *(StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))]
-    schema = StructType(fields + ([kinds["ids"]] if keep_ids else []))
-    return dealt.select("doc_id", "ids").mapInArrow(_pack(corpus, window, shard_tokens, keep_ids), schema)
+    schema = StructType(fields + (StructType.fromDDL("ids array<int>").fields if keep_ids else []))
+    return dealt.select("doc_id", "ids").mapInArrow(_pack(corpus, window, shard_tokens, keep_ids, kind), schema)
