@@ -21,7 +21,7 @@ from upwell.sources import keywords as kw_source
 from upwell.sources import html_cards, raw, search
 from upwell.sources import relations as rel
 from upwell.sources.store import Store, shared_dir
-from upwell.streaming.stream import first_sightings, start_cycles, start_upserts
+from upwell.streaming.stream import first_sightings, late_details, start_cycles, start_upserts, strict_cooldown
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -469,6 +469,38 @@ def q_cycle_state(spark, d):
     return out.select("post_id", "author_handle", "likes", "genre", seconds("detected_at"), "notified", seconds("notified_at"))
 
 
+@query
+def q_late_details(spark, d):
+    """Cards and details as two streams in two halves of time; some details come too late for their card."""
+    root = _scratch_root(spark, "late")
+    e = F.col("ingest_seq")
+    cards = rel.posts(spark, d).select("post_id", "ingest_seq", "observed_at", "likes")
+    details = rel.posts(spark, d).filter(e % 3 != 0).select("post_id", (F.col("observed_at") + F.make_dt_interval(mins=F.when(e % 7 == 0, 90).otherwise(e % 50).cast("int"))).alias("seen_at"), "quotes", "bookmarks", "impressions")
+    half, end = F.lit("2024-01-16").cast("timestamp"), F.lit("2100-01-01").cast("timestamp")
+    last = lambda df, at: df.limit(1).withColumn(at, end).withColumn("post_id", F.lit("end"))
+    for k in (0, 1, 2):
+        for name, df, at in (("cards", cards, "observed_at"), ("details", details, "seen_at")):
+            part = last(df, at) if k == 2 else df.filter((F.col(at) < half) if k == 0 else (F.col(at) >= half))
+            part.write.parquet(f"{root}/{name}/{k}")
+        read = lambda name, df: spark.readStream.schema(df.schema).parquet(f"{root}/{name}/*")
+        out = late_details(read("cards", cards), read("details", details))
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out").filter("post_id <> 'end'").select("ingest_seq", "post_id", "quotes", "bookmarks", "impressions")
+
+
+@query
+def q_strict_cooldown(spark, d):
+    """All hot posts as a stream in two halves of time, one of an author within two hours."""
+    root = _scratch_root(spark, "strict")
+    hot = rank.filter_explosive(rel.posts(spark, d)).select("ingest_seq", "post_id", "author_handle", "observed_at")
+    half = F.lit("2024-01-16").cast("timestamp")
+    for k, part in enumerate((hot.filter(F.col("observed_at") < half), hot.filter(F.col("observed_at") >= half))):
+        part.write.parquet(f"{root}/in/{k}")
+        out = strict_cooldown(spark.readStream.schema(hot.schema).parquet(f"{root}/in/*"))
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out").select("ingest_seq", "post_id", "author_handle")
+
+
 #: Times of the polls of the search queries, and results that a search gives at most.
 POLLS, CAP = (1705406400, 1705410000, 1705413600, 1705417200), 400
 

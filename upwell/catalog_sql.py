@@ -239,6 +239,14 @@ shown AS (SELECT * FROM r WHERE place < 400)"""
         "SELECT i + 1 AS run_id, CASE i WHEN 0 THEN (SELECT count(DISTINCT post_id) FROM shown WHERE k = 0) WHEN 3 THEN (SELECT count(DISTINCT post_id) FROM shown WHERE k = 1) ELSE 0 END AS posts_scanned, "
         "CASE i WHEN 2 THEN 'error' ELSE 'success' END AS status FROM range(4) t(i)", found
     )
+    out["q_late_details"] = _with(
+        "SELECT ingest_seq, post_id, CASE WHEN w THEN quotes ELSE 0 END AS quotes, CASE WHEN w THEN bookmarks ELSE 0 END AS bookmarks, CASE WHEN w THEN impressions END AS impressions "
+        "FROM (SELECT *, ingest_seq % 3 <> 0 AND ingest_seq % 7 <> 0 AS w FROM P)"
+    )
+    out["q_strict_cooldown"] = f"""WITH RECURSIVE {_P}, due AS (SELECT author_handle, ingest_seq, post_id, epoch_us(observed_at) AS t FROM D WHERE inst OR sust),
+fired AS (SELECT author_handle, min({{'t': t, 's': ingest_seq}}) AS f FROM due GROUP BY author_handle
+  UNION ALL SELECT * FROM (SELECT p.author_handle, min({{'t': x.t, 's': x.ingest_seq}}) AS f FROM fired p JOIN due x ON x.author_handle = p.author_handle AND x.t >= p.f.t + 7200000000 GROUP BY p.author_handle))
+SELECT ingest_seq, post_id, author_handle FROM due WHERE ingest_seq IN (SELECT f.s FROM fired)"""
     out["q_html_cards"] = out["q_card_extract"]
     out["q_point_reads"] = out["q_anti_known"]
     out["q_quote_query"] = _with("SELECT ingest_seq, replace(url_encode(text_snippet), '%2F', '/') AS quoted FROM P")

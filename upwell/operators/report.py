@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -10,30 +10,25 @@ from upwell.config import (
     EMPTY_LIST_LINE, ERROR_LINE, HEADLINES, ITEMS, LAST_RUN, LIKES_TITLE, LIKES_WORD, MARKS_WORD, MINUTES_AGO, NOTIFIED, PROGRESS_TITLE, PROGRESS_WORD, QUOTES_WORD,
     SCANNED, STATUS_COMMAND, TOP_K, UNKNOWN_HEADLINE,
 )
+from upwell.functions import detect
 from upwell.functions.text import percent, trimmed
-from upwell.operators.rank import top_by_likes, top_by_progress
 from upwell.schema import STATUS, WEBHOOK
 
 
 def top_lists(whitelisted: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Both top lists in one relation: ``list, pos`` and the fields of an entry."""
-    from pyspark.sql import Window
+    """Both top lists in one relation and one pass: ``list, pos`` and the fields of an entry.
 
+    Each task keeps the best ``k`` rows of either list, and only these are brought together.
+    """
     base = ["author_handle", "likes", "quotes", "bookmarks", "url", "matched_keyword", "ingest_seq"]
-    likes = top_by_likes(whitelisted, k).select(F.lit("likes").alias("list"), *base, F.lit(None).cast("double").alias("progress"))
-    best = top_by_progress(whitelisted, k).select(F.lit("progress").alias("list"), *base, "progress")
-    order = F.when(F.col("list") == "likes", F.col("likes").cast("double")).otherwise(F.col("progress"))
-    w = Window.partitionBy("list").orderBy(order.desc(), F.asc("ingest_seq"))  # over 2 * k rows
-    return likes.unionByName(best).select(
-        "list",
-        F.row_number().over(w).cast("long").alias("pos"),
-        F.col("author_handle").alias("author"),
-        "likes",
-        "quotes",
-        "bookmarks",
-        percent(F.col("progress")).alias("progress_percent"),
-        "url",
-        "matched_keyword",
+    entry = lambda name, order, progress: F.struct(F.lit(name).alias("list"), order.cast("double").alias("order"), progress.cast("double").alias("progress"))
+    both = F.array(entry("likes", F.col("likes"), F.lit(None)), entry("progress", F.col("_progress"), F.col("_progress")))
+    rows = whitelisted.withColumn("_progress", detect.progress()).select(*base, F.explode(both).alias("e")).select(*base, "e.*")
+    w = Window.partitionBy("list").orderBy(F.desc("order"), F.asc("ingest_seq"))
+    return (
+        rows.withColumn("pos", F.row_number().over(w).cast("long"))
+        .filter(F.col("pos") <= k)
+        .select("list", "pos", F.col("author_handle").alias("author"), "likes", "quotes", "bookmarks", percent(F.col("progress")).alias("progress_percent"), "url", "matched_keyword")
     )
 
 

@@ -104,7 +104,7 @@ def run_cycle(
     now: str,
     cycle: int,
     sender: Sender = dry_run,
-    classifier: classify.Classifier = classify.offline,
+    classifier: classify.Classifier | classify.Batched = classify.offline,
     presence: DataFrame | None = None,
     t: Thresholds = THRESHOLDS,
     clock: Callable[[], float] | None = None,

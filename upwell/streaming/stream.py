@@ -9,7 +9,7 @@ from datetime import datetime, timedelta, timezone
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -70,6 +70,69 @@ def first_sightings(stream: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
     return stream.withWatermark("posted_at", f"{int(t.sustained_max_hours)} hours").dropDuplicatesWithinWatermark(["post_id"])
 
 
+def late_details(cards: DataFrame, details: DataFrame, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Cards with the counters of their detail pages, which are read some time after the cards.
+
+    ``cards`` are posts; ``details(post_id, seen_at, quotes, bookmarks, impressions)`` has one row for
+    each page that was read. A detail belongs to its post's card if it was seen no earlier and
+    at most ``within`` later. Over streams both sides may be out of order by ``late``, and a card
+    without a detail comes out, with counters of 0, once none can follow; what is kept is
+    bounded by the two times. Over tables the same rows come out at once.
+    """
+    c = cards.drop("quotes", "bookmarks", "impressions").withWatermark("observed_at", late)
+    d = details.select(F.col("post_id").alias("_id"), "seen_at", "quotes", "bookmarks", "impressions").withWatermark("seen_at", late)
+    near = (F.col("post_id") == F.col("_id")) & (F.col("seen_at") >= F.col("observed_at")) & (F.col("seen_at") <= F.col("observed_at") + F.expr(f"interval {within}"))
+    zero = lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)
+    return c.join(d, near, "leftOuter").select(*c.columns, zero("quotes"), zero("bookmarks"), F.col("impressions").cast("long"))
+
+
+class _StrictCooldown(StatefulProcessor):
+    """Lets a post of an author out if the last one that was let out is old enough."""
+
+    def __init__(self, hours: float):
+        self.gap = int(hours * 3_600_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        posts = pd.concat(list(rows)).sort_values(["observed_at", "ingest_seq"])
+        before = self.last.get()[0] if self.last.exists() else None
+        last, kept = before, []
+        for at in posts["observed_at"].astype("int64") // (1_000_000 if posts["observed_at"].dtype == "datetime64[ns]" else 1000):
+            free = last is None or at - last >= self.gap
+            last = at if free else last
+            kept.append(free)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.gap)
+            self.last.update((int(last),))
+            self.handle.registerTimer(int(last) + self.gap)
+        yield posts[kept]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.last.clear()  # nothing that may still come is in cool-down
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def strict_cooldown(posts: DataFrame, t: Thresholds = THRESHOLDS, late: str = "0 seconds") -> DataFrame:
+    """Of a stream of posts those whose author had none let out within the cool-down.
+
+    Unlike ``drop_cooling``, which looks at the state before a batch, two posts of an author
+    in one batch give one. ``posts`` has ``author_handle, observed_at, ingest_seq``; posts of an author
+    count in their order within a batch, and may be out of order by ``late`` from batch to
+    batch. The time of an author's last post is kept until its cool-down is over.
+    """
+    spark = posts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keyed = posts.withWatermark("observed_at", late).groupBy("author_handle")
+    return keyed.transformWithStateInPandas(_StrictCooldown(t.author_cooldown_hours), posts.schema, "Append", "EventTime")
+
+
 def start_upserts(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Keeps the stored posts up to date with a stream of rows of their schema.
 
