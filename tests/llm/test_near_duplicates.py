@@ -72,6 +72,7 @@ def test_near_duplicates_equal_brute_force(spark, width, words):
 
 def test_loose_members_of_large_stars(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(minhash, "SMALL_STAR", 3)
     rows = near_copies(11, 2, 120, 40)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
     assert got == brute(rows, 2, 80)

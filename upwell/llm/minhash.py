@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from upwell.llm._common import Scratch, components, drop_ids, give_back, keep_ids, require_integer, ship_package, worker_cache
 
 BANDS, ROWS = 40, 5
-#: A block of the loose comparison holds about so many documents and shingles at most.
+#: A block of a star, or of the loose comparison, holds about so many documents and shingles at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 400_000
+#: A star of no more members has its centre's set sent to each of them.
+SMALL_STAR = 64
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)]
@@ -178,6 +180,47 @@ def _compare_block(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _star_block(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between a centre and some members of its star."""
+
+    def run(block: pa.Table) -> pa.Table:
+        head = block.column("head").to_numpy(zero_copy_only=False)
+        docs = block.column("doc").to_numpy()
+        lists = block.column("shingles").combine_chunks()
+        begin = lists.offsets.to_numpy()
+        values, sizes = lists.values.to_numpy(), np.diff(begin).astype(np.int64)
+        linked = np.zeros(len(docs), bool)
+        for centre in np.flatnonzero(head):  # several, if texts repeat its doc_id
+            own = np.sort(values[begin[centre] : begin[centre + 1]])
+            at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+            hits = np.concatenate([[0], np.cumsum(own[at] == values)])
+            common = hits[begin[1:]] - hits[begin[:-1]]
+            linked |= (100 * common >= percent * (sizes + sizes[centre] - common)) & ~head
+        return pa.table({"a": pa.array(np.full(linked.sum(), docs[head][0]), pa.int64()), "b": pa.array(docs[linked], pa.int64())})
+
+    return run
+
+
+def _star_links(edges: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The edges of stars that are links on full sets.
+
+    A small star's sets meet edge by edge. A larger one is cut into blocks of members, and its
+    centre's set is sent once to each of them.
+    """
+    of = edges.join(sizes.withColumnRenamed("doc_id", "doc"), "doc").groupBy("centre").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    large = scratch.save(of.filter(F.col("n") > SMALL_STAR).select("centre", blocks.alias("blocks")), "large_stars")
+    left = edges.join(large.select("centre"), "centre", "left_anti").join(sets.toDF("doc", "mine"), "doc")
+    both = left.join(sets.toDF("centre", "theirs"), "centre")
+    common = F.size(F.array_intersect("mine", "theirs"))
+    links = both.filter(100 * common >= percent * (F.size("mine") + F.size("theirs") - common)).select(F.col("centre").alias("a"), F.col("doc").alias("b"))
+    placed = edges.join(large, "centre").select("centre", "doc", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("blk"))
+    members = placed.join(sets.toDF("doc", "shingles"), "doc").select("centre", "blk", "doc", "shingles", F.lit(False).alias("head"))
+    heads = large.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk")).join(sets.toDF("centre", "shingles"), "centre")
+    heads = heads.select("centre", "blk", F.col("centre").alias("doc"), "shingles", F.lit(True).alias("head"))
+    return links.unionByName(members.unionByName(heads).groupBy("centre", "blk").applyInArrow(_star_block(percent), "a long, b long"))
+
+
 def _loose_links(edges: DataFrame, comp: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (as pairs of components) that the stars could not see."""
     with_self = edges.select("centre", F.col("doc").alias("doc_id")).unionByName(edges.select("centre", F.col("centre").alias("doc_id")).distinct())
@@ -252,16 +295,13 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80, bands: i
 
     wanted = scratch.save(edges.select("doc").union(edges.select("centre").distinct()).distinct(), "wanted", n)
     sets = scratch.save(keep_ids(texts, "doc_id", wanted).mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
-    left = edges.join(sets.toDF("doc", "mine"), "doc")
-    both = left.join(sets.toDF("centre", "theirs"), "centre")
-    common = F.size(F.array_intersect("mine", "theirs"))
-    links = both.filter(100 * common >= percent * (F.size("mine") + F.size("theirs") - common)).select(F.col("centre").alias("a"), F.col("doc").alias("b"))
+    sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    links = _star_links(edges, sets, sizes, percent, scratch)
     # texts that repeat a doc_id tie their classes together
     same = real.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).filter("x <> y")
     same = real.join(same.select("doc_id"), "doc_id").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     first = scratch.save(components(links.unionByName(same), scratch), "components")
 
-    sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     more = scratch.save(_loose_links(edges, first, sets, sizes, percent, scratch), "more_links")
     second = components(more, scratch)
     final = (
