@@ -219,8 +219,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, tile: int = TIL
     by_class = classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     by_class = by_class.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     by_class = scratch.save(by_class, "by_class")
-    scratch.clear(mark, keep=(keyed, by_class))
-    out = keyed.select("vec_id", "class").join(by_class, "class", "left")
+    ids = scratch.save(keyed.select("vec_id", "class"), "ids")  # what is read later holds no vectors
+    scratch.clear(mark, keep=(ids, by_class))
+    out = ids.join(by_class, "class", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
