@@ -698,3 +698,57 @@ def test_placement(spark, odd, empty):
         slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % size
         assert (r["slot"], r["shard"]) == (slot, shards[table[slot]])
     assert sharding.place(empty, shards, size).collect() == []
+
+
+def test_names_with_dots(spark):
+    """Columns whose names hold dots and other signs pass through as they are."""
+    names = ["doc_id", "text", "lang", "a.b", "a`c", "a b", "x.y.z", "text.lang", "_c3"]
+    df = spark.createDataFrame([(i, t, "en", "1", "2", "3", "4", "5", "6") for i, t in enumerate(["plain words here", None, "mehr Wörter"])], names)
+    model = langid.train([("en", "plain words here and there"), ("de", "mehr Wörter und andere")], langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    toxic = toxicity.ToxicityModel(0.0, np.ones(1 << toxicity.BITS))
+    for out, added in (
+        (bpe.encode_documents(df, BPE, keep_ids=True), ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]),
+        (langid.identify(df, model), ["lang_pred", "score"]),
+        (langid.accepted(df, model, 0.0), []),
+        (toxicity.score_documents(df, toxic), ["score", "predicted"]),
+    ):
+        assert out.columns == [*names, *added]
+        assert all(tuple(r)[3:9] == tuple("123456") for r in out.collect()) and out.count() >= 2
+
+
+def test_toxicity_of_a_long_text_takes_each_feature_once(monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_SLOTS", 10_000)
+    rng = np.random.default_rng(1)
+    weight = np.where(rng.random(1 << toxicity.BITS) < 0.5, rng.normal(size=1 << toxicity.BITS), 0) / 100
+    model = toxicity.ToxicityModel(0.1, weight)
+    for text in ["", None, "short", " ".join(f"w{i % 977} é{i % 31}" for i in range(60_000))]:
+        z = 0.1 + float(weight[toxicity.present(text)].sum())
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-np.clip(z, -60, 60))), abs=1e-9)
+
+
+def test_items_with_a_common_prefix_meet_few_documents(spark, monkeypatch):
+    """A prompt that all items share: documents that hold only it meet none of them, edits are found as before."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    prompt = "question: answer the following: "
+    items = [(i, prompt + " ".join(word() for _ in range(rng.choice([5, 9, 16, 30])))) for i in range(400)]
+    docs = [(d, " ".join([word(), prompt, word(), word()])) for d in range(40)]
+    want = []
+    for d in range(40, 100):
+        i, text = items[rng.randrange(400)]
+        t = list(text)
+        for _ in range(rng.randrange(0, len(text) // 20 + 1)):
+            t[rng.randrange(len(t))] = rng.choice("xyz ")
+        docs.append((d, f"{word()} {''.join(t)} {word()}"))
+        edits = plain_edits(text, decontam.normalise(docs[-1][1]))
+        if edits <= len(text) // 20:
+            want.append((d, i, edits))
+    met = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t", rows=None: (lambda out: (met.append(out.count()) if name == "met" else None, out)[1])(save(self, df, name, rows)))
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted(tuple(r) for r in found.collect())
+    assert set(want) <= set(got) and len(want) > 40
+    texts = dict(items)
+    assert all(plain_edits(texts[i], decontam.normalise(docs[d][1])) == e <= len(texts[i]) // 20 for d, i, e in got)
+    assert met and met[0] <= 10 * len(docs)

@@ -156,6 +156,11 @@ def columns_of(df: DataFrame) -> list:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def plain_names(df: DataFrame, *needed: str) -> DataFrame:
+    """``df`` with names that ``mapInArrow`` can look up, whatever they held, for all columns but the needed ones."""
+    return df.toDF(*(c if c in needed else f"_c{k}" for k, c in enumerate(df.columns)))
+
+
 def require_integer(df: DataFrame, column: str) -> DataFrame:
     """``df`` if the column has an integer type (or no type at all), else ``ValueError``."""
     kind = df.schema[column].dataType

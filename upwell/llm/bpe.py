@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from upwell.llm._common import give_back, ship_package, worker_cache
+from upwell.llm._common import give_back, plain_names, ship_package, worker_cache
 
 #: Entries of a worker's memos of pre-tokens and of pairs of tokens, some 300 bytes each
 #: together; beyond them results are computed, not stored.
@@ -211,7 +211,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = Fals
     if keep_ids:
         added.append(("ids", pa.list_(pa.int32())))
         kinds += ", ids array<int>"
-    base = docs.drop(*[n for n, _ in added])
+    kept = docs.drop(*[n for n, _ in added])
+    base = plain_names(kept, "text")
     schema = StructType(base.schema.fields + StructType.fromDDL(kinds).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,4 +231,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = Fals
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *(n for n, _ in added)])
         give_back()
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema).toDF(*kept.columns, *(n for n, _ in added))

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import give_back, ship_package, worker_cache
+from upwell.llm._common import give_back, plain_names, ship_package, worker_cache
 
 #: Bound of the training sample: documents for each language (expected number), whole texts.
 TRAIN_DOCS = 300
@@ -418,7 +418,8 @@ def identify(docs: DataFrame, model: LanguageModel, memo_entries: int = MEMO_ENT
     ties go to the first language by name. Existing columns of these names are replaced;
     repeated rows give the same.
     """
-    base = docs.drop("lang_pred", "score")
+    kept = docs.drop("lang_pred", "score")
+    base = plain_names(kept, "text")
     judge = _judges(docs, model, memo_entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +429,8 @@ def identify(docs: DataFrame, model: LanguageModel, memo_entries: int = MEMO_ENT
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "lang_pred", "score"])
         give_back()
 
-    return base.mapInArrow(run, base.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema)
+    judged = base.mapInArrow(run, base.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema)
+    return judged.toDF(*kept.columns, "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
@@ -440,4 +442,5 @@ def accepted(docs: DataFrame, model: LanguageModel, least: float = 0.5, memo_ent
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in judge(batch.column("text"))], pa.bool_()))
         give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    base = plain_names(docs, "text")
+    return base.mapInArrow(run, base.schema).toDF(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upwell.llm._common import Scratch, ship_package
+from upwell.llm._common import Scratch, plain_names, ship_package
 
 #: Bounds of the training sample: rows of each class (expected number).
 TRAIN_TOXIC, TRAIN_OTHER = 2000, 4000
@@ -28,6 +28,8 @@ FEATURES = 1 << 17
 SMOOTHING, RIDGE, STEPS = 1.0, 1e-3, 400
 #: Texts are hashed in parts of so many characters, which overlap so that no n-gram is lost.
 PART_CHARS = 1 << 20
+#: Slots of a text that are held, with repeats, before they are made distinct.
+HELD_SLOTS = 1 << 20
 
 _STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
@@ -74,8 +76,15 @@ class ToxicityModel:
         self.used = self.weight != 0
 
     def score(self, text: str | None) -> float:
-        hit = [s[self.used[s]] for part in parts(text or "") for s in gram_slots(part)]
-        slots = np.unique(np.concatenate(hit)) if hit else np.empty(0, np.uint32)
+        held, n = [], 0
+        for part in parts(text or ""):
+            for s in gram_slots(part):
+                held.append(s[self.used[s]])
+                n += len(held[-1])
+            if n > HELD_SLOTS:  # no more than that, and the features once, however long the text is
+                held = [np.unique(np.concatenate(held))]
+                n = 0
+        slots = np.unique(np.concatenate(held)) if held else np.empty(0, np.uint32)
         z = self.bias + float(self.weight[slots].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
@@ -206,7 +215,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """
     spark = docs.sparkSession
     ship_package(spark)
-    base = docs.drop("score", "predicted")
+    kept = docs.drop("score", "predicted")
+    base = plain_names(kept, "text")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +225,5 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             cols = [pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "score", "predicted"])
 
-    return base.mapInArrow(run, base.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema)
+    scored = base.mapInArrow(run, base.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema)
+    return scored.toDF(*kept.columns, "score", "predicted")
