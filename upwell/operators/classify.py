@@ -69,7 +69,7 @@ _clients: dict[str, Callable] = {}
 
 
 def _client(batched: Batched) -> Callable[[list[str]], list[str | None]]:
-    name = f"{batched.make.__module__}.{batched.make.__qualname__}"
+    name = f"{batched.make.__module__}.{batched.make.__qualname__}:{batched.answers}"
     if name not in _clients:
         _clients[name] = batched.make()
     return _clients[name]

@@ -278,6 +278,8 @@ class Store:
         if not self._create(f"_manifests/{number:09d}.json", content):
             self._delete(set(made))
             return False
+        # runs that were merged at once are named by no manifest
+        self._delete(set(made) - {p for runs in tables.values() for r in runs for p in (r["path"], r.get("bloom"))})
         if old:
             self._expire(old[-1], self._manifest((known + [number])[len(old)]))
         return True
