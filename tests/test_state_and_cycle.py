@@ -73,6 +73,28 @@ def test_streaks_and_alert_cooldown(spark):
     assert [r["run_id"] for r in alerts.session_alerts(expired).orderBy("run_id").collect()] == [1, 25]
 
 
+def test_streaks_over_blocks_and_jobs(spark, monkeypatch):
+    """Streaks go from block to block on all levels, whatever numbers are missing."""
+    import random
+
+    monkeypatch.setattr(alerts, "BLOCK_BITS", 3)
+    rng, rows, want = random.Random(3), [], {}
+    for job in ("a", "b", "c"):
+        streak = 0
+        for i in sorted(rng.sample(range(250), 180)):
+            scanned = rng.choices([0, 7, None], [30, 1 if job != "c" else 0, 2])[0]
+            streak = streak if scanned is None else 0 if scanned else streak + 1
+            rows.append((job, i, scanned))
+            want[job, i] = None if scanned is None else streak
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "job string, run_id long, posts_scanned long")
+    got = alerts.zero_streaks(df, "job")
+    assert {(r["job"], r["run_id"]): r["streak"] for r in got.collect()} == want and max(v or 0 for v in want.values()) > 60
+    one = alerts.zero_streaks(df.filter("job = 'b'").drop("job"))
+    assert {r["run_id"]: r["streak"] for r in one.collect()} == {i: s for (j, i), s in want.items() if j == "b"}
+    assert "SinglePartition" not in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_streamed_alerts_equal_batch(spark, tmp_path):
     counts = [0 if (i // 5) % 3 == 0 else 1 for i in range(120)]
     log = runs(spark, counts).select(F.lit("j").alias("job"), "run_id", "started_at", "posts_scanned")

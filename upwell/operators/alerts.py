@@ -19,21 +19,46 @@ from upwell.config import SESSION_TEXT, SESSION_URL, SITE, SYSTEM_GENRE, SYSTEM_
 STREAK, ZERO_AT, SESSION_AT = "zero_posts_streak", "zero_posts_alert_at", "session_expired_alert_at"
 
 
-def zero_streaks(runs: DataFrame) -> DataFrame:
+#: Bits of a run number that count within a block, and levels of blocks: numbers below 2**36.
+BLOCK_BITS, LEVELS = 12, 3
+
+
+def _carried(rows: DataFrame, by: list[str], at: str, levels: int) -> DataFrame:
+    """Adds ``_c``: the sum of ``_n`` over the rows before, in order of ``at``, back to the last one with ``_reset``, its own included.
+
+    Rows are summed within blocks of neighbouring numbers; what goes from block to block is
+    found in the same way over one row a block. No group is larger than a block.
+    """
+    rows = rows.withColumn("_block", F.shiftright(at, BLOCK_BITS))
+    if not levels:
+        return rows.withColumn("_c", F.lit(0).cast("long")).drop("_block")
+    block = Window.partitionBy(*by, "_block").orderBy(at)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    island = Window.partitionBy(*by, "_block", "_island").orderBy(at).rowsBetween(*upto)
+    marked = rows.withColumn("_island", F.sum("_reset").over(block.rowsBetween(*upto))).withColumn("_s", F.sum("_n").over(island))
+    marked = marked.withColumn("_before", F.lag("_s", 1, 0).over(block))
+    ends = marked.groupBy(*by, "_block").agg(F.max_by("_s", at).alias("_n"), F.max("_reset").alias("_reset"))
+    into = _carried(ends.withColumnRenamed("_block", "_at"), by, "_at", levels - 1).select(*by, F.col("_at").alias("_block"), F.col("_c").alias("_in"))
+    open_ = F.col("_island") == F.col("_reset")  # nothing before it in its block resets
+    joined = marked.join(into, [*by, "_block"]).withColumn("_c", F.col("_before") + F.when(open_, F.col("_in")).otherwise(0))
+    return joined.select(*rows.drop("_block").columns, "_c")
+
+
+def zero_streaks(runs: DataFrame, job: str | None = None) -> DataFrame:
     """Adds ``streak``: how many runs in a row, this one included, scanned nothing.
 
     Runs whose ``posts_scanned`` is null, or whose ``status`` (if there is such a column) is
     another than success, failed before the count: they change nothing and have no streak.
-    ``runs`` is the run log of one job, a row an hour, so one window holds it.
+    ``run_id`` is a number that a job has once; ``job`` names the column of the job if there are many.
     """
     done = F.col("posts_scanned").isNotNull()
     if "status" in runs.columns:
         done &= F.coalesce(F.col("status") == "success", F.lit(True))
-    w = Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = runs.withColumn("_island", F.count_if(done & (F.col("posts_scanned") > 0)).over(w))
-    within = Window.partitionBy("_island").orderBy("run_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.count_if(done & (F.col("posts_scanned") == 0)).over(within)
-    return marked.withColumn("streak", F.when(done, n)).drop("_island")
+    busy = done & (F.col("posts_scanned") > 0)
+    marked = runs.withColumn("_n", F.when(done & (F.col("posts_scanned") == 0), 1).otherwise(0).cast("long")).withColumn("_reset", busy.cast("long"))
+    carried = _carried(marked, [job] if job else [], "run_id", LEVELS)
+    streak = F.when(busy, 0).when(done, F.col("_c") + F.col("_n"))
+    return carried.withColumn("streak", streak.cast("long")).select(*runs.columns, "streak")
 
 
 def spaced(times: Iterable[pd.Timestamp], hours: float, last: pd.Timestamp | None = None) -> list[bool]:

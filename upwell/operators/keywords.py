@@ -52,8 +52,15 @@ def keyword_join(posts: DataFrame, keywords: DataFrame) -> DataFrame:
         places = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
         return F.when(n >= size, F.transform(places, lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
+    anchors = F.explode(F.array_distinct(F.concat(*map(runs, sorted(found["sizes"]))))).alias("anchor")
     texts = posts.select("text_snippet").filter("text_snippet <> ''").distinct()
-    cut = texts.select("text_snippet", F.explode(F.array_distinct(F.concat(*map(runs, sorted(found["sizes"]))))).alias("anchor"))
-    hits = cut.join(F.broadcast(listed) if found["bytes"] <= BROADCAST_BYTES else listed, "anchor").filter(F.contains("text_snippet", F.col("keyword")))
+    if found["bytes"] <= BROADCAST_BYTES:
+        met = texts.select("text_snippet", anchors).join(F.broadcast(listed), "anchor")
+    else:
+        # only digests go through the shuffle; two texts of one digest just meet each other's keywords
+        keyed = texts.withColumn("_digest", F.xxhash64("text_snippet"))
+        keys = keyed.select("_digest", anchors).join(listed, "anchor").select("_digest", "pos", "keyword").distinct()
+        met = keyed.join(keys, "_digest")
+    hits = met.filter(F.contains("text_snippet", F.col("keyword")))
     best = hits.groupBy("text_snippet").agg(F.min_by("keyword", "pos").alias("matched_keyword"))
     return posts.join(best, "text_snippet").select(*posts.columns, "matched_keyword")
