@@ -95,6 +95,30 @@ def test_streaks_over_blocks_and_jobs(spark, monkeypatch):
     assert "SinglePartition" not in one._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("gaps", [1, 2, 5, 1000])
+def test_alert_cooldown_over_blocks(spark, monkeypatch, gaps):
+    """Alerts of a kind are those of the plain rule, however time is cut."""
+    import random
+
+    import pandas as pd
+
+    monkeypatch.setattr(alerts, "BLOCK_GAPS", gaps)
+    rng, rows = random.Random(gaps), []
+    for kind, pause in (("often", 1), ("rare", 30), ("mixed", 9)):
+        at = T0 - timedelta(days=400)
+        for i in range(250):
+            at += timedelta(hours=rng.choice([0, 1, 1, 2, pause, 24, 0.5]))
+            rows.append((kind, i, at, None))
+    rng.shuffle(rows)
+    due = spark.createDataFrame(rows, "kind string, run_id long, at timestamp, streak long")
+    want = set()
+    for kind in ("often", "rare", "mixed"):
+        mine = sorted((r[2], r[1]) for r in rows if r[0] == kind)
+        want |= {(kind, i) for (_, i), fire in zip(mine, alerts.spaced([pd.Timestamp(t) for t, _ in mine], 24), strict=True) if fire}
+    got = alerts.alerts(due, 24)
+    assert got.columns == due.columns and {(r["kind"], r["run_id"]) for r in got.collect()} == want and len(want) > 30
+
+
 def test_streamed_alerts_equal_batch(spark, tmp_path):
     counts = [0 if (i // 5) % 3 == 0 else 1 for i in range(120)]
     log = runs(spark, counts).select(F.lit("j").alias("job"), "run_id", "started_at", "posts_scanned")
@@ -316,7 +340,8 @@ def test_one_of_two_writers_wins(spark, tmp_path):
         late.commit(0)
 
 
-def test_old_state_is_right_or_raises(spark, tmp_path):
+def test_old_state_is_right_or_raises(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("upwell.sources.store.BLOOM_ROWS", 1)
     store = Store(spark, str(tmp_path), fanout=2, keep=4)
     for v in range(1, 11):
         store.write("posts", spark.createDataFrame([stored(str(v), "a", v, "x", v)], STORED_POST), v)

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from upwell.config import SESSION_TEXT, SESSION_URL, SITE, SYSTEM_GENRE, SYSTEM_HOURS, THRESHOLDS, ZERO_POSTS_TEXT, Thresholds
 
@@ -71,14 +73,59 @@ def spaced(times: Iterable[pd.Timestamp], hours: float, last: pd.Timestamp | Non
     return out
 
 
-def alerts(due: DataFrame, hours: float, key: str = "kind") -> DataFrame:
-    """Of the due alerts of each ``kind``, in order of ``at``, those that the cool-down lets out."""
+#: A block of due alerts is as long as so many cool-downs.
+BLOCK_GAPS = 1000
+
+
+def _follow(times: np.ndarray, gap: int) -> np.ndarray:
+    """For sorted times the position of the next one that may alert after each; their number if there is none."""
+    return np.searchsorted(times, times + gap)
 
-    def reduce(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "run_id"])
-        return rows[spaced(rows["at"], hours)]
 
-    return due.groupBy(key).applyInPandas(reduce, due.schema)
+def alerts(due: DataFrame, hours: float, key: str = "kind") -> DataFrame:
+    """Of the due alerts of each ``kind``, in order of ``at``, those that the cool-down lets out.
+
+    Time is cut into blocks. An alert before a block holds back those of its first ``hours``
+    at most, so a block has few ways to begin; the last alert that each of them leads to is
+    found block by block, then one row for each such way says how blocks follow one another.
+    Only these rows of a kind meet in one task, a thousandth of the cool-downs that passed.
+    """
+    gap = int(hours * 3_600_000_000)
+    kind, columns = due.schema[key], due.columns
+    rows = due.withColumn("_t", F.unix_micros("at")).withColumn("_block", F.floor(F.col("_t") / F.lit(gap * BLOCK_GAPS)).cast("long"))
+    named = lambda fields: StructType([kind, *StructType.fromDDL(fields).fields])
+
+    def ways(group: pd.DataFrame) -> pd.DataFrame:
+        times = np.unique(group["_t"].to_numpy())
+        after, last = _follow(times, gap), times.copy()
+        for i in range(len(times) - 1, -1, -1):
+            if after[i] < len(times):
+                last[i] = last[after[i]]
+        block = int(group["_block"].iloc[0])
+        n = min(len(times), int(np.searchsorted(times, block * gap * BLOCK_GAPS + gap)) + 1)
+        return pd.DataFrame({key: group[key].iloc[0], "_block": block, "first": times[:n], "last": last[:n]})
+
+    def chain(group: pd.DataFrame) -> pd.DataFrame:
+        out, since = [], -(1 << 62)
+        for block, part in group.sort_values(["_block", "first"]).groupby("_block", sort=True):
+            out.append((group[key].iloc[0], block, since))
+            begun = part[part["first"] >= since]
+            if len(begun):
+                since = int(begun["last"].iloc[0]) + gap
+        return pd.DataFrame(out, columns=[key, "_block", "since"])
+
+    def fire(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["_t", "run_id"], ignore_index=True)
+        times = group["_t"].to_numpy()
+        after, at, kept = _follow(times, gap), int(np.searchsorted(times, group["since"].iloc[0])), []
+        while at < len(times):
+            kept.append(at)
+            at = int(after[at])
+        return group.loc[kept, columns]
+
+    begins = rows.groupBy(key, "_block").applyInPandas(ways, named("_block long, first long, last long"))
+    entered = begins.groupBy(key).applyInPandas(chain, named("_block long, since long"))
+    return rows.join(entered, [key, "_block"]).groupBy(key, "_block").applyInPandas(fire, due.schema)
 
 
 def zero_post_alerts(runs: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:

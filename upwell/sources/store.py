@@ -45,8 +45,8 @@ MERGES = {
 KEYS = {"posts": "post_id", "notices": "post_id", "authors": "author_handle"}
 #: Runs of a level that are merged, rows of a bucket, about, and manifests that are kept.
 FANOUT, BUCKET_ROWS, KEEP = 8, 1_000_000, 48
-#: Bits of a Bloom filter for each key, and how many of them a key sets.
-BLOOM_BITS, BLOOM_HASHES = 12, 4
+#: Bits of a Bloom filter for each key, and how many of them a key sets; runs of fewer rows have none and are read whole.
+BLOOM_BITS, BLOOM_HASHES, BLOOM_ROWS = 12, 4, 1000
 
 
 class StateExpired(LookupError):
@@ -186,14 +186,15 @@ class Store:
     def lookup(self, table: str, keys: DataFrame, before: int | None = None) -> DataFrame:
         """Rows of a table, not merged, that include all those of the given keys (one column).
 
-        Runs with no more rows than there are keys are read whole. Of the others only buckets
-        whose filter may hold one of the keys are read. Keys meet filters bucket by bucket, so no
+        Runs with no more rows than there are keys, and those without filters, are read whole. Of the
+        others only buckets whose filter may hold one of the keys are read. Keys meet filters bucket by bucket, so no
         task holds more of them than a bucket has rows, about.
         """
         runs = self.snapshot(before)["tables"].get(table, [])
         asked = keys.toDF("key").filter("key is not null").select(F.xxhash64("key").alias("h")).distinct()
         n = asked.count() if runs else 0
-        large = [r for r in runs if r["rows"] > n] if n else []
+        filtered = lambda r: r["rows"] > n and "bloom" in r
+        large = [r for r in runs if filtered(r)] if n else []
         hits: set[tuple[str, int]] = set()
         if large:
             each = F.array(*(F.struct(F.lit(r["path"]).alias("run"), F.lit(r["buckets"]).alias("buckets")) for r in large))
@@ -201,7 +202,7 @@ class Store:
             blooms = self.spark.read.schema("run string, bucket int, size long, bits binary").parquet(*(f"{self.root}/{r['bloom']}" for r in large))
             found = meets.groupBy("run", "bucket").cogroup(blooms.groupBy("run", "bucket")).applyInArrow(_may_hold, "run string, bucket int")
             hits = {(r["run"], r["bucket"]) for r in found.collect()}  # names of files
-        some = [r | {"files": {b: f for b, f in r["files"].items() if r["rows"] <= n or (r["path"], int(b)) in hits}} for r in runs]
+        some = [r | {"files": {b: f for b, f in r["files"].items() if not filtered(r) or (r["path"], int(b)) in hits}} for r in runs] if n else []
         return self._read(table, some)
 
     def write(self, table: str, df: DataFrame, number: int) -> DataFrame:
@@ -235,6 +236,8 @@ class Store:
             files = {n.removeprefix("bucket="): f"{cut}/{n}" for n in self._names(cut) if n.startswith("bucket=")}
             run |= {"path": cut, "buckets": buckets, "files": files}
             df = self._read(table, [run])
+        if rows < BLOOM_ROWS:
+            return [run]
         run["bloom"] = f"bloom/{run['path']}"
         hashed = df.select(F.lit(run["path"]).alias("run"), _bucket(h, buckets).alias("bucket"), h.alias("h")).filter(F.col("h").isNotNull())
         hashed.groupBy("run", "bucket").applyInArrow(_bloom, "run string, bucket int, size long, bits binary").write.parquet(f"{self.root}/{run['bloom']}")
