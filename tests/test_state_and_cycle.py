@@ -395,7 +395,7 @@ def test_clock_with_and_without_offset(spark, tmp_path):
 def test_rows_without_an_id_are_left_out(spark, tmp_path):
     rows = [sighting(1), (None, *sighting(2, "b")[1:]), (None, *sighting(3, "c")[1:])]
     for k in (1, 2):
-        n = cycle.run_cycle(spark, spark.createDataFrame(rows, SEEN), str(tmp_path), ["flood"], str(T0 + timedelta(hours=9 * k)), k)
+        n = cycle.run_cycle(spark, spark.createDataFrame(rows, SEEN), str(tmp_path), ["flood"], str(T0 + timedelta(hours=3 * k - 3)), k)
         assert (n["posts_scanned"], n["posts_flagged"], n["notified_count"]) == ((1, 1, 1) if k == 1 else (1, 0, 0))
     assert [(r["post_id"], r["notified"]) for r in Store(spark, str(tmp_path)).read("posts").collect()] == [("1", True)]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
@@ -39,6 +40,8 @@ def start_cycles(spark: SparkSession, stream: DataFrame, root: str, keywords: li
             try:
                 last = rows.selectExpr("unix_micros(max(observed_at)) t").first()["t"]
             except Exception as error:  # noqa: BLE001 - whatever a source raises is logged and reported
+                if re.search("cancel|interrupt", str(error), re.IGNORECASE):
+                    raise  # the query is being stopped; it will run this batch again
                 kept = {k: v for k, v in options.items() if k in ("sender", "t")}
                 log_failure(spark, root, said(now), number + 1, error, **kept)
                 return
